@@ -32,12 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfold.llm.cells import CELL, by_cell, met_cells
 from tallyfold.llm.common import WORDS, components, written
 
 SEED = 42
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Fingerprints of one block that are compared in one cell; larger blocks are cut into pairs of chunks.
-CELL = 2048
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -181,66 +180,32 @@ def _forest(d: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.nda
     return d[kept], x[kept], y[kept]
 
 
-def _compare(radius: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        keys = ["block", "key", "i", "j"]
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(rows):
-                continue
-            k = rows[keys].to_numpy()
-            edge = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            last = edge[-1] if len(edge) else 0
-            yield _blocks(rows.iloc[:last], edge[:-1] if len(edge) else edge, radius)
-            held = rows.iloc[last:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield _blocks(held, np.empty(0, int), radius)
-
-    return run
-
-
-def _blocks(rows: pd.DataFrame, edge: np.ndarray, radius: int) -> pd.DataFrame:
-    out: list[tuple[int, int]] = []
-    if len(rows):
+def _linked(radius: int):
+    def handle(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
         node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
-        prints = np.frombuffer(b"".join(rows["print"]), np.uint64).reshape(len(rows), -1)
         i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
-        starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(rows)]])
-        size = ends - starts
-        for s in starts[size == 2].tolist():  # most blocks are pairs: their rows are gathered and compared below
-            out.append((s, s + 1))
-        if out:
-            p = np.array(out)
-            split = (i[p[:, 0]] != j[p[:, 0]]) & (side[p[:, 0]] == side[p[:, 1]])
-            p = p[(distances(prints[p[:, 0]], prints[p[:, 1]]) <= radius) & ~split]
-            out = list(zip(node[p[:, 0]].tolist(), node[p[:, 1]].tolist(), strict=True))
-        for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
+        prints = np.frombuffer(b"".join(rows["print"]), np.uint64).reshape(len(rows), -1)
+        a = starts[ends - starts == 2]  # most cells hold one pair: those are compared together
+        apart = (i[a] != j[a]) & (side[a] == side[a + 1])
+        a = a[(distances(prints[a], prints[a + 1]) <= radius) & ~apart]
+        out = list(zip(node[a].tolist(), node[a + 1].tolist(), strict=True))
+        large = ends - starts > 2
+        for s, e in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
             left = int((side[s:e] == 0).sum()) if i[s] != j[s] else 0
             if i[s] == j[s] or 0 < left < e - s:
                 out.extend(_links(node[s:e], prints[s:e], left, radius))
-    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
+    return handle
 
-def link_blocks(blocks: DataFrame, prints: DataFrame, radius: int, cell: int = CELL) -> DataFrame:
-    """Links (u, v) between the nodes that meet in a block (block int, key long, node long) and whose prints
-    (node long, print binary) lie within the radius; each block gives a forest, not all its pairs.
 
-    A block of over `cell` nodes is dealt into chunks by node, and every two chunks meet in a cell of their own, so
-    no task ever holds more than two chunks of one block.
-    """
-    sizes = written(blocks.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "blocks")
-    met = blocks.join(sizes, ["block", "key"]).withColumn("m", F.ceil(F.col("n") / cell).cast("int"))
-    mine = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-    dealt = met.select("block", "key", "node", mine.alias("c"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
-    dealt = dealt.select(
-        "block", "key", "node", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).cast("int").alias("side")
-    )
-    full = dealt.join(prints, "node").repartition("block", "key", "i", "j").sortWithinPartitions("block", "key", "i", "j", "side", "node")
-    return full.select("block", "key", "i", "j", "side", "node", "print").mapInPandas(_compare(radius), "u long, v long").distinct()
+def link_blocks(blocks: DataFrame, prints: DataFrame, radius: int, cell: int = CELL) -> DataFrame:
+    """Links (u, v) between the nodes that meet in a block and whose prints (node long, print binary) lie within the
+    radius; each cell gives a forest, not all its pairs."""
+    return met_cells(blocks, prints, cell).mapInPandas(by_cell(_linked(radius)), "u long, v long").distinct()
 
 
-def link_within_radius(prints: DataFrame, radius: int = 4) -> DataFrame:
+def link_within_radius(prints: DataFrame, radius: int = 4, cell: int = CELL) -> DataFrame:
     """Links (u, v) between 64-bit fingerprints (column fp long, distinct) at most `radius` bits apart; exact."""
     pieces = radius + 2
     cut = [(round(64 * k / pieces), round(64 * (k + 1) / pieces)) for k in range(pieces)]
@@ -254,7 +219,7 @@ def link_within_radius(prints: DataFrame, radius: int = 4) -> DataFrame:
     ]
     blocks = prints.select(F.col("fp").alias("node"), F.explode(F.array(*keys)).alias("k")).select("k.block", "k.key", "node")
     words = prints.select(F.col("fp").alias("node"), F.to_binary(F.lpad(F.hex("fp"), 16, "0"), F.lit("hex")).alias("print"))
-    return link_blocks(blocks, words, radius)
+    return link_blocks(blocks, words, radius, cell)
 
 
 def simhash_components(docs: DataFrame, radius: int = 4) -> DataFrame:

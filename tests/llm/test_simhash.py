@@ -66,17 +66,7 @@ def test_dense_blocks_are_dealt_into_cells_without_loss(spark, cell):
     fps = {int(base)} | {int(base) ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (150, 2))}
     fps |= {int(x) for x in rng.integers(0, 2**63, 200)}
     frame = spark.createDataFrame([(f,) for f in fps], "fp long")
-    blocks_links = S.link_within_radius(frame) if cell == 2048 else None
-    if cell == 3:
-        was, S.CELL = S.CELL, 3
-        try:
-            S.link_blocks.__defaults__ = (3,)
-            blocks_links = S.link_within_radius(frame).collect()
-        finally:
-            S.CELL = was
-            S.link_blocks.__defaults__ = (was,)
-        blocks_links = spark.createDataFrame(blocks_links)
-    roots = {r.node: r.root for r in S.components(blocks_links).collect()}
+    roots = {r.node: r.root for r in S.components(S.link_within_radius(frame, cell=cell)).collect()}
     want = brute_components({f: f for f in fps})
     assert {f: roots.get(f, f) for f in fps} == want
 
