@@ -23,7 +23,7 @@ KEY = "pseudonyms of round one"
 ROUNDS = 6
 #: Kinds in the order in which a place in the text is tried.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -31,11 +31,18 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 KINDS = list(PATTERNS)
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All kinds but mail addresses begin with one of few characters, which most places in a text are passed over by.
+NUMBERS = "(?=[0-9+(])(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email") + ")"
+ANY = f"(?:{PATTERNS['email']})|{NUMBERS}"
 #: Dates are permuted among 250 x 292 days from here on.
 FIRST_DAY, DAY_A, DAY_B = "1900-01-01", 250, 292
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), value being evaluated once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _number(text: Column, at: Column, width: int = 4) -> Column:
     """Hex digits of text from place `at` (from 0, in steps of width) as a number."""
     return F.conv(F.substr(text, at * width + 1, F.lit(width)), 16, 10).cast("int")
@@ -50,9 +57,9 @@ def _hash(key: str, kind: Column, turn: Column, other: Column) -> Column:
 def _shift(half: Column, stream: Column, sign: int) -> Column:
     """Each letter and digit of half moved within its class."""
 
-    def one(i: Column) -> Column:
-        c = F.substr(half, i + 1, F.lit(1))
-        k = _number(stream, F.pmod(i, F.lit(64))) * sign
+    def one(both: Column, i: Column) -> Column:
+        c = F.substr(both["half"], i + 1, F.lit(1))
+        k = _number(both["stream"], F.pmod(i, F.lit(64))) * sign
 
         def moved(first: str, size: int) -> Column:
             low = ord(first)
@@ -60,7 +67,11 @@ def _shift(half: Column, stream: Column, sign: int) -> Column:
 
         return F.when(c.between("0", "9"), moved("0", 10)).when(c.between("a", "z"), moved("a", 26)).when(c.between("A", "Z"), moved("A", 26)).otherwise(c)
 
-    return F.when(F.length(half) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.length(half) - 1), one), "")).otherwise("")
+    def shifted(both: Column) -> Column:
+        letters = F.transform(F.sequence(F.lit(0), F.length(both["half"]) - 1), lambda i: one(both, i))
+        return F.when(F.length(both["half"]) > 0, F.array_join(letters, "")).otherwise("")
+
+    return _let(F.struct(half.alias("half"), stream.alias("stream")), shifted)
 
 
 def _turns(restore: bool) -> Column:
@@ -70,14 +81,17 @@ def _turns(restore: bool) -> Column:
 
 def permute_string(value: Column, kind: Column, key: str, restore: bool = False) -> Column:
     """A permutation of strings that keeps length and the class of every character."""
-    cut = F.floor(F.length(value) / 2).cast("int")
-    start = F.struct(F.substr(value, F.lit(1), cut).alias("a"), F.substr(value, cut + 1, F.length(value)).alias("b"))
+    def halves(v: Column) -> Column:
+        cut = F.floor(F.length(v) / 2).cast("int")
+        return F.struct(F.substr(v, F.lit(1), cut).alias("a"), F.substr(v, cut + 1, F.length(v)).alias("b"))
+
+    start = _let(value, halves)
     sign = -1 if restore else 1
 
     def turn(s: Column, t: Column) -> Column:
         even = t % 2 == 0
         moved = _shift(F.when(even, s["a"]).otherwise(s["b"]), _hash(key, kind, t, F.when(even, s["b"]).otherwise(s["a"])), sign)
-        return F.struct(F.when(even, moved).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(moved).alias("b"))
+        return _let(moved, lambda m: F.struct(F.when(even, m).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(m).alias("b")))
 
     return F.aggregate(_turns(restore), start, turn, lambda s: F.concat(s["a"], s["b"]))
 
@@ -99,13 +113,17 @@ def permute_pair(a: Column, b: Column, sizes: tuple[int, int], kind: str, key: s
 
 def luhn(digits: Column) -> Column:
     """The sum of Luhn's rule over digits whose last is the check digit, mod 10."""
-    n = F.length(digits)
 
-    def one(total: Column, i: Column) -> Column:
-        d = F.substr(digits, n - i, F.lit(1)).cast("int") * (1 + i % 2)
-        return total + F.floor(d / 10).cast("int") + d % 10
+    def summed(text: Column) -> Column:
+        n = F.length(text)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), one) % 10
+        def one(total: Column, i: Column) -> Column:
+            d = F.substr(text, n - i, F.lit(1)).cast("int") * (1 + i % 2)
+            return total + F.floor(d / 10).cast("int") + d % 10
+
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), one) % 10
+
+    return _let(digits, summed)
 
 
 def _digits(value: Column) -> Column:
@@ -114,6 +132,10 @@ def _digits(value: Column) -> Column:
 
 def _refill(shape: Column, digits: Column) -> Column:
     """shape with its digits replaced, in order."""
+    return _let(digits, lambda d: _filled(shape, d))
+
+
+def _filled(shape: Column, digits: Column) -> Column:
     spots = F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: F.substr(shape, i, F.lit(1)))
     filled = F.aggregate(
         spots,
@@ -129,8 +151,7 @@ def _refill(shape: Column, digits: Column) -> Column:
 def _card(value: Column, key: str, restore: bool) -> Column:
     d = _digits(value)
     body = F.concat(F.substr(d, F.lit(1), F.lit(1)), permute_string(F.substr(d, F.lit(2), F.length(d) - 2), F.lit("card"), key, restore))
-    check = F.pmod(10 - luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return _refill(value, F.concat(body, check))
+    return _refill(value, _let(body, lambda b: F.concat(b, F.pmod(10 - luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))))
 
 
 def _ip(value: Column, key: str, restore: bool) -> Column:
@@ -226,10 +247,12 @@ def pseudonymize(docs: DataFrame, key: str = KEY, restore: bool = False) -> Data
 
     Texts are cut at the matches, the matches permuted, and all put together again, row by row.
     """
-    touched = F.col("text").rlike(ANY)
-    matches = F.when(touched, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    text = F.col("text")
+    mails, touched = text.contains("@"), text.rlike("[0-9@]")
+    parts = F.when(touched, F.when(mails, F.split(text, ANY, -1)).otherwise(F.split(text, NUMBERS, -1)))
+    matches = F.when(touched, F.when(mails, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0))))
     found = F.transform(matches, lambda m: _replaced(m, key, restore))
-    cut = docs.select("doc_id", "text", F.when(touched, F.split("text", ANY, -1)).alias("_parts"), found.alias("_found"))
+    cut = docs.select("doc_id", "text", parts.alias("_parts"), found.alias("_found"))
     # a part and the match after it, in turn; the last part has none
     joined = F.array_join(F.transform("_parts", lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_found"), i)["value"], F.lit("")))), "")
 

@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 #: Fixed value: how byte-level byte-pair vocabularies of this kind cut text into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _RUNS = regex.compile(r"\s{2,}(?=\S)")
-#: Pieces held by a worker, and the longest that is held.
-HELD, LONGEST_HELD = 400_000, 40
+#: Pieces and prefixes held by a worker, and the longest piece that is held; beyond them, counts are made anew each time.
+HELD, STATES, LONGEST_HELD = 500_000, 500_000, 40
 
 
 def _byte_letters() -> dict[str, int]:
@@ -49,10 +49,15 @@ class PrefixCounter:
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
         self.specials = [t["content"] for t in file["added_tokens"]]
         special = set(self.specials)
-        # tokens that their own bytes don't encode to never come up
-        self.tokens = {t for t in map(raw, (v for v in file["model"]["vocab"] if v not in special)) if self.encode(t) == [t]}
-        self.longest = max(map(len, self.tokens))
-        self.starts = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
+        # how each token comes about: the last merge, and its place in the order of merges
+        self.made = {a + b: (k, a, b) for (a, b), k in reversed(self.rank.items())}
+        # what a token can end with: true for tokens, false for mere ends; a token whose own bytes encode to
+        # something else never comes up
+        tokens = {t for t in map(raw, (v for v in file["model"]["vocab"] if v not in special)) if self.encode(t) == [t]}
+        self.ends = {t[k:]: False for t in tokens for k in range(1, len(t))} | dict.fromkeys(tokens, True)
+        #: For prefixes of pieces, the token count and last token of each of their prefixes, and perhaps of longer ones.
+        self.states: dict[bytes, list[tuple[int, bytes]]] = {}
+        self.edges: dict[tuple[bytes, bool], list[tuple[bytes, int]]] = {}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.held: dict[str, bytes] = {}
 
@@ -66,31 +71,66 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def edge(self, token: bytes, right: bool) -> list[tuple[bytes, int]]:
+        """The parts that lie at a token's right (or left) end while it is merged, each with the place of the merge that uses it up."""
+        known = self.edges.get((token, right))
+        if known is None:
+            known, part, until = [], token, 1 << 30
+            while True:
+                known.append((part, until))
+                if len(part) == 1:
+                    break
+                until, a, b = self.made[part]
+                part = b if right else a
+            self.edges[token, right] = known
+        return known
+
     def pair_fits(self, a: bytes, b: bytes) -> bool:
+        """Whether a, b is the encoding of their bytes: no two parts at the seam would merge while both are there.
+        Of equal merges the leftmost comes first, so one at the seam comes before one to its right only."""
         known = self.fits.get((a, b))
         if known is None:
-            known = self.encode(a + b) == [a, b]
-            if len(self.fits) < 4 * HELD:
+            rank, known = self.rank, True
+            for x, x_until in self.edge(a, True):
+                for y, y_until in self.edge(b, False):
+                    k = rank.get((x, y))
+                    if k is not None and k < x_until and k <= y_until:
+                        known = False
+            if len(self.fits) < 2 * HELD:
                 self.fits[a, b] = known
         return known
 
     def byte_counts(self, data: bytes) -> list[int]:
         """The token count of every prefix of a piece, by bytes; from the empty one."""
-        n = len(data)
-        count, last = [0] * (n + 1), [b""] * (n + 1)
-        tokens, starts, fits, longest = self.tokens, self.starts, self.pair_fits, self.longest
-        done = [False] * (n + 1)
-        done[0] = True
-        for i in range(n):
-            # all tokens that start here and fit the last token of the prefix before
-            before, c = last[i], count[i] + 1
-            for j in range(i + 1, min(n, i + longest) + 1):
-                t = data[i:j]
-                if t not in starts:
-                    break
-                if not done[j] and t in tokens and (not before or fits(before, t)):
-                    count[j], last[j], done[j] = c, t, True
-        return count
+        states, ends, fits, known = self.states, self.ends.get, self.fits.get, self.pair_fits
+        n, row, low, high = len(data), [(0, b"")], 0, len(data)
+        while low < high:  # the longest prefix met before: all of its own prefixes were met, too
+            half = (low + high + 1) // 2
+            met = states.get(data[:half])
+            if met is None:
+                high = half - 1
+            else:
+                low, row = half, met
+        row = row[: low + 1]
+        room = len(states) < STATES
+        for i in range(len(row), n + 1):
+            # the one token that ends here and fits the last token of the prefix before it
+            for j in range(i - 1, -1, -1):
+                t = data[j:i]
+                whole = ends(t)
+                if whole is None:
+                    raise ValueError("a byte without a token")
+                if whole:
+                    c, before = row[j]
+                    fit = not before or fits((before, t))
+                    if fit is None:
+                        fit = known(before, t)
+                    if fit:
+                        row.append((c + 1, t))
+                        if room:
+                            states[data[:i]] = row
+                        break
+        return [c for c, _ in row]
 
     def changes(self, piece: str) -> bytes:
         """Change of the token count at each code point of a piece."""
@@ -100,14 +140,11 @@ class PrefixCounter:
         data = piece.encode("utf-8", "surrogatepass")
         counts = self.byte_counts(data)
         if len(data) != len(piece):
-            ends = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[1:].tolist() + [len(data)]
-            counts = [0] + [counts[e] for e in ends]
+            counts = [c for c, b in zip(counts, data, strict=False) if b & 0xC0 != 0x80] + counts[-1:]
         if piece in ("'re", "'ve", "'ll"):
             counts[2] = 2  # cut there, the apostrophe and the letter are pieces of their own
-        out = np.diff(np.array(counts)).astype(np.int8).tobytes()
-        if len(piece) <= LONGEST_HELD:
-            if len(self.held) >= HELD:
-                self.held.clear()
+        out = bytes([(b - a) & 255 for a, b in zip(counts, counts[1:], strict=False)])
+        if len(piece) <= LONGEST_HELD and len(self.held) < HELD:
             self.held[piece] = out
         return out
 
