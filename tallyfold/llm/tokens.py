@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _RUNS = regex.compile(r"\s{2,}(?=\S)")
 #: Pieces and prefixes held by a worker, and the longest piece that is held; beyond them, counts are made anew each time.
-HELD, STATES, LONGEST_HELD = 500_000, 500_000, 40
+HELD, STATES, LONGEST_HELD = 250_000, 200_000, 40
 
 
 def _byte_letters() -> dict[str, int]:
@@ -96,7 +96,7 @@ class PrefixCounter:
                     k = rank.get((x, y))
                     if k is not None and k < x_until and k <= y_until:
                         known = False
-            if len(self.fits) < 2 * HELD:
+            if len(self.fits) < HELD:
                 self.fits[a, b] = known
         return known
 
