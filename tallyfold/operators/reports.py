@@ -1,0 +1,103 @@
+"""Dashboards, breakdowns, lookups and explanation checks as SQL over the canonical tables.
+
+Each report is one statement that reads DataFrames by name ({tx}, {alerts}, …); the text is ANSI enough for another engine
+to read it, too.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+_DIMS = ("completeness", "correctness", "actionability", "regulatory")
+_ALL_FOUR = " AND ".join(f"{d} IS NOT NULL" for d in _DIMS)
+_MEAN_OF = f"({' + '.join(f'coalesce({d}, 0)' for d in _DIMS)}) / ({' + '.join(f'CASE WHEN {d} IS NULL THEN 0 ELSE 1 END' for d in _DIMS)})"
+_QUALITY = (
+    "count(*) AS n, count(hallucination_free) AS evaluated, count(CASE WHEN hallucination_free = false THEN 1 END) AS flagged, "
+    "round(avg(CAST(latency_ms AS DOUBLE)), 6) AS avg_latency, "
+    f"round(avg(CASE WHEN {_ALL_FOUR} THEN (completeness + correctness + actionability + regulatory) / 4 END), 6) AS avg_quality"
+)
+_FLAGS = {
+    "EMPTY_RISK_SUMMARY": "trim(coalesce(risk_summary, '')) = ''",
+    "EMPTY_EXPLANATION_TEXT": "trim(coalesce(explanation_text, '')) = ''",
+    "EMPTY_SUSPICIOUS_PATTERNS": "n_patterns = 0",
+    "EMPTY_RECOMMENDED_ACTIONS": "n_actions = 0",
+    "CONFIDENCE_OUT_OF_RANGE": "confidence_score < 0 OR confidence_score > 1",
+    "RISK_DIRECTION_MISMATCH": "ml_risk_score > 0.9 AND (lower(explanation_text) LIKE '%low risk%' OR lower(explanation_text) LIKE '%unlikely fraud%')",
+    "RISK_OVERCLAIM": "ml_risk_score < 0.6 AND (lower(explanation_text) LIKE '%certainly fraud%' OR lower(explanation_text) LIKE '%definitely fraudulent%')",
+}
+
+
+def _flag(name: str) -> str:
+    return f"CASE WHEN {_FLAGS[name]} THEN '{name}' END"
+
+
+REPORTS: dict[str, str] = {
+    # dashboards and breakdowns
+    "dash_overview": "SELECT (SELECT count(*) FROM {tx}) AS transactions, (SELECT count(CASE WHEN is_fraud THEN 1 END) FROM {tx}) AS fraud, (SELECT count(*) FROM {alerts}) AS alerts, (SELECT count(*) FROM {expl}) AS explanations, (SELECT count(*) FROM {results}) AS results, (SELECT round(100.0 * count(CASE WHEN is_fraud THEN 1 END) / count(*), 2) FROM {tx}) AS fraud_pct",
+    "dash_detection": "SELECT status, detection_config, count(*) AS n, round(avg(ml_risk_score), 6) AS avg_score FROM {alerts} WHERE is_anomaly GROUP BY GROUPING SETS ((status), (detection_config), ())",
+    "dash_quality": f"SELECT explanation_type, {', '.join(f'round(avg({d}), 6) AS {d}' for d in _DIMS)}, {_QUALITY}, round(100.0 * count(CASE WHEN hallucination_free = false THEN 1 END) / count(*), 6) AS flagged_pct, round(avg(confidence_score), 6) AS avg_confidence FROM {{expl}} GROUP BY explanation_type",
+    "dash_datasets": "SELECT transaction_type AS source, count(*) AS total, count(CASE WHEN is_fraud THEN 1 END) AS fraud, round(100.0 * count(CASE WHEN is_fraud THEN 1 END) / count(*), 2) AS fraud_pct FROM {tx} GROUP BY transaction_type",
+    "dash_types": "SELECT transaction_type, count(*) AS n FROM {tx} GROUP BY transaction_type",
+    "dash_experiments": "SELECT detection_config, fold, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, round(fpr, 4) AS fpr FROM {results}",
+    "amount_averages": "SELECT round(avg(CAST(amount AS DOUBLE)), 4) AS avg_amount, round(avg(CASE WHEN is_fraud THEN CAST(amount AS DOUBLE) END), 4) AS avg_fraud_amount FROM {tx}",
+    "metric_snapshot": "SELECT (SELECT count(*) FROM {tx}) AS total_transactions, (SELECT count(CASE WHEN is_fraud THEN 1 END) FROM {tx}) AS total_fraud_tx, (SELECT count(*) FROM {alerts}) AS total_alerts, (SELECT count(*) FROM {expl}) AS total_explanations, (SELECT count(*) FROM {results}) AS total_experiments",
+    "quality_breakdown": f"SELECT detection_config, {', '.join(f'round(avg({d}), 6) AS {d}' for d in _DIMS)}, round((avg(completeness) + avg(correctness) + avg(actionability) + avg(regulatory)) / 4, 6) AS overall, count(CASE WHEN {_ALL_FOUR} THEN 1 END) AS scored FROM {{expl}} GROUP BY detection_config",
+    "row_quality": f"SELECT id, CASE WHEN coalesce(completeness, correctness, actionability, regulatory) IS NOT NULL THEN round({_MEAN_OF}, 6) END AS quality FROM {{expl}}",
+    "cost_breakdown": "SELECT detection_config, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, round(avg(CAST(latency_ms AS DOUBLE)), 6) AS avg_latency, percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms) AS p95_latency FROM {expl} GROUP BY detection_config",
+    "pending_stats": "SELECT count(*) AS total, count(f.transaction_id) AS with_features, greatest(0, count(*) - count(f.transaction_id)) AS pending FROM {tx} t LEFT JOIN {feats} f ON f.transaction_id = t.id",
+    "experiment_summary": "SELECT detection_config, fold, round(f1, 4) AS f1, round(precision, 4) AS precision, round(recall, 4) AS recall FROM {results} ORDER BY detection_config, fold NULLS LAST",
+    "experiment_names": "SELECT DISTINCT detection_config FROM {results} ORDER BY detection_config",
+    "risk_band": "SELECT detection_config, CASE WHEN ml_risk_score < 0.4 THEN 'low' WHEN ml_risk_score < 0.7 THEN 'medium' WHEN ml_risk_score IS NOT NULL THEN 'high' END AS band, count(*) AS n FROM {alerts} GROUP BY 1, 2",
+    "hallucination_breakdown": "SELECT detection_config, flag, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT detection_config, {_flag(k)} AS flag FROM {{expl}}" for k in _FLAGS) + ") x WHERE flag IS NOT NULL GROUP BY detection_config, flag",
+    "data_quality": "SELECT check_id, severity FROM (SELECT 'transactions_present' AS check_id, CASE WHEN count(*) = 0 THEN 'FAIL' ELSE 'PASS' END AS severity FROM {tx} UNION ALL SELECT 'fraud_share', CASE WHEN 100.0 * count(CASE WHEN is_fraud THEN 1 END) / count(*) > 20 THEN 'WARN' ELSE 'PASS' END FROM {tx} UNION ALL SELECT 'test_share', CASE WHEN 100.0 * count(CASE WHEN NOT is_training_set THEN 1 END) / count(*) BETWEEN 10 AND 30 THEN 'PASS' ELSE 'WARN' END FROM {tx} UNION ALL SELECT 'alerts_present', CASE WHEN count(*) = 0 THEN 'WARN' ELSE 'PASS' END FROM {alerts} UNION ALL SELECT 'explanations_evaluated', CASE WHEN 2 * count(hallucination_free) < count(*) THEN 'WARN' ELSE 'PASS' END FROM {expl}) c",
+    # explanation jobs
+    "explain_route": "SELECT id, CASE WHEN detection_config IN ('RULES_ONLY', 'ML_ONLY') THEN 'SKIP' WHEN ml_risk_score IS NULL THEN 'RAG' WHEN ml_risk_score < 0.5 THEN 'SKIP' WHEN ml_risk_score < 0.75 THEN 'DIRECT' ELSE 'RAG' END AS route, CASE WHEN ml_risk_score IS NULL THEN 'LLM_RAG' WHEN ml_risk_score < 0.5 THEN NULL WHEN ml_risk_score < 0.75 THEN 'LLM_DIRECT' ELSE 'LLM_RAG' END AS effective_type FROM {alerts}",
+    "explain_pending": "SELECT a.id FROM {alerts} a WHERE a.is_anomaly AND a.detection_config = 'FULL_SYSTEM' AND NOT EXISTS (SELECT 1 FROM {expl} e WHERE e.alert_id = a.id AND e.explanation_type = 'LLM_DIRECT') ORDER BY a.id LIMIT 200",
+    "rag_dedup_keys": "SELECT DISTINCT rule_triggered, transaction_type FROM {alerts} a JOIN {tx} t ON t.id = a.transaction_id WHERE rule_triggered IS NOT NULL",
+    "validate_empty_fields": "SELECT id, " + ", ".join(f"{_flag(k)} AS {k.lower()}" for k in list(_FLAGS)[:4]) + " FROM {expl}",
+    "validate_confidence": f"SELECT id, {_flag('CONFIDENCE_OUT_OF_RANGE')} AS flag FROM {{expl}}",
+    "validate_risk_direction": f"SELECT id, {_flag('RISK_DIRECTION_MISMATCH')} AS mismatch, {_flag('RISK_OVERCLAIM')} AS overclaim FROM {{expl}}",
+    "validate_all": "SELECT id, concat_ws(',', " + ", ".join(_flag(k) for k in _FLAGS) + ") AS flags, concat_ws(',', " + ", ".join(_flag(k) for k in _FLAGS) + ") = '' AS hallucination_free, CASE WHEN explanation_type = 'LLM_RAG' AND concat_ws(',', " + ", ".join(_flag(k) for k in _FLAGS) + ") = '' THEN 'LLM_RAG_VALIDATED' ELSE explanation_type END AS explanation_type FROM {expl}",
+    "score_null_sentinels": "SELECT id, " + ", ".join(f"nullif({d}, 0) AS {d}" for d in _DIMS) + " FROM {expl}",
+    "unscored_explanations": "SELECT id FROM {expl} WHERE completeness IS NULL AND explanation_type IN ('LLM_RAG', 'LLM_DIRECT') ORDER BY id LIMIT 100",
+    "rescore_reset": "SELECT e.id, " + ", ".join(f"CASE WHEN s.id IS NULL THEN {d} END AS {d}" for d in _DIMS) + " FROM {expl} e LEFT JOIN (SELECT id FROM {expl} WHERE explanation_type = 'LLM_RAG' ORDER BY id LIMIT 50) s ON s.id = e.id",
+    "rating_sample": "SELECT e.id, e.explanation_text, e.completeness, e.correctness, e.amount, CAST(NULL AS DOUBLE) AS human_completeness FROM {expl} e WHERE explanation_type = 'LLM_RAG' ORDER BY e.id LIMIT 200",
+    # evaluation tables
+    "testset_counts": "SELECT transaction_type, count(*) AS total, count(CASE WHEN is_fraud THEN 1 END) AS fraud FROM {tx} WHERE NOT is_training_set GROUP BY transaction_type",
+    "explanation_metrics": f"SELECT detection_config, explanation_type, {_QUALITY} FROM {{expl}} GROUP BY detection_config, explanation_type",
+    "explanation_metrics_fold": f"SELECT detection_config, fold, {_QUALITY} FROM {{expl}} GROUP BY detection_config, fold",
+    "winners": " UNION ALL ".join(f"SELECT metric, detection_config, value FROM (SELECT '{m}' AS metric, detection_config, {m} AS value, row_number() OVER (ORDER BY {m} {d}, detection_config, fold NULLS LAST) AS r FROM {{results}} WHERE {m} IS NOT NULL AND fold IS NULL) x WHERE r = 1" for m, d in (("f1", "DESC"), ("precision", "DESC"), ("fpr", "ASC"))),
+    "compare_view": "SELECT detection_config, fold, precision, recall, f1, fpr FROM (SELECT *, max(CASE WHEN fold IS NULL THEN 1 ELSE 0 END) OVER () AS has FROM {results}) x WHERE fold IS NULL OR has = 0",
+    "comparison_pivot": "SELECT metric, max(CASE WHEN detection_config = 'RULES_ONLY' THEN value END) AS rules_only, max(CASE WHEN detection_config = 'ML_ONLY' THEN value END) AS ml_only, max(CASE WHEN detection_config = 'FULL_SYSTEM' THEN value END) AS full_system FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, detection_config, {m} AS value FROM {{results}} WHERE fold IS NULL" for m in ("precision", "recall", "f1", "fpr")) + ") x GROUP BY metric",
+    # lookups
+    "tx_search": "SELECT id, sender_account, receiver_account, amount FROM {tx} WHERE transaction_type = 'TRANSFER' AND is_fraud AND (lower(sender_account) LIKE '%c1%' OR lower(receiver_account) LIKE '%c1%') ORDER BY id DESC LIMIT 25",
+    "alert_search": "SELECT id, transaction_id, ml_risk_score FROM {alerts} WHERE status = 'NEW' AND detection_config = 'FULL_SYSTEM'",
+    "explanation_search": "SELECT id FROM {expl} WHERE explanation_type = 'LLM_RAG' AND hallucination_free = false",
+    "high_risk_alerts": "SELECT id, ml_risk_score FROM {alerts} WHERE ml_risk_score >= 0.7 ORDER BY ml_risk_score DESC, id LIMIT 100",
+    "sender_history": "SELECT sender_account, count(*) AS n, count(DISTINCT receiver_account) AS receivers, round(avg(CAST(amount AS DOUBLE)), 6) AS mean, round(stddev_pop(CAST(amount AS DOUBLE)), 4) AS sd FROM {tx} WHERE timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND timestamp <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY sender_account",
+    "pair_exists": "SELECT id, timestamp > min(timestamp) OVER (PARTITION BY sender_account, receiver_account) AS paid_before FROM {tx}",
+    "alerts_for_tx": "SELECT t.id, a.detection_config, e.explanation_type FROM {tx} t JOIN {alerts} a ON a.transaction_id = t.id LEFT JOIN {expl} e ON e.alert_id = a.id",
+    "config_anomalies": "SELECT a.id, a.detection_config, t.fold FROM {alerts} a JOIN {tx} t ON t.id = a.transaction_id WHERE a.is_anomaly AND NOT t.is_training_set",
+    "results_by_config": "SELECT fold, f1 FROM {results} WHERE detection_config = 'FULL_SYSTEM'",
+    "keyset_page": "SELECT id, amount FROM {tx} WHERE NOT is_training_set AND id > 100 ORDER BY id LIMIT 500",
+    # maintenance as rewritten tables, exports
+    "alert_status_update": "SELECT id, CASE WHEN id % 10 = 1 AND ml_risk_score IS NULL THEN 'DISMISSED' ELSE status END AS status FROM {alerts}",
+    "delete_results": "SELECT detection_config, fold, f1 FROM {results} WHERE NOT (detection_config = 'ML_ONLY')",
+    "export_alerts": "SELECT id, transaction_id, detection_config, coalesce(rule_triggered, '') AS rule_triggered, coalesce(CAST(CAST(ml_risk_score AS DECIMAL(10,6)) AS VARCHAR(20)), '') AS score FROM {alerts} WHERE is_anomaly",
+    "export_experiments": "SELECT detection_config, coalesce(CAST(fold AS VARCHAR(9)), '') AS fold, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall, coalesce(f1, 0) AS f1 FROM {results}",
+}
+TABLES = ("tx", "feats", "alerts", "expl", "results", "scores")
+
+
+def report(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
+    """A report over the tables that it names."""
+    sql = REPORTS[name]
+    return spark.sql(sql, **{t: df for t, df in tables.items() if f"{{{t}}}" in sql})
+
+
+def plain(name: str) -> str:
+    """The report's SQL over tables of those names."""
+    sql = REPORTS[name]
+    for t in TABLES:
+        sql = sql.replace(f"{{{t}}}", t)
+    return sql
