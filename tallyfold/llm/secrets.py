@@ -81,7 +81,8 @@ def log_p(run: str) -> float:
     spread = size / n * math.sqrt(4 * n**3 * (CUBES - EVENNESS**2) + 2 * n**2 * EVENNESS)
     p = [_normal_tail((mean - chi) / spread)]
     kind = np.array([0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in run])
-    changes, expected = int((kind[1:] != kind[:-1]).sum()), (n - 1) * CLASS_CHANGE
+    kind = kind[kind < 3]  # marks between words say nothing
+    changes, expected = int((kind[1:] != kind[:-1]).sum()), max(1, len(kind) - 1) * CLASS_CHANGE
     p.append(min(1.0, math.exp(changes - expected) * (expected / changes) ** changes) if changes > expected else 1.0)  # Chernoff's bound
     vowel = np.array([c in "aeiouyAEIOUY" for c in run], float)
     x = vowel - vowel.mean()

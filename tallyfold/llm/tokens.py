@@ -112,7 +112,7 @@ class PrefixCounter:
             else:
                 low, row = half, met
         row = row[: low + 1]
-        room = len(states) < STATES
+        room = len(states) < STATES and n <= LONGEST_HELD
         for i in range(len(row), n + 1):
             # the one token that ends here and fits the last token of the prefix before it
             for j in range(i - 1, -1, -1):
