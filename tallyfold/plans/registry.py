@@ -7,24 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import detect, evaluate, features, reports, retrieval, rules, split
 from tallyfold.plans.canonical import METRICS, Canonical
-from tallyfold.plans.oracles import over
+from tallyfold.plans import workflows  # noqa: F401  registers its own
+from tallyfold.plans.register import ORACLES, QUERIES, query  # noqa: F401
 from tallyfold.sources import imports
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register f(canonical) under a name, with its oracle over the canonical tables."""
-
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Canonical(spark, sf_dir))
-        if sql is not None:
-            ORACLES[name] = over(sql)
-        return f
-
-    return add
-
 
 # features
 _F = "amount_zscore tx_velocity_1h tx_velocity_24h avg_amount_7d amount_ratio_to_avg balance_change_ratio is_new_receiver receiver_diversity_7d hour_of_day day_of_week is_round_amount is_high_risk_type".split()

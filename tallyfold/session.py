@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +21,12 @@ def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        place = f"{tempfile.gettempdir()}/tallyfold-shared"
+        spark.conf.set("spark.checkpoint.dir", place)
+    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
