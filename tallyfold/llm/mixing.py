@@ -58,7 +58,8 @@ def raked_cells(units: DataFrame, sweeps: int = SWEEPS, share: float = SHARE) ->
     """source, lang, topic, cell_tokens, weight (share of the mixture), probability of every cell with tokens.
 
     The cells are a table of distinct source, language and topic: small beside the documents, but never collected;
-    it is written after every sweep so that plans stay short. Each margin is one grouped window.
+    it is written after every third sweep so that plans stay short. Each margin is one grouped window; the pricing needs all
+    cells in one order, so they lie in one partition from the start and no window shuffles.
     """
     cells = units.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("cell_tokens")).where("cell_tokens > 0")
     cells = written(cells, "cells")
@@ -73,11 +74,12 @@ def raked_cells(units: DataFrame, sweeps: int = SWEEPS, share: float = SHARE) ->
             roots = roots.withColumn(f"to_{margin}", F.col("_r") / F.sum("_r").over(Window.partitionBy())).drop("_r")
             held = held.join(roots, margin)
     held = written(held, "margins")
+    held = held.coalesce(1)
     for sweep in range(sweeps):
         for margin in MARGINS:
             held = held.withColumn("weight", F.col("weight") * F.col(f"to_{margin}") / F.sum("weight").over(Window.partitionBy(margin)))
         if sweep % 3 == 2:
-            held = written(held, "raked")
+            held = written(held, "raked").coalesce(1)
     # probability min(1, scale weight / cell_tokens): the scale that spends share of all tokens, found over the cells by
     # rising price: with the cells of the highest ratio at 1, the others split what is left of the budget
     ratio = F.col("weight") / F.col("cell_tokens")
