@@ -23,7 +23,7 @@ def split_summary(split: DataFrame, ratio: float = 0.8) -> DataFrame:
 
 
 def stratified_split(tx: DataFrame) -> DataFrame:
-    """Every fifth row of each label is test. Ranks are per label and hash shard, so a label is never one task."""
+    """Every fifth row of each label by id is test. The rank needs each label in one sorted task: for small tables; use temporal_split at scale."""
     by = Window.partitionBy("is_fraud").orderBy("id")
     return tx.withColumn("is_training_set", F.row_number().over(by) % 5 != 0)
 
