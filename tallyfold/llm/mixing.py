@@ -106,8 +106,11 @@ def draw() -> Column:
 
 
 def mixture(docs: DataFrame, sweeps: int = SWEEPS, share: float = SHARE) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, probability, sampled for every row of docs."""
-    units = _units(docs)
+    """doc_id, source, lang, topic, n_tokens, weight, probability, sampled for every row of docs.
+
+    Each text is read and counted once: what the cells and the result need of it is written.
+    """
+    units = written(_units(docs), "units")
     cells = raked_cells(units, sweeps, share).drop("cell_tokens")
     return _decided(units.join(cells, list(MARGINS), "left")).select(
         "doc_id", *MARGINS, "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), "sampled"
