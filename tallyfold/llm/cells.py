@@ -16,21 +16,34 @@ CELL = 2048
 KEYS = ["block", "key", "i", "j"]
 
 
-def met_cells(blocks: DataFrame, payload: DataFrame, cell: int = CELL) -> DataFrame:
-    """Rows (block, key, i, j, side, node, payload's columns) of all blocks (block int, key long, node long) that have
-    two members or more, each cell's rows together and in order.
+def dealt_cells(blocks: DataFrame, cell: int = CELL, heavy: int | None = None) -> DataFrame:
+    """Rows (block, key, i, j, side, node, other columns of blocks) of all blocks (block int, key long, node long) that have
+    two members or more.
 
     A block of over `cell` nodes is dealt into chunks by node, and every two chunks meet in a cell of their own, so
-    no task ever holds more than two chunks of one block. side tells the chunk within the cell.
+    no task ever holds more than two chunks of one block. side tells the chunk within the cell. With `heavy`, column
+    weight counts too: blocks of more than that in sum are dealt as well.
     """
-    sizes = written(blocks.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "blocks")
-    met = blocks.join(sizes, ["block", "key"]).withColumn("m", F.ceil(F.col("n") / cell).cast("int"))
+    most = [] if heavy is None else [F.sum("weight").alias("heft")]
+    sizes = written(blocks.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n"), *most).where("n > 1"), "blocks")
+    chunks = F.ceil(F.col("n") / cell) if heavy is None else F.greatest(F.ceil(F.col("n") / cell), F.least(F.col("n"), F.ceil(F.col("heft") / heavy)))
+    met = blocks.join(sizes, ["block", "key"]).withColumn("m", chunks.cast("int"))
     mine = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-    dealt = met.select("block", "key", "node", mine.alias("c"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
+    more = [c for c in blocks.columns if c not in ("block", "key", "node", "weight")]
+    dealt = met.select("block", "key", "node", *more, mine.alias("c"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
     side = (F.col("c") > F.col("o")).cast("int").alias("side")
-    dealt = dealt.select("block", "key", "node", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), side)
+    return dealt.select("block", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), side, "node", *more)
+
+
+def filled_cells(dealt: DataFrame, payload: DataFrame) -> DataFrame:
+    """dealt with payload's columns joined by node, each cell's rows together and in order."""
     full = dealt.join(payload, "node").repartition(*KEYS).sortWithinPartitions(*KEYS, "side", "node")
-    return full.select(*KEYS, "side", "node", *[c for c in payload.columns if c != "node"])
+    return full.select(*dealt.columns, *[c for c in payload.columns if c != "node"])
+
+
+def met_cells(blocks: DataFrame, payload: DataFrame, cell: int = CELL) -> DataFrame:
+    """The cells of all blocks (block int, key long, node long), with payload's columns: see dealt_cells and filled_cells."""
+    return filled_cells(dealt_cells(blocks, cell), payload)
 
 
 def by_cell(handle: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame]):

@@ -11,8 +11,9 @@ Two block rules are built on that:
   fingerprints within r differ in at most r pieces, so they agree on some two pieces. Every pair of pieces is a
   block key.
 * ``near_duplicates``: five-word shingles and a similarity of 0.8. There the distance is far beyond what pieces
-  can catch, so blocks come from banded minima of shingle hashes, the planes of 512-bit fingerprints are
-  compared as above, and the exact Jaccard similarity of the linked texts decides.
+  can catch, so blocks come from banded minima of shingle hashes. The planes of 512-bit fingerprints, compared as above
+  in a few bands, propose links that the exact Jaccard similarity confirms; then every pair of every block that is
+  not joined yet is decided by its exact similarity.
 
 Edge cases: null and empty texts and texts without a word have fingerprint zero and are linked like any other;
 a text shorter than a shingle is one shingle; equal texts share a fingerprint, so copies collapse before any
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.llm.cells import CELL, by_cell, met_cells
+from tallyfold.llm.cells import CELL, KEYS, by_cell, dealt_cells, filled_cells, met_cells
 from tallyfold.llm.common import WORDS, components, written
 
 SEED = 42
@@ -238,8 +239,10 @@ def simhash_components(docs: DataFrame, radius: int = 4) -> DataFrame:
 
 WIDE = 8
 BANDS, ROWS = 25, 5
-#: Bands that are compared before the others; what they link is not compared again.
+#: Bands whose closest pairs are tried first; what they link is not compared again.
 FIRST_BANDS = 5
+#: Shingles of one chunk: two chunks of 64-bit hashes take 32 MB.
+HEAVY = 2_000_000
 #: 512-bit distance that a pair of similarity 0.8 (78 on average, deviation 8) exceeds once in a thousand cases.
 WIDE_RADIUS = 103
 _rng = np.random.default_rng(20240)
@@ -255,21 +258,30 @@ def _mixed(h: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return x
 
 
-def wide_print(text: str | None, words: int = 5) -> tuple[bytes, list[int]]:
-    """The 512-bit fingerprint of the text's distinct shingles, and a key for each band of minima."""
+def distinct_shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The hashes of the text's distinct shingles in order; a single zero without a word."""
     h = np.unique(shingle_hashes(text, words))
-    if not len(h):
-        h = np.zeros(1, np.uint64)
+    return h if len(h) else np.zeros(1, np.uint64)
+
+
+def wide_print(text: str | None, words: int = 5) -> tuple[bytes, list[int], int]:
+    """The 512-bit fingerprint of the text's distinct shingles, a key for each band of minima, and their number."""
+    h = distinct_shingles(text, words)
     least = np.full(BANDS * ROWS, ~np.uint64(0))
     for at in range(0, len(h), 4096):
         least = np.minimum(least, _mixed(h[at : at + 4096], _MULTIPLY).min(axis=0))
     keys = [xxhash.xxh64_intdigest(band.tobytes(), SEED) for band in least.reshape(BANDS, ROWS)]
-    return majority(_mixed(h, _WIDEN)).tobytes(), np.array(keys, np.uint64).view(np.int64).tolist()
+    return majority(_mixed(h, _WIDEN)).tobytes(), np.array(keys, np.uint64).view(np.int64).tolist(), len(h)
 
 
-@F.pandas_udf(T.StructType().add("print", T.BinaryType()).add("keys", T.ArrayType(T.LongType())))
+@F.pandas_udf(T.StructType().add("print", T.BinaryType()).add("keys", T.ArrayType(T.LongType())).add("size", T.LongType()))
 def _wide5(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([wide_print(t) for t in text], columns=["print", "keys"])
+    return pd.DataFrame([wide_print(t) for t in text], columns=["print", "keys", "size"])
+
+
+@F.pandas_udf(T.BinaryType())
+def _shingles5(text: pd.Series) -> pd.Series:
+    return pd.Series([distinct_shingles(t).tobytes() for t in text], dtype=object)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -282,22 +294,84 @@ def _jaccard5(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, cell: int = CELL) -> DataFrame:
     """Groups of near-duplicate texts: one row (node long, root long) per distinct text linked to another one.
 
-    node is xxhash64 of the text (null as empty). Words are as for fingerprints, shingles of five.
+    node is xxhash64 of the text (null as empty). Words are as for fingerprints, shingles of five. Pairs that share a band
+    are decided exactly; a pair of similarity 0.8 shares none of the bands in one of 20,000 cases.
     """
     text = F.coalesce("text", F.lit(""))
     one = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    own = written(one.select("node", _wide5("text").alias("w")).select("node", "w.print", "w.keys").dropDuplicates(["node"]), "wide")
+    own = written(one.select("node", _wide5("text").alias("w")).select("node", "w.print", "w.keys", "w.size").dropDuplicates(["node"]), "wide")
     first = _verified(one, own, own.select("node", F.posexplode("keys").alias("block", "key")).where(F.col("block") < FIRST_BANDS), similarity)
     roots = written(components(first), "roots")
-    # a block of the other bands whose members are all linked already has nothing to add
-    rest = own.select("node", F.posexplode("keys").alias("block", "key")).where(F.col("block") >= FIRST_BANDS)
-    rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    undecided = rest.groupBy("block", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("block", "key")
-    later = _verified(one, own, rest.drop("root").join(written(undecided, "undecided"), ["block", "key"]), similarity)
-    return components(first.union(later))
+    # a block whose members are all linked already has nothing to add; in the others every pair of two roots is decided
+    every = own.select("node", F.col("size").alias("weight"), F.posexplode("keys").alias("block", "key"))
+    every = every.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return components(first.union(_decided(one, _undecided(every, "block", "key"), similarity, cell)))
+
+
+def _undecided(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows of those groups by the keys that have more than one root."""
+    open_ = rows.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*keys)
+    return rows.join(written(open_, "undecided"), list(keys))
+
+
+def _decided(texts: DataFrame, blocks: DataFrame, similarity: float, cell: int) -> DataFrame:
+    """Links (u, v) that join all nodes of a block (block, key, node, weight, root) whose texts have at least the similarity:
+    no pair of different roots is left untested."""
+    dealt = written(_undecided(dealt_cells(blocks, cell, HEAVY), *KEYS), "dealt")
+    met = dealt.select("node").distinct()
+    sets = written(texts.join(met, "node", "left_semi").dropDuplicates(["node"]).select("node", _shingles5("text").alias("shingles")), "shingles")
+    return written(filled_cells(dealt, sets).mapInPandas(by_cell(_similar(similarity)), "u long, v long").distinct(), "links")
+
+
+def _similar(similarity: float):
+    def handle(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        node, side, root = (rows[c].to_numpy() for c in ("node", "side", "root"))
+        cross = rows["i"].to_numpy() != rows["j"].to_numpy()
+        sets = [np.frombuffer(b, np.uint64) for b in rows["shingles"]]
+        out = []
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            left = int((side[s:e] == 0).sum()) if cross[s] else 0
+            if not cross[s] or 0 < left < e - s:
+                out.extend(_joins(node[s:e], root[s:e], sets[s:e], left, similarity))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return handle
+
+
+def _joins(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], left: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links of one cell by exact Jaccard similarity of sorted sets, none of them empty. Every pair is tested unless its
+    ends are joined already, by their roots or by links found before. left: as for _links."""
+    n = len(node)
+    group = np.unique(root, return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    fits = lambda k, js: js[np.minimum(size[js], size[k]) / np.maximum(size[js], size[k]) >= similarity]
+    if n == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True)) if group[0] != group[1] and len(fits(0, np.array([1]))) else 0
+        if both / (size.sum() - both) >= similarity:
+            yield int(node[0]), int(node[1])
+        return
+    shingle, at = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(shingle), np.int32)
+    for k in range(left or n):
+        first = left or k + 1
+        js = fits(k, first + np.flatnonzero(group[first:] != group[k]))
+        if not len(js):
+            continue
+        mine = at[start[k] : start[k + 1]]
+        mark[mine] = 1
+        if 4 * len(js) < n - first:
+            both = np.array([mark[at[start[j] : start[j + 1]]].sum() for j in js.tolist()])
+        else:
+            both = np.add.reduceat(mark[at[start[first] :]], start[first:-1] - start[first])[js - first]
+        mark[mine] = 0
+        for j in js[both / (size[js] + size[k] - both) >= similarity].tolist():
+            if group[j] != group[k]:
+                group[group == group[j]] = group[k]
+                yield int(node[k]), int(node[j])
 
 
 def _verified(texts: DataFrame, own: DataFrame, blocks: DataFrame, similarity: float) -> DataFrame:

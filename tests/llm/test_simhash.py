@@ -110,3 +110,35 @@ def test_near_copies_of_similarity_08_are_found(spark):
     want = {i for i in ids if top(i) == i}
     got = {r.doc_id for r in S.keep_one_of_each_group(docs).select("doc_id").collect()}
     assert len(got ^ want) <= 2, (len(want), got - want, want - got)
+
+
+@pytest.mark.parametrize("cell", [400, 2048])
+def test_every_near_copy_in_a_large_group_is_joined(spark, cell):
+    rng = np.random.default_rng(11)
+    originals = [[f"w{x}" for x in rng.integers(0, 10**6, n)] for n in (300, 300, 24)]
+    texts = [" ".join(o) for o in originals]
+    for original, copies, edits in zip(originals, (1200, 40, 40), (5, 5, 1), strict=True):
+        for _ in range(copies):
+            w = list(original)
+            for at in rng.choice(len(w), edits, replace=False):
+                w[at] = f"e{rng.integers(0, 10**9)}"
+            texts.append(" ".join(w))
+    hashed = [np.unique([xxhash.xxh64_intdigest(" ".join(w[k : k + 5])) for k in range(len(w) - 4)]) for w in map(str.split, texts)]
+    size = np.array([len(h) for h in hashed])
+    ids = np.unique(np.concatenate(hashed), return_inverse=True)[1]
+    rows = np.zeros((len(texts), ids.max() + 1), np.float32)
+    rows[np.repeat(np.arange(len(texts)), size), ids] = 1
+    shared = np.where(rows.sum(0) > 1)[0]
+    both = rows[:, shared] @ rows[:, shared].T
+    near = both / (size[:, None] + size[None] - both) >= 0.8
+    np.fill_diagonal(near, True)
+    group = np.arange(len(texts))
+    while ((lower := np.where(near, group[None], len(texts)).min(1)) < group).any():
+        group = lower
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    numbers = {r.node: r.doc_id for r in docs.selectExpr("xxhash64(text) AS node", "doc_id").collect()}
+    found = {numbers[r.node]: r.root for r in S.near_duplicates(docs, cell=cell).collect()}
+    least = {}
+    for i in sorted(found):
+        least.setdefault(found[i], i)
+    assert [least[found[i]] if i in found else i for i in range(len(texts))] == group.tolist()
