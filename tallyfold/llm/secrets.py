@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
-Beside the patterns, every run of 20 or more letters, digits, + / _ - = that no pattern covers is tested. Its
-encoding is inferred from its characters; then three tests ask how far it is from written language, the null
+Beside the patterns, every run of 20 or more letters, digits, + / _ - = is tested; where a pattern's match lies in a
+run, every piece of 20 or more before and after it. Its encoding is inferred from its characters; then three tests ask how far it is from written language, the null
 hypothesis: chi-squared of the counts of its alphabet (language uses its letters unevenly, chance evenly),
 runs of character classes (language stays within a class), and serial correlation of vowels (language alternates).
 Each gives a tail probability under the null, Fisher's method joins them. Discoveries are controlled by length: in each
@@ -32,7 +32,8 @@ _KEYS = ("password", "passwd", "secret", "token", "api_?key")
 ASSIGN = re.compile(rf"({'|'.join(_either(k) for k in _KEYS)})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 20
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 _HAS_KEY = ("passw", "secret", "token", "api")
 #: Rate of false discoveries in each length class; p-values are binned by tenths of their negative decimal logarithm.
 RATE, BINS = 0.001, 600
@@ -97,10 +98,17 @@ def length_class(n: int) -> int:
 
 
 def tested_runs(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, length class, bin of the p-value) of the runs that no pattern's match overlaps."""
+    """(start, end, length class, bin of the p-value) of the runs, or of what is left of them between the patterns' matches."""
     for m in RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base):
-            yield m.start(), m.end(), length_class(m.end() - m.start()), min(BINS, int(10 * log_p(m.group())))
+        at, end = m.span()
+        pieces = []
+        for s, _, e in base:
+            if s < end and at < e:
+                pieces.append((at, s))
+                at = e
+        for s, e in [*pieces, (at, end)]:
+            if e - s >= SHORTEST:
+                yield s, e, length_class(e - s), min(BINS, int(10 * log_p(text[s:e])))
 
 
 _SPAN = T.StructType().add("start", T.LongType()).add("kind", T.IntegerType()).add("end", T.LongType())

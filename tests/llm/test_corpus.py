@@ -235,6 +235,19 @@ def test_random_runs_are_told_from_words(spark):
     assert clean.text == 'x [secret]" y' and clean.n_chars == len(clean.text)
 
 
+def test_keys_joined_to_a_pattern_are_found(spark):
+    import random
+    import string
+
+    rng = random.Random(8)
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=34)) for _ in range(40)]
+    shapes = ["see /blob/{h}/{k} here", "see {k}-{h} here", "see {h}_{k} here", "see {k}/{h}/{k} here"]
+    texts = [shapes[i % 4].format(h=rng.randbytes(20).hex(), k=k) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.n_hex, r.n_random) for r in secrets.scan(df).collect()} == {i: (1, 2 if i % 4 == 3 else 1) for i in range(40)}
+    assert not [r for r in secrets.redact(df).collect() if keys[r.doc_id] in r.text]
+
+
 def test_held_out_language_accuracy(docs):
     lang = {r.doc_id: r.lang for r in docs.collect()}
     rows = [r for r in langid.identify(docs).collect() if r.held_out]
