@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.session import shared_path
+
 
 def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -13,11 +15,22 @@ def _dot(a: str, b: str) -> Column:
 def vector_topk(queries: DataFrame, docs: DataFrame, k: int = 5, most_queries: int = 10_000) -> DataFrame:
     """query_id, doc_id, rank, similarity of the k nearest docs (doc_id, embedding) of each of the queries (query_id, q).
 
-    The stated queries are the broadcast side; their number is checked. A first top k is taken within hash shards of
-    the documents, so that no query's whole list meets in one task.
+    The queries are the broadcast side; more than `most_queries` are dealt by hash into blocks of about four fifths of
+    that, each answered and written in its turn, so any number is answered. A first top k is taken within hash shards
+    of the documents, so that no query's whole list meets in one task.
     """
-    if queries.count() > most_queries:
-        raise ValueError(f"at most {most_queries} queries at a time")
+    n = queries.count()
+    if n <= most_queries:
+        return _topk(queries, docs, k)
+    path = shared_path(docs.sparkSession, "topk")
+    blocks = -(-5 * n // (4 * most_queries))
+    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    for b in range(blocks):
+        _topk(queries.where(place == b), docs, k).write.mode("append").parquet(path)
+    return docs.sparkSession.read.schema(_topk(queries, docs, k).schema).parquet(path)
+
+
+def _topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     unit = docs.withColumn("_n", F.sqrt(_dot("embedding", "embedding")))
     asked = F.broadcast(queries.withColumn("_m", F.sqrt(_dot("q", "q"))))
     both = unit.crossJoin(asked).select("query_id", "doc_id", (_dot("embedding", "q") / F.nullif(F.col("_n") * F.col("_m"), F.lit(0.0))).alias("similarity"))

@@ -148,6 +148,15 @@ def test_nearest_documents(spark):
     assert [r.doc_id for r in retrieval.vector_topk(asked, docs, 3).orderBy("rank").collect()] == [5, 4, 6]
 
 
+def test_any_number_of_queries_is_answered_in_blocks(spark):
+    docs = spark.createDataFrame([(i, [math.cos(i / 10), math.sin(i / 10)]) for i in range(30)], "doc_id long, embedding array<double>")
+    asked = docs.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    whole = retrieval.vector_topk(asked, docs, 3)
+    parts = retrieval.vector_topk(asked, docs, 3, most_queries=7)
+    assert parts.columns == whole.columns and len(rows := parts.collect()) == 90
+    assert sorted(rows) == sorted(whole.collect())
+
+
 def test_every_report_has_plain_sql():
     for name in reports.REPORTS:
         assert "{" not in reports.plain(name), name
