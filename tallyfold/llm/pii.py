@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 KEY = "pseudonyms of round one"
 ROUNDS = 6
+#: Cards in their usual groups. A number beside one belongs to it in no case.
+_GROUPED = r"(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])"
 #: Kinds in the order in which a place in the text is tried.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
@@ -28,7 +30,7 @@ PATTERNS = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3}(?=[ .-]))[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "card": rf"(?<![0-9A-Za-z])(?:{_GROUPED}|[0-9](?:(?![ -]{_GROUPED})[ -]?[0-9]){{12,18}}(?![0-9A-Za-z]))",
 }
 KINDS = list(PATTERNS)
 #: All kinds but mail addresses begin with one of few characters, which most places in a text are passed over by.
@@ -160,23 +162,44 @@ def _ip(value: Column, key: str, restore: bool) -> Column:
     return permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), "ip", key, restore, lambda s: F.concat_ws(".", byte(s["a"], 1), byte(s["a"], 0), byte(s["b"], 1), byte(s["b"], 0)))
 
 
-#: Date patterns by the place of the first separator and the separator itself.
-def _day(value: Column) -> Column:
-    year_first = F.substr(value, F.lit(5), F.lit(1)) == "-"
-    iso = F.when(year_first, value).otherwise(F.concat_ws("-", F.substr(value, F.lit(7), F.lit(4)), F.substr(value, F.lit(4), F.lit(2)), F.substr(value, F.lit(1), F.lit(2))))
+def _written_day(value: Column, year: int, month: int, day: int) -> Column:
+    """Days since FIRST_DAY of a date whose parts begin at those places; null if there is no such date."""
+    iso = F.concat_ws("-", F.substr(value, F.lit(year), F.lit(4)), F.substr(value, F.lit(month), F.lit(2)), F.substr(value, F.lit(day), F.lit(2)))
     return F.datediff(iso.try_cast("date"), F.lit(FIRST_DAY).cast("date"))
 
 
+def _year_first(value: Column) -> Column:
+    return F.substr(value, F.lit(5), F.lit(1)) == "-"
+
+
+def _day(value: Column) -> Column:
+    """Where the year comes last, the month comes first only if there is no such date with the day first."""
+    return F.when(_year_first(value), _written_day(value, 1, 6, 9)).otherwise(F.coalesce(_written_day(value, 7, 4, 1), _written_day(value, 7, 1, 4)))
+
+
 def _date(value: Column, key: str, restore: bool) -> Column:
-    day = _day(value)
+    def moved(day: Column) -> Column:
+        return permute_pair(F.floor(day / DAY_B), day % DAY_B, (DAY_A, DAY_B), "date", key, restore, lambda s: (s["a"] * DAY_B + s["b"]).cast("int"))
+
+    def date(day: Column) -> Column:
+        return F.date_add(F.lit(FIRST_DAY).cast("date"), day)
 
-    def shown(s: Column) -> Column:
-        iso = F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DAY_B + s["b"]).cast("int")).cast("string")
-        sep = F.substr(value, F.lit(3), F.lit(1))
-        turned = F.concat_ws("", F.substr(iso, F.lit(9), F.lit(2)), sep, F.substr(iso, F.lit(6), F.lit(2)), sep, F.substr(iso, F.lit(1), F.lit(4)))
-        return F.when(F.substr(value, F.lit(5), F.lit(1)) == "-", iso).otherwise(turned)
+    def shown(day: Column, first: int, second: int) -> Column:
+        iso, sep = date(day).cast("string"), F.substr(value, F.lit(3), F.lit(1))
+        return F.concat_ws("", F.substr(iso, F.lit(first), F.lit(2)), sep, F.substr(iso, F.lit(second), F.lit(2)), sep, F.substr(iso, F.lit(1), F.lit(4)))
 
-    return permute_pair(F.floor(day / DAY_B), day % DAY_B, (DAY_A, DAY_B), "date", key, restore, shown)
+    # with the month first, only days after the 12th are told: the permutation's cycle is walked to the next such date
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.lit(64)),
+        F.struct(_day(value).alias("day"), F.lit(False).alias("over")),
+        lambda s, _: F.when(s["over"], s).otherwise(_let(moved(s["day"]), lambda d: F.struct(d.alias("day"), (F.dayofmonth(date(d)) > 12).alias("over")))),
+        lambda s: s["day"],
+    )
+    return (
+        F.when(_year_first(value), _let(moved(_day(value)), lambda d: date(d).cast("string")))
+        .when(_written_day(value, 7, 4, 1).isNotNull(), _let(moved(_day(value)), lambda d: shown(d, 9, 6)))
+        .otherwise(_let(walked, lambda d: shown(d, 6, 9)))
+    )
 
 
 def _ssn_fits(d: Column) -> Column:

@@ -112,6 +112,26 @@ def test_pseudonyms_keep_their_format_and_links(spark):
     assert pii.pseudonymize(df, key="another").first().text != a
 
 
+def test_cards_beside_short_numbers_and_dates_with_the_month_first(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 12/27", f"{card} 123", f"No 12 {card}", "4111111111111111 2", f"12-{card.replace(' ', '-')}-7", "3782 822463 10005 1234", f"{card} {card}", "12 34 56 " + card]
+    cards = [card] * 4 + [card.replace(" ", "-"), "3782 822463 10005", card, card]
+    cards[3] = "4111111111111111"
+    dates = ["due 12/31/2024", "due 02/29/2024", "due 05/13/1999"]
+    df = spark.createDataFrame(list(enumerate([*texts, *dates, "due 02/30/2024 or 13/13/2024"])), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymize(df).collect()}
+    for i, (t, c) in enumerate(zip(texts, cards, strict=True)):
+        shape = re.fullmatch(re.escape(t).replace(re.escape(c), "(" + re.sub("[0-9]", "[0-9]", c) + ")"), out[i].text)
+        assert shape and c not in out[i].text and all(luhn(re.sub("[ -]", "", g)) for g in shape.groups()), (t, out[i].text)
+        assert out[i].n_card == t.count(c)
+    for i, t in enumerate(dates, len(texts)):
+        m = re.fullmatch("due ([0-9]{2})/([0-9]{2})/[0-9]{4}", out[i].text)
+        assert m and out[i].text != t and int(m[1]) <= 12 < int(m[2]) and out[i].n_date == 1
+    assert out[11].text == "due 02/30/2024 or 13/13/2024" and out[11].n_date == 0
+    back = pii.pseudonymize(spark.createDataFrame([(i, r.text) for i, r in out.items()], "doc_id long, text string"), restore=True)
+    assert {r.doc_id: r.text for r in back.collect()} == {r.doc_id: r.text for r in df.collect()}
+
+
 def test_ledger_ablations(docs):
     book = rules.ledger(docs)
     got = {r.rule: r for r in rules.ablations(book).collect()}
