@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfold.session import removed, shared_path, written
+
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
@@ -19,40 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = f"{tempfile.gettempdir()}/tallyfold-shared"
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df once into the shared folder and read it back: cuts lineage, survives lost executors, has known size."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (u long, v long): rows (node, root), root the smallest node reachable.
 
     Alternating large-star and small-star steps. Each step is a grouped minimum (combined before its shuffle)
-    and a join whose two sides are plain scans, so that adaptive execution can split a hub's rows. Nulls and
-    self-loops are ignored; nodes without an edge have no row.
+    and a join whose two sides are plain scans, so that adaptive execution can split a hub's rows. A round's tables are
+    deleted when the next round is written. Nulls and self-loops are ignored; nodes without an edge have no row. The rounds
+    needed grow with the logarithm of the longest path; after most_rounds, more than any path that fits a cluster needs, it
+    is an error.
     """
+    spark = edges.sparkSession
     e = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    now = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    folder = shared_path(spark, "components")
+    now = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", folder)
     mark = _mark(now)
     for _ in range(most_rounds):
+        last, folder = folder, shared_path(spark, "components")
         both = now.union(now.select("v", "u"))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", folder)
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.distinct(), "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = written(large.distinct(), "large", folder)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least", folder)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links", folder)
+        removed(spark, last)
         before, mark = mark, _mark(now)
         if mark == before:
             break

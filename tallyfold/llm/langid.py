@@ -11,7 +11,7 @@ Learning uses text and non-null lang of documents whose crc32(doc_id as text) mo
 Edge cases: a null text, or one without a letter, is `und` with score 0; so is everything if nothing could be
 learned (an empty table). With one learned language, that language is the answer, score 1. Rows with a null
 doc_id are predicted but not learned from (held_out false). Repeated rows give repeated results. Other columns
-are ignored.
+are ignored, except by `labelled`, which keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.llm.common import written
+from tallyfold.llm.common import spare, written
 
 DIM = 2048
 #: The bound of the training sample: documents of each language.
 PER_LANGUAGE = 800
 UNDETERMINED = "und"
+#: Languages whose counts are broadcast; more of them (a column of junk) are joined by a shuffle.
+MOST_BROADCAST = 100_000
 #: Families of closely related languages. A language that is not here is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb"),
@@ -123,14 +125,17 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
     usable = docs.where((rest != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     order = F.xxhash64(F.lit("sample"), "doc_id")
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "languages")
+    if counts.count() <= MOST_BROADCAST:
+        counts = F.broadcast(counts)
     # twice the share that is needed passes by hash before anything is moved; the window then meets a bounded rest
-    thin = usable.join(F.broadcast(counts), "lang").where(F.pmod(order, F.lit(1_000_000)) * F.col("n") < 2_000_000 * per_language)
+    thin = usable.join(counts, "lang").where(F.pmod(order, F.lit(1_000_000)) * F.col("n") < 2_000_000 * per_language)
     first = Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1_000_000)), "doc_id", F.xxhash64("text"))
     return thin.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("lang", _features("text").alias("x")).where("x IS NOT NULL")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    sample = written(training_sample(docs, per_language), "sample")
+    sample = written(training_sample(docs, per_language), "sample").cache()  # bounded by per_language; every fit reads it
     langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
     model = LanguageModel(families=sorted({family_of(x) for x in langs}))
     model.languages = {f: [x for x in langs if family_of(x) == f] for f in model.families}
@@ -149,20 +154,35 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
         for one, other in combinations(own, 2):
             m = LinearSVC(maxIter=25, regParam=1e-4, standardization=False).fit(labelled({one: 1, other: 0}))
             model.pairs[f].append((one, other, m.coefficients.toArray(), float(m.intercept)))
+    sample.unpersist()
     return model
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred and score."""
+def guess(model: LanguageModel, text: str | Column = "text") -> Column:
+    """struct(lang, score) of a text."""
 
     @F.pandas_udf(T.StructType().add("lang", T.StringType()).add("score", T.DoubleType()))
-    def guess(text: pd.Series) -> pd.DataFrame:
+    def told(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in text], columns=["lang", "score"])
 
-    return docs.withColumn("_guess", guess("text")).select(*docs.columns, F.col("_guess.lang").alias("lang_pred"), F.col("_guess.score").alias("score"))
+    return told(text)
+
+
+def labelled(docs: DataFrame, model: LanguageModel, least_score: float = 0.5) -> DataFrame:
+    """The rows of docs whose language can be told, lang being the prediction, all columns kept.
+
+    Rows without a letter or with an even guess (a score below least_score) go. If the model has learned nothing (no row of
+    docs had a language), nothing can be told apart: then all rows stay as they are.
+    """
+    if not model.families:
+        return docs
+    name = spare(docs, "_guess")
+    told = docs.withColumn(name, guess(model)).where((F.col(f"{name}.lang") != UNDETERMINED) & (F.col(f"{name}.score") >= least_score))
+    kind = docs.schema["lang"].dataType
+    return told.select(*[F.col(f"{name}.lang").cast(kind).alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs (doc_id, text, lang)."""
-    model = fit(docs, per_language)
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    told = docs.select("doc_id", guess(fit(docs, per_language)).alias("g"))
+    return told.select("doc_id", held_out().alias("held_out"), F.col("g.lang").alias("lang_pred"), F.col("g.score").alias("score"))

@@ -2,14 +2,17 @@
 
 Documents fall into cells of source, language and topic. The cells' token weights are raked, one margin after the
 other, until the sums over each source, language and topic have the target shares. The raked weights become
-sampling probabilities, calibrated so that the expected tokens meet the budget while none exceeds 1.
+sampling probabilities by one scale for all cells: the largest at which no probability exceeds 1, and the expected tokens
+do not exceed the budget. So no cell is cut off, and the expected sample has the raked shares in every margin.
 
 The topic of a document is the form of its text (prose, markup, list, shouting, data), told by character counts.
-Targets: every source the same share; languages and topics the square root of their share of tokens, made to sum
-to 1 (given shares replace them).
+Targets: in each margin, a value's share of tokens to the margin's power, made to sum to 1. By default every source has
+the same share (power 0), languages and topics the square root of theirs. The further the targets are from the shares that
+the documents have, the smaller the sample that can meet them: the rarest tokens bound it.
 
-Edge cases: a null source or language is a value of its own ('' after coalescing); null and empty texts have no
-tokens, fall in topic 'empty', have weight 0 and are sampled with probability 1, as they cost nothing; the draw is
+Edge cases: a null source or language is a value of its own ('' after coalescing); null and empty texts and
+texts of blanks have no tokens, fall in topic 'empty', have weight 0 and are sampled with probability 1, as they cost nothing
+(texts of other white space share their cell's fate, or that of 'empty' if the cell has no tokens); the draw is
 a hash of the doc_id (null as ''), so repeated rows share a fate; an empty table gives an empty table; input
 columns whose names clash with the result's are not used.
 """
@@ -24,6 +27,10 @@ from tallyfold.llm.common import WORD, written
 SWEEPS = 12
 SHARE = 0.7
 MARGINS = ("source", "lang", "topic")
+#: Powers of the token shares that give the targets of MARGINS.
+POWERS = (0.0, 0.5, 0.5)
+#: Cells that one task rakes. More of them (a source for each host, say) are an error: they need a coarser source.
+MOST_CELLS = 10_000_000
 
 
 def n_tokens() -> Column:
@@ -54,49 +61,34 @@ def _units(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *filled, topic().alias("topic"), n_tokens().alias("n_tokens"))
 
 
-def raked_cells(units: DataFrame, sweeps: int = SWEEPS, share: float = SHARE) -> DataFrame:
+def raked_cells(units: DataFrame, sweeps: int = SWEEPS, share: float = SHARE, powers: tuple[float, ...] = POWERS) -> DataFrame:
     """source, lang, topic, cell_tokens, weight (share of the mixture), probability of every cell with tokens.
 
     The cells are a table of distinct source, language and topic: small beside the documents, but never collected;
-    it is written after every third sweep so that plans stay short. Each margin is one grouped window; the pricing needs all
-    cells in one order, so they lie in one partition from the start and no window shuffles.
+    it is written after every third sweep so that plans stay short. Each margin is one grouped window; the scale needs all
+    cells at once, so they lie in one partition from the start and no window shuffles.
     """
     cells = units.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("cell_tokens")).where("cell_tokens > 0")
     cells = written(cells, "cells")
+    if (n := cells.count()) > MOST_CELLS:
+        raise ValueError(f"{n} cells of source, language and topic; at most {MOST_CELLS} can be raked")
     total = F.sum("cell_tokens").over(Window.partitionBy())
     held = cells.withColumn("weight", F.col("cell_tokens") / total)
-    for margin in MARGINS:
-        if margin == "source":
-            distinct = cells.agg(F.count_distinct(margin).alias("_k"))
-            held = held.crossJoin(F.broadcast(distinct)).withColumn(f"to_{margin}", 1.0 / F.col("_k")).drop("_k")
-        else:
-            roots = cells.groupBy(margin).agg(F.sqrt(F.sum("cell_tokens").cast("double")).alias("_r"))
-            roots = roots.withColumn(f"to_{margin}", F.col("_r") / F.sum("_r").over(Window.partitionBy())).drop("_r")
-            held = held.join(roots, margin)
-    held = written(held, "margins")
-    held = held.coalesce(1)
+    for margin, power in zip(MARGINS, powers, strict=True):
+        raised = cells.groupBy(margin).agg(F.pow(F.sum("cell_tokens").cast("double"), F.lit(power)).alias("_r"))
+        raised = raised.withColumn(f"to_{margin}", F.col("_r") / F.sum("_r").over(Window.partitionBy())).drop("_r")
+        held = held.join(raised, margin)
+    held = written(held, "margins").coalesce(1)
     for sweep in range(sweeps):
         for margin in MARGINS:
             held = held.withColumn("weight", F.col("weight") * F.col(f"to_{margin}") / F.sum("weight").over(Window.partitionBy(margin)))
         if sweep % 3 == 2:
             held = written(held, "raked").coalesce(1)
-    # probability min(1, scale weight / cell_tokens): the scale that spends share of all tokens, found over the cells by
-    # rising price: with the cells of the highest ratio at 1, the others split what is left of the budget
-    ratio = F.col("weight") / F.col("cell_tokens")
     everything = Window.partitionBy()
-    upto = Window.partitionBy().orderBy(F.desc("ratio"), *MARGINS).rowsBetween(Window.unboundedPreceding, -1)
-    priced = (
-        held.withColumn("ratio", ratio)
-        .withColumn("budget", F.sum("cell_tokens").over(everything) * share)
-        .withColumn("full", F.coalesce(F.sum("cell_tokens").over(upto), F.lit(0)))
-        .withColumn("rest", 1.0 - F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
-        .withColumn("scale", F.when(F.col("rest") > 1e-12, (F.col("budget") - F.col("full")) / F.col("rest")))
-        .withColumn("fits", F.col("scale") * F.col("ratio") <= 1.0)
-        .withColumn("chosen", F.first(F.when(F.col("fits"), F.col("scale")), ignorenulls=True).over(
-            Window.partitionBy().orderBy(F.desc("ratio"), *MARGINS).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    )
-    probability = F.coalesce(F.least(F.lit(1.0), F.col("chosen") * F.col("ratio")), F.lit(1.0))
-    return written(priced.select(*MARGINS, "cell_tokens", "weight", probability.alias("probability")), "mixture")
+    ratio = F.col("weight") / F.col("cell_tokens")
+    scale = F.least(share * F.sum("cell_tokens").over(everything), 1.0 / F.max(ratio).over(everything))
+    priced = held.withColumn("probability", F.least(F.lit(1.0), scale * ratio))
+    return written(priced.select(*MARGINS, "cell_tokens", "weight", "probability"), "mixture")
 
 
 def draw() -> Column:
@@ -105,13 +97,13 @@ def draw() -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
-def mixture(docs: DataFrame, sweeps: int = SWEEPS, share: float = SHARE) -> DataFrame:
+def mixture(docs: DataFrame, sweeps: int = SWEEPS, share: float = SHARE, powers: tuple[float, ...] = POWERS) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, sampled for every row of docs.
 
     Each text is read and counted once: what the cells and the result need of it is written.
     """
     units = written(_units(docs), "units")
-    cells = raked_cells(units, sweeps, share).drop("cell_tokens")
+    cells = raked_cells(units, sweeps, share, powers).drop("cell_tokens")
     return _decided(units.join(cells, list(MARGINS), "left")).select(
         "doc_id", *MARGINS, "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), "sampled"
     )
@@ -122,16 +114,28 @@ def _decided(joined: DataFrame) -> DataFrame:
     return filled.withColumn("sampled", draw() < F.col("probability"))
 
 
-def sample(docs: DataFrame, sweeps: int = SWEEPS, share: float = SHARE) -> DataFrame:
-    """The rows of docs that the mixture samples, with the columns of docs."""
-    cells = raked_cells(_units(docs), sweeps, share).drop("cell_tokens")
-    keyed = docs.select(
-        F.struct(*docs.columns).alias("row"), "doc_id", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("source", "lang")], topic().alias("topic")
-    )
+def sample(docs: DataFrame, sweeps: int = SWEEPS, share: float = SHARE, powers: tuple[float, ...] = POWERS) -> DataFrame:
+    """The rows of docs that the mixture samples, with the columns of docs. Each text is read and counted once: docs are
+    written with their cells."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")]
+    keyed = written(docs.select(row, "doc_id", *filled, topic().alias("topic"), n_tokens().alias("n_tokens")), "units")
+    cells = raked_cells(keyed, sweeps, share, powers).drop("cell_tokens")
     return _decided(keyed.join(cells, list(MARGINS), "left")).where("sampled").select("row.*")
 
 
-def oracle(sweeps: int = SWEEPS, share: float = SHARE) -> str:
+def achieved(mixed: DataFrame) -> DataFrame:
+    """margin, value, share of the raked weights, expected and sampled share of tokens, from the rows of mixture."""
+    cells = mixed.where("n_tokens > 0").groupBy(*MARGINS).agg(
+        F.max("weight").alias("weight"), F.sum(F.col("n_tokens") * F.col("probability")).alias("e"), F.sum(F.when(F.col("sampled"), F.col("n_tokens")).otherwise(0)).alias("s")
+    )
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("value")) for m in MARGINS]))
+    sums = cells.select(each.alias("m"), "weight", "e", "s").groupBy("m.margin", "m.value").agg(F.sum("weight").alias("raked"), F.sum("e").alias("e"), F.sum("s").alias("s"))
+    every = Window.partitionBy("margin")
+    return sums.select("margin", "value", "raked", (F.col("e") / F.sum("e").over(every)).alias("expected"), (F.col("s") / F.sum("s").over(every)).alias("sampled"))
+
+
+def oracle(sweeps: int = SWEEPS, share: float = SHARE, powers: tuple[float, ...] = POWERS) -> str:
     """DuckDB SQL for mixture(documents): one CTE for each sweep and margin."""
     steps = []
     last = "w0"
@@ -140,6 +144,10 @@ def oracle(sweeps: int = SWEEPS, share: float = SHARE) -> str:
             name = f"w{k}{m}"
             steps.append(f"{name} AS (SELECT * REPLACE (weight * to_{m} / sum(weight) OVER (PARTITION BY {m}) AS weight) FROM {last})")
             last = name
+    targets = [
+        f", (SELECT power(sum(cell_tokens), {p}) FROM c x WHERE x.{m} = c.{m}) / (SELECT sum(r) FROM (SELECT power(sum(cell_tokens), {p}) AS r FROM c GROUP BY {m})) AS to_{m}"
+        for m, p in zip(MARGINS, powers, strict=True)
+    ]
     strip = lambda chars: f"(length(t) - length(regexp_replace(t, '[{chars}]', '', 'g')))"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
@@ -148,18 +156,9 @@ u AS (SELECT doc_id, source, lang, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D
            WHEN {strip("|")} * 20 > length(t) THEN 'list' WHEN {strip("A-Z")} > {strip("a-z")} THEN 'shouting'
            WHEN {strip("0-9")} * 50 > length(t) THEN 'data' ELSE 'prose' END AS topic FROM d),
 c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS cell_tokens FROM u GROUP BY ALL HAVING sum(n_tokens) > 0),
-w0 AS MATERIALIZED (SELECT c.*, cell_tokens / (SELECT sum(cell_tokens) FROM c) AS weight,
-       1.0::DOUBLE / (SELECT count(DISTINCT source) FROM c) AS to_source,
-       (SELECT sqrt(sum(cell_tokens)) FROM c x WHERE x.lang = c.lang) / (SELECT sum(r) FROM (SELECT sqrt(sum(cell_tokens)) AS r FROM c GROUP BY lang)) AS to_lang,
-       (SELECT sqrt(sum(cell_tokens)) FROM c x WHERE x.topic = c.topic) / (SELECT sum(r) FROM (SELECT sqrt(sum(cell_tokens)) AS r FROM c GROUP BY topic)) AS to_topic
-       FROM c),
+w0 AS MATERIALIZED (SELECT c.*, cell_tokens / (SELECT sum(cell_tokens) FROM c) AS weight{"".join(targets)} FROM c),
 {", ".join(steps)},
-p AS (SELECT *, weight / cell_tokens AS ratio, {share} * sum(cell_tokens) OVER () AS budget,
-      coalesce(sum(cell_tokens) OVER o, 0) AS filled, 1.0 - coalesce(sum(weight) OVER o, 0.0) AS rest FROM {last}
-      WINDOW o AS (ORDER BY weight / cell_tokens DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-q AS (SELECT *, CASE WHEN rest > 1e-12 THEN (budget - filled) / rest END AS scale FROM p),
-chosen AS (SELECT scale FROM q WHERE scale * ratio <= 1.0 ORDER BY ratio DESC, source, lang, topic LIMIT 1),
-m AS (SELECT source, lang, topic, weight, coalesce(least(1.0, (SELECT scale FROM chosen) * ratio), 1.0) AS probability FROM q),
+m AS (SELECT source, lang, topic, weight, least(1.0, weight / cell_tokens * least({share} * sum(cell_tokens) OVER (), 1.0 / max(weight / cell_tokens) OVER ())) AS probability FROM {last}),
 r AS (SELECT doc_id, u.source, u.lang, u.topic, n_tokens, coalesce(weight, 0.0) AS weight, coalesce(probability, 1.0) AS probability
       FROM u LEFT JOIN m ON u.source = m.source AND u.lang = m.lang AND u.topic = m.topic)
 SELECT doc_id, source, lang, topic, n_tokens, round(weight, 9) AS weight, round(probability, 9) AS probability,

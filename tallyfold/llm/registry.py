@@ -12,9 +12,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The query's key, for synthetic tables only; real pseudonyms need a secret one.
+TEST_KEY = "a key for test tables"
+
 QUERIES = {
     "op1_packing": lambda spark, sf: packing.pack(table(spark, sf, "documents")),
-    "op2_pii": lambda spark, sf: pii.pseudonymize(table(spark, sf, "documents")),
+    "op2_pii": lambda spark, sf: pii.pseudonymize(table(spark, sf, "documents"), TEST_KEY),
     "op3_quality_rules": lambda spark, sf: rules.quality(table(spark, sf, "documents")),
     "op4_spotsigs": lambda spark, sf: spotsigs.compare_with_next(table(spark, sf, "documents")),
     "op5_mixing": lambda spark, sf: mixing.mixture(table(spark, sf, "documents")),

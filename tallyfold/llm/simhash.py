@@ -7,9 +7,9 @@ as every distance in it exceeds the radius.
 
 Two block rules are built on that:
 
-* ``link_within_radius``: exact for a radius r on 64-bit fingerprints. The bits are cut into r + 2 pieces; two
-  fingerprints within r differ in at most r pieces, so they agree on some two pieces. Every pair of pieces is a
-  block key.
+* ``link_within_radius``: exact for a radius r on 64-bit fingerprints. The bits are cut into r + k pieces; two
+  fingerprints within r differ in at most r pieces, so they agree on some k pieces. Every k pieces are a block key.
+  The more fingerprints, the larger the k that costs least: more and longer keys, so that few strangers share a block.
 * ``near_duplicates``: five-word shingles and a similarity of 0.8. There the distance is far beyond what pieces
   can catch, so blocks come from banded minima of shingle hashes. The planes of 512-bit fingerprints, compared as above
   in a few bands, propose links that the exact Jaccard similarity confirms; then every pair of every block that is
@@ -23,13 +23,14 @@ an empty table gives an empty table; other columns of the input are not used.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,25 +207,37 @@ def link_blocks(blocks: DataFrame, prints: DataFrame, radius: int, cell: int = C
     return met_cells(blocks, prints, cell).mapInPandas(by_cell(_linked(radius)), "u long, v long").distinct()
 
 
-def link_within_radius(prints: DataFrame, radius: int = 4, cell: int = CELL) -> DataFrame:
+def shared_pieces(n: int, radius: int) -> int:
+    """How many pieces a block key of n fingerprints has: the number with the fewest rows and pairs of strangers to handle.
+    Each choice gives the same links."""
+
+    def work(k: int) -> float:
+        return comb(radius + k, k) * (n + n * n / 2 ** (64 * k / (radius + k) + 1))
+
+    return min(range(1, 8), key=work)
+
+
+def link_within_radius(prints: DataFrame, radius: int = 4, cell: int = CELL, shared: int | None = None) -> DataFrame:
     """Links (u, v) between 64-bit fingerprints (column fp long, distinct) at most `radius` bits apart; exact."""
-    pieces = radius + 2
+    shared = shared or shared_pieces(prints.count(), radius)
+    pieces = radius + shared
     cut = [(round(64 * k / pieces), round(64 * (k + 1) / pieces)) for k in range(pieces)]
 
-    def piece(lo: int, hi: int):
-        return F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+    def joined(chosen: tuple[int, ...]) -> Column:
+        key = F.lit(0).cast("long")
+        for lo, hi in (cut[c] for c in chosen):
+            piece = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+            key = F.shiftleft(key, hi - lo).bitwiseOR(piece)
+        return key
 
-    keys = [
-        F.struct(F.lit(n).alias("block"), F.shiftleft(piece(*cut[a]), 32).bitwiseOR(piece(*cut[b])).alias("key"))
-        for n, (a, b) in enumerate(combinations(range(pieces), 2))
-    ]
+    keys = [F.struct(F.lit(n).alias("block"), joined(chosen).alias("key")) for n, chosen in enumerate(combinations(range(pieces), shared))]
     blocks = prints.select(F.col("fp").alias("node"), F.explode(F.array(*keys)).alias("k")).select("k.block", "k.key", "node")
     words = prints.select(F.col("fp").alias("node"), F.to_binary(F.lpad(F.hex("fp"), 16, "0"), F.lit("hex")).alias("print"))
     return link_blocks(blocks, words, radius, cell)
 
 
 def simhash_components(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id, n_links."""
+    """One row per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id."""
     own = written(docs.select("doc_id", _fingerprint4("text").alias("fp")), "fingerprints")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     links = written(link_within_radius(nodes.select("fp"), radius), "links")
@@ -276,7 +289,8 @@ def wide_print(text: str | None, words: int = 5) -> tuple[bytes, list[int], int]
 
 @F.pandas_udf(T.StructType().add("print", T.BinaryType()).add("keys", T.ArrayType(T.LongType())).add("size", T.LongType()))
 def _wide5(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([wide_print(t) for t in text], columns=["print", "keys", "size"])
+    of = {t: wide_print(t) for t in text.unique()}  # a batch's copies are read once
+    return pd.DataFrame([of[t] for t in text], columns=["print", "keys", "size"])
 
 
 @F.pandas_udf(T.BinaryType())
@@ -300,15 +314,39 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, cell: int = CELL)
     node is xxhash64 of the text (null as empty). Words are as for fingerprints, shingles of five. Pairs that share a band
     are decided exactly; a pair of similarity 0.8 shares none of the bands in one of 20,000 cases.
     """
-    text = F.coalesce("text", F.lit(""))
-    one = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    return _groups(docs, _firsts(docs), similarity, cell)
+
+
+def _node() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _firsts(docs: DataFrame) -> DataFrame:
+    """(node, id): for each distinct text the smallest doc_id, null if none of its rows has one."""
+    return written(docs.select(_node().alias("node"), "doc_id").groupBy("node").agg(F.min("doc_id").alias("id")), "first")
+
+
+def _rows_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row (node, doc_id, ...) for each of the chosen (node, id). They are joined by text and doc_id, not by text
+    alone, so that the copies of a text are spread over all tasks and only one of them passes."""
+    key = lambda c: (F.coalesce(c, F.lit(0)).alias("_id"), F.col(c).isNull().alias("_none"))
+    by = chosen.select("node", *key("id"))
+    return rows.select("*", *key("doc_id")).join(by, ["node", "_id", "_none"], "left_semi").drop("_id", "_none").dropDuplicates(["node"])
+
+
+def _groups(docs: DataFrame, firsts: DataFrame, similarity: float, cell: int) -> DataFrame:
+    one = docs.select(_node().alias("node"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = written(one.select("node", _wide5("text").alias("w")).select("node", "w.print", "w.keys", "w.size").dropDuplicates(["node"]), "wide")
-    first = _verified(one, own, own.select("node", F.posexplode("keys").alias("block", "key")).where(F.col("block") < FIRST_BANDS), similarity)
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        return _rows_of(one, written(firsts.join(nodes, "node", "left_semi"), "chosen"))
+
+    first = _verified(texts, own, own.select("node", F.posexplode("keys").alias("block", "key")).where(F.col("block") < FIRST_BANDS), similarity)
     roots = written(components(first), "roots")
     # a block whose members are all linked already has nothing to add; in the others every pair of two roots is decided
     every = own.select("node", F.col("size").alias("weight"), F.posexplode("keys").alias("block", "key"))
     every = every.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return components(first.union(_decided(one, _undecided(every, "block", "key"), similarity, cell)))
+    return components(first.union(_decided(texts, _undecided(every, "block", "key"), similarity, cell)))
 
 
 def _undecided(rows: DataFrame, *keys: str) -> DataFrame:
@@ -317,12 +355,11 @@ def _undecided(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.join(written(open_, "undecided"), list(keys))
 
 
-def _decided(texts: DataFrame, blocks: DataFrame, similarity: float, cell: int) -> DataFrame:
+def _decided(texts: Callable[[DataFrame], DataFrame], blocks: DataFrame, similarity: float, cell: int) -> DataFrame:
     """Links (u, v) that join all nodes of a block (block, key, node, weight, root) whose texts have at least the similarity:
     no pair of different roots is left untested."""
     dealt = written(_undecided(dealt_cells(blocks, cell, HEAVY), *KEYS), "dealt")
-    met = dealt.select("node").distinct()
-    sets = written(texts.join(met, "node", "left_semi").dropDuplicates(["node"]).select("node", _shingles5("text").alias("shingles")), "shingles")
+    sets = written(texts(dealt.select("node").distinct()).select("node", _shingles5("text").alias("shingles")), "shingles")
     return written(filled_cells(dealt, sets).mapInPandas(by_cell(_similar(similarity)), "u long, v long").distinct(), "links")
 
 
@@ -374,25 +411,21 @@ def _joins(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], left: int
                 yield int(node[k]), int(node[j])
 
 
-def _verified(texts: DataFrame, own: DataFrame, blocks: DataFrame, similarity: float) -> DataFrame:
+def _verified(texts: Callable[[DataFrame], DataFrame], own: DataFrame, blocks: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) found in the blocks whose texts (node, text) have at least the similarity."""
     links = written(link_blocks(blocks, own.select("node", "print"), WIDE_RADIUS), "likely")
     ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    few = written(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    few = written(texts(ends).select("node", "text"), "texts")
     pairs = links.join(few.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(few.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     return written(pairs.where(_jaccard5("a", "b") >= similarity).select("u", "v"), "links")
 
 
-def keep_one_of_each_group(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, similarity: float = 0.8, cell: int = CELL) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id (null ids last) stays, once."""
-    node = F.xxhash64(F.coalesce("text", F.lit("")))
+    firsts = _firsts(docs)
+    groups = firsts.join(_groups(docs, firsts, similarity, cell), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # null ids rank after all others; rows that tie on doc_id are told apart by their text, and equal rows stay once
-    ranked = docs.select(node.alias("node"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", node.alias("node")).alias("rank"))
-    first = written(ranked.groupBy("node").agg(F.min("rank").alias("rank")), "first")
-    groups = first.join(near_duplicates(docs, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = groups.groupBy("root").agg(F.min("rank").alias("r"))
-    kept = written(kept.select("r.none", F.coalesce("r.doc_id", F.lit(0)).alias("id"), F.col("r.node").alias("node")), "kept")
-    keyed = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), node.alias("node")
-    )
-    return keyed.join(kept, ["none", "id", "node"]).dropDuplicates(["none", "id", "node"]).select("row.*")
+    kept = groups.groupBy("root").agg(F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("node"))
+    kept = written(firsts.join(kept.select("node"), "node", "left_semi"), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _node().alias("node"), "doc_id")
+    return _rows_of(rows, kept).select("row.*")

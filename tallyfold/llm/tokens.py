@@ -178,8 +178,18 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
+def packed(changes: np.ndarray) -> bytes:
+    """Changes as bytes: their width in bytes, then each of them; one byte holds all but very rare texts."""
+    width = 1 if not len(changes) or -128 <= changes.min() and changes.max() <= 127 else 4
+    return bytes([width]) + changes.astype(f"<i{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<i{data[0]}", offset=1)
+
+
 def prefix_table(docs: DataFrame, path: str) -> DataFrame:
-    """docs with n_tokens and prefix_changes (binary, a signed byte per code point: the change of the exact token count)."""
+    """docs with n_tokens and prefix_changes (binary, see packed: the change of the exact token count at each code point)."""
 
     @F.pandas_udf(T.StructType().add("n", T.LongType()).add("changes", T.BinaryType()))
     def count(text: pd.Series) -> pd.DataFrame:
@@ -187,9 +197,7 @@ def prefix_table(docs: DataFrame, path: str) -> DataFrame:
         rows = []
         for t in text:
             c = own.text_changes(t or "")
-            if len(c) and (c.max() > 127 or c.min() < -128):
-                raise ValueError("a prefix changes the count by more than a byte holds")
-            rows.append((int(c.sum()), c.astype(np.int8).tobytes()))
+            rows.append((int(c.sum(dtype=np.int64)), packed(c)))
         return pd.DataFrame(rows, columns=["n", "changes"])
 
     return docs.withColumn("_t", count("text")).select(*docs.columns, F.col("_t.n").alias("n_tokens"), F.col("_t.changes").alias("prefix_changes"))
@@ -200,7 +208,7 @@ def tokens_at(changes: Column, chars: Column) -> Column:
 
     @F.pandas_udf(T.LongType())
     def at(changes: pd.Series, chars: pd.Series) -> pd.Series:
-        return pd.Series([int(np.frombuffer(c, np.int8)[: max(0, n)].sum(dtype=np.int64)) for c, n in zip(changes, chars, strict=True)])
+        return pd.Series([int(unpacked(c)[: max(0, n)].sum(dtype=np.int64)) for c, n in zip(changes, chars, strict=True)])
 
     return at(changes, chars)
 
@@ -212,7 +220,7 @@ def chars_within(changes: Column, budget: int) -> Column:
     def most(changes: pd.Series) -> pd.Series:
         out = []
         for c in changes:
-            fits = np.flatnonzero(np.cumsum(np.frombuffer(c, np.int8), dtype=np.int64) <= budget)
+            fits = np.flatnonzero(np.cumsum(unpacked(c), dtype=np.int64) <= budget)
             out.append(int(fits[-1]) + 1 if len(fits) else 0)
         return pd.Series(out, dtype="int64")
 

@@ -19,16 +19,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.llm.common import shared_folder, written
+from tallyfold.session import shared_path, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: An empty gzip member.
@@ -96,21 +96,23 @@ def write_archive(pages: DataFrame, path: str, least_revisit: int = 0) -> None:
 
 
 class Slice:
-    """A file's bytes from an offset on, read STEP by STEP."""
+    """A file's bytes from an offset on, read STEP by STEP. held begins at offset start; what lies before it is let go of
+    only when more is read, so that passing over a candidate copies nothing."""
 
     def __init__(self, source, at: int):
-        self.source, self.start, self.held, self.over = source, at, b"", False
+        self.source, self.start, self.held, self.over, self.free = source, at, b"", False, at
         source.seek(at)
 
     def more(self) -> bool:
         got = b"" if self.over else self.source.read(STEP)
         self.over = not got
-        self.held += got
+        self.held = self.held[self.free - self.start :] + got
+        self.start = self.free
         return bool(got)
 
     def drop(self, upto: int) -> None:
-        self.held = self.held[upto - self.start :]
-        self.start = upto
+        """Bytes before `upto` are not needed any more."""
+        self.free = upto
 
 
 def scan_range(source, start: int, end: int) -> Iterator[tuple[int, int, bytes]]:
@@ -128,7 +130,7 @@ def scan_range(source, start: int, end: int) -> Iterator[tuple[int, int, bytes]]
         if at >= end:
             return
         data.drop(at)
-        member = _member(data)
+        member = _member(data, at)
         if member is None or (member[0] and not member[0].startswith(b"WARC/1.")):
             at += 1
             continue
@@ -139,20 +141,28 @@ def scan_range(source, start: int, end: int) -> Iterator[tuple[int, int, bytes]]
         data.drop(at)
 
 
-def _member(data: Slice) -> tuple[bytes, int] | None:
-    """The gzip member at the start of data and where it ends, or None; given up early if no WARC header comes out."""
-    unpack, out, used, size = zlib.decompressobj(31), [], 0, 0
+#: Bytes given to the decoder at a time, so that a false candidate costs no more.
+BITE = 1 << 14
+
+
+def _member(data: Slice, at: int) -> tuple[bytes, int] | None:
+    """The gzip member at offset `at` and where it ends, or None; given up early if no WARC header comes out."""
+    unpack, out, head = zlib.decompressobj(31), [], b""
     while True:
+        bite = data.held[at - data.start : at - data.start + BITE]
+        if not bite:
+            if data.more():
+                continue
+            return None
         try:
-            out.append(unpack.decompress(data.held[used:]))
+            out.append(unpack.decompress(bite))
         except zlib.error:
             return None
-        used, size = len(data.held), size + len(out[-1])
+        at += len(bite)
         if unpack.eof:
-            return b"".join(out), data.start + used - len(unpack.unused_data)
-        if size >= 7 and not b"".join(out[:2])[:7].startswith(b"WARC/1.") and not b"".join(out)[:7] == b"WARC/1.":
-            return None
-        if not data.more():
+            return b"".join(out), at - len(unpack.unused_data)
+        head = head + out[-1][:7] if len(head) < 7 else head
+        if not b"WARC/1.".startswith(head[:7]):
             return None
 
 
@@ -168,15 +178,26 @@ def _page(name: str | None) -> int | None:
     return int(digits) if digits.lstrip("-").isdigit() else None
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Schemes of Hadoop's file systems under the names that pyarrow knows.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def open_range(path: str):
+    """A seekable binary file of a path as Spark gives it. Credentials are the executors' own (environment or instance role):
+    Spark's are not passed on. For other stores, give read_archive an opener of their own."""
     from pyarrow import fs
 
+    scheme, mark, rest = path.partition("://")
+    store, place = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{mark}{rest}")
+    return store.open_input_file(place)
+
+
+def _read(batches: Iterator[pd.DataFrame], opener: Callable = open_range) -> Iterator[pd.DataFrame]:
     columns = ["path", "offset", "stop", "page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload", "intact"]
     for batch in batches:
         for path, start, end, whole in zip(batch["path"], batch["start"], batch["end"], batch["whole"], strict=True):
-            store, place = fs.FileSystem.from_uri(path)
             rows = []
-            with store.open_input_file(place) as source:
+            with opener(path) as source:
                 for offset, stop, member in scan_range(source, start, end):
                     got = parse(member)
                     f, block = got["fields"], got["block"]
@@ -191,14 +212,17 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
-def read_archive(spark: SparkSession, path: str, payloads: bool = True, size: int = RANGE) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, payloads: bool = True, size: int = RANGE, opener: Callable = open_range) -> DataFrame:
     """One row per record under path: path, offset, page_id, url, record_type, refers_to, payload_digest, payload_bytes,
-    payload (null unless asked for), intact (a response's payload has the length and digest that its headers give)."""
+    payload (null unless asked for), intact (a response's payload has the length and digest that its headers give).
+
+    opener gives an executor the seekable bytes of a path (see open_range).
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long")))
     ranges = files.select("path", starts.alias("start")).select("path", "start", (F.col("start") + size).alias("end"), F.lit(payloads).alias("whole"))
     schema = "path string, offset long, stop long, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, intact boolean"
-    found = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start").mapInPandas(_read, schema)
+    found = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start").mapInPandas(partial(_read, opener=opener), schema)
     # a member inside another one starts before that one's end; file and offset are all this window needs, a file at a time
     around = Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("_reach", F.max("stop").over(around)).where("_reach IS NULL OR offset >= _reach").drop("_reach", "stop")
@@ -206,7 +230,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True, size: in
 
 def archived(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from a written archive."""
-    path = f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = shared_path(pages.sparkSession, "warc")
     write_archive(pages, path, least_revisit)
     back = read_archive(pages.sparkSession, path, payloads=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")

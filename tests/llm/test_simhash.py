@@ -59,18 +59,24 @@ def test_fixture_against_every_pair(spark):
     assert {i: v[1] for i, v in got.items()} == brute_components(prints)
 
 
-@pytest.mark.parametrize("cell", [3, 2048])
-def test_dense_blocks_are_dealt_into_cells_without_loss(spark, cell):
+@pytest.mark.parametrize("cell, shared", [(3, None), (2048, 1), (2048, 3), (2048, 4)])
+def test_dense_blocks_are_dealt_into_cells_without_loss(spark, cell, shared):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63)
     fps = {int(base)} | {int(base) ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (150, 2))}
     fps |= {int(x) for x in rng.integers(0, 2**63, 200)}
     frame = spark.createDataFrame([(f,) for f in fps], "fp long")
-    roots = {r.node: r.root for r in S.components(S.link_within_radius(frame, cell=cell)).collect()}
+    roots = {r.node: r.root for r in S.components(S.link_within_radius(frame, cell=cell, shared=shared)).collect()}
     want = brute_components({f: f for f in fps})
     assert {f: roots.get(f, f) for f in fps} == want
 
 
+def test_keys_grow_longer_with_the_table():
+    assert [S.shared_pieces(n, 4) for n in (10**3, 10**5, 10**7, 10**9, 2 * 10**10)] == sorted(S.shared_pieces(n, 4) for n in (10**3, 10**5, 10**7, 10**9, 2 * 10**10))
+    n, k = 2 * 10**10, S.shared_pieces(2 * 10**10, 4)
+    assert n / 2 ** (64 * k / (4 + k)) < 1  # a stranger a block at most
+
+
 def test_nulls_ties_empties_and_clashing_names(spark):
     long = "word " * 50_000
     rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "a b"), (5, long), (6, "  \n"), (None, "only one here now indeed")]
@@ -94,7 +100,7 @@ def test_near_copies_of_similarity_08_are_found(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [re.findall(r"[^\x20\x09-\x0D]+", t.lower())]}
-    ids, root = sorted(sets), {i: i for i in sets}
+    ids, root, pairs = sorted(sets), {i: i for i in sets}, []
 
     def top(i):
         while root[i] != i:
@@ -105,11 +111,15 @@ def test_near_copies_of_similarity_08_are_found(spark):
         for j in ids[:n]:
             small, large = sorted((len(sets[i]), len(sets[j])))
             if small >= 0.8 * large and (k := len(sets[i] & sets[j])) >= 0.8 * (small + large - k):
+                pairs.append((i, j))
                 a, b = top(i), top(j)
                 root[max(a, b)] = min(a, b)
     want = {i for i in ids if top(i) == i}
     got = {r.doc_id for r in S.keep_one_of_each_group(docs).select("doc_id").collect()}
-    assert len(got ^ want) <= 2, (len(want), got - want, want - got)
+    assert got == want
+    node = {r.doc_id: r.node for r in docs.selectExpr("doc_id", "xxhash64(text) AS node").collect()}
+    group = {r.node: r.root for r in S.near_duplicates(docs).collect()}
+    assert pairs and all(group.get(node[i], node[i]) == group.get(node[j], node[j]) for i, j in pairs)  # every link
 
 
 @pytest.mark.parametrize("cell", [400, 2048])
