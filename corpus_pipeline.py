@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyfold.llm import langid, mixing, packing, secrets, simhash
 from tallyfold.llm.common import table, written
@@ -11,9 +10,7 @@ from tallyfold.llm.common import table, written
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, lang being the prediction; those without a letter or of an even guess go."""
-    guessed = langid.predict(docs, langid.fit(docs))
-    kept = guessed.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= 0.5))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return langid.labelled(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +24,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the raked mixture samples."""
-    return mixing.sample(docs)
+    """The documents that the raked mixture samples. Its targets move the shares that the documents have only a little, so that
+    most documents stay."""
+    return mixing.sample(docs, powers=POWERS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +34,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+#: Powers of the shares of sources, languages and topics that give the mixture's targets.
+POWERS = (0.9, 0.9, 0.9)
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secret_scan), ("mixing", mix), ("packing", pack)]
 #: The first three stages are beyond SQL (fitted models, hashed fingerprints, span replacement): tests hold them against brute force.
 ORACLE_SQL = None
