@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import written
 
 #: Members of one block that share a cell; larger blocks are cut into pairs of chunks.
-CELL = 2048
+CELL = 512
 KEYS = ["block", "key", "i", "j"]
 
 

@@ -330,8 +330,9 @@ def _rows_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """One row (node, doc_id, ...) for each of the chosen (node, id). They are joined by text and doc_id, not by text
     alone, so that the copies of a text are spread over all tasks and only one of them passes."""
     key = lambda c: (F.coalesce(c, F.lit(0)).alias("_id"), F.col(c).isNull().alias("_none"))
-    by = chosen.select("node", *key("id"))
-    return rows.select("*", *key("doc_id")).join(by, ["node", "_id", "_none"], "left_semi").drop("_id", "_none").dropDuplicates(["node"])
+    by = chosen.select("node", *key("id")).hint("merge")  # texts meet it by the same plan at every size
+    keys = ["node", "_id", "_none"]
+    return rows.select("*", *key("doc_id")).join(by, keys, "left_semi").dropDuplicates(keys).drop("_id", "_none")
 
 
 def _groups(docs: DataFrame, firsts: DataFrame, similarity: float, cell: int) -> DataFrame:
