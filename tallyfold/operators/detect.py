@@ -47,6 +47,24 @@ def detect_full(rows: DataFrame, scores: DataFrame, thresholds: DataFrame, cutof
     return _alerts(both.where(F.col("rule_triggered").isNotNull() | flagged.isNotNull()), "FULL_SYSTEM", F.col("rule_triggered"), flagged)
 
 
+def detect_all(rows: DataFrame, thresholds: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """Alerts of the rule set, the scores and both (RULES_ONLY, ML_ONLY, FULL_SYSTEM) in one pass over rows with risk_score."""
+    both = evaluate(rows, thresholds)
+    fired, scored, none = F.col("rule_triggered"), F.when(F.col("risk_score") >= cutoff, F.col("risk_score")), F.lit(None)
+
+    def alert(config: str, on: Column, rules: Column, score: Column) -> Column:
+        name = F.lit(config)
+        return F.when(on, F.struct(alert_id(name).alias("id"), name.alias("detection_config"), rules.cast("string").alias("rule_triggered"), score.cast("double").alias("ml_risk_score")))
+
+    found = F.array(
+        alert("RULES_ONLY", fired.isNotNull(), fired, none),
+        alert("ML_ONLY", scored.isNotNull(), none, scored),
+        alert("FULL_SYSTEM", fired.isNotNull() | scored.isNotNull(), fired, scored),
+    )
+    each = both.select(F.col("id").alias("transaction_id"), F.explode(F.array_compact(found)).alias("a"))
+    return each.select("a.id", "transaction_id", "a.detection_config", "a.rule_triggered", "a.ml_risk_score", F.lit(True).alias("is_anomaly"), F.lit("NEW").alias("status"))
+
+
 def capped(rows: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy("id").limit(limit)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators.ranking import running
+
 
 def _share(a: Column, b: Column) -> Column:
     return F.when(b > 0, F.round(a / b, 6)).otherwise(F.lit(0.0))
@@ -42,26 +44,33 @@ def threshold_metrics(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     return metrics(each.groupBy("threshold").agg(F.count(F.lit(1)).alias("total"), F.count_if("is_fraud").alias("fraud"), F.count_if(hit).alias("alerts"), F.count_if(hit & F.col("is_fraud")).alias("tp")))
 
 
+def _points(scored: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, score, p, n (rows of that score by label), tp, fp (so far, from the highest score down), pos, neg (in all)."""
+    ties = scored.groupBy(*by, "score").agg(F.count_if("is_fraud").alias("p"), F.count_if(~F.col("is_fraud")).alias("n"))
+    summed = running(ties, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")}, by)
+    whole = scored.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.count_if("is_fraud").alias("pos"), F.count_if(~F.col("is_fraud")).alias("neg"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return summed.join(F.broadcast(whole), same).select(*summed.columns, "pos", "neg")  # one row, or one for each group
+
+
 def curve(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The polyline of ROC and precision-recall: a point for each distinct score, from the highest down."""
-    ties = scored.groupBy(*by, "score").agg(F.count_if("is_fraud").alias("p"), F.count_if(~F.col("is_fraud")).alias("n"))
-    all_, down = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(F.desc("score"))
-    c = ties.select(*by, "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(all_).alias("pos"), F.sum("n").over(all_).alias("neg"))
-    return c.select(*by, "score", "pos", "neg", (F.col("tp") / F.nullif("pos", F.lit(0))).alias("tpr"), (F.col("fp") / F.nullif("neg", F.lit(0))).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    tp, fp = F.col("tp"), F.col("fp")
+    return _points(scored, by).select(*by, "score", "pos", "neg", (tp / F.nullif("pos", F.lit(0))).alias("tpr"), (fp / F.nullif("neg", F.lit(0))).alias("fpr"), (tp / (tp + fp)).alias("precision"))
 
 
 def auc(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Trapezoid areas. One class only: ROC NaN; PR 0 without positives, 1 without negatives."""
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    lag = lambda c, first: F.lag(c, 1, first).over(down)
-    steps = curve(scored, by).select(
-        *by, "pos", "neg",
-        ((F.col("fpr") - lag("fpr", 0.0)) * (F.col("tpr") + lag("tpr", 0.0)) / 2).alias("roc"),
-        ((F.col("tpr") - lag("tpr", 0.0)) * (F.col("precision") + lag("precision", 1.0)) / 2).alias("pr"),
-    )
+    tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "p", "n"))
+    seen = tp + fp - p - n  # rows before this score; there precision is 1 if there are none
+    steps = _points(scored, by).select(
+        *by, "pos", "neg", (n * (2 * tp - p) / 2.0).alias("roc"), (p * (tp / (tp + fp) + F.when(seen > 0, (tp - p) / seen).otherwise(1.0)) / 2).alias("pr")
+    )
     pos, neg = F.max("pos"), F.max("neg")
-    roc = F.when((pos > 0) & (neg > 0), F.round(F.sum("roc"), 6)).otherwise(F.lit(float("nan")))
-    pr = F.when(pos == 0, 0.0).when(neg == 0, 1.0).otherwise(F.round(F.sum("pr"), 6))
+    roc = F.when((pos > 0) & (neg > 0), F.round(F.sum("roc") / pos / neg, 6)).otherwise(F.lit(float("nan")))
+    pr = F.when(pos == 0, 0.0).when(neg == 0, 1.0).otherwise(F.round(F.sum("pr") / pos, 6))
     return steps.groupBy(*by).agg(roc.alias("auc_roc"), pr.alias("auc_pr"))
 
 
@@ -96,21 +105,42 @@ def student_p(t: Column, nu: Column) -> Column:
     return F.when(nu % 2 == 0, even).otherwise(odd)
 
 
-def significance(folds: DataFrame, names: tuple[str, ...], alpha: float = 0.05) -> DataFrame:
-    """Paired t-tests of every two configurations and each metric over folds, at alpha over the number of pairs."""
-    long = folds.where("fold IS NOT NULL").select("detection_config", "fold", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in names])).alias("m"))
-    long = long.select("detection_config", "fold", "m.metric", "m.x").where("x IS NOT NULL AND NOT isnan(x)")
-    a = long.select(F.col("detection_config").alias("config_a"), "fold", "metric", F.col("x").alias("a"))
-    b = long.select(F.col("detection_config").alias("config_b"), "fold", "metric", F.col("x").alias("b"))
-    pairs = a.join(b, ["fold", "metric"]).where("config_a < config_b").withColumn("d", F.col("a") - F.col("b"))
-    g = pairs.groupBy("metric", "config_a", "config_b").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"), F.max(F.abs("d")).alias("most")
-    )
-    number = F.count_distinct("config_a", "config_b")
-    g = g.crossJoin(F.broadcast(g.agg(number.alias("pairs")))).where("n > 1")
-    flat = F.col("most") == 0
-    t = F.when(flat, 0.0).when(F.col("sd") == 0, F.signum("mean_diff") * float("inf")).otherwise(F.col("mean_diff") / (F.col("sd") / F.sqrt("n")))
-    p = F.when(flat, 1.0).when(F.col("sd") == 0, 0.0).otherwise(student_p(F.col("t"), F.col("n") - 1))
-    return g.withColumn("t", t).withColumn("p", p).select(
-        "metric", "config_a", "config_b", "n", F.round("mean_diff", 6).alias("mean_diff"), F.round("t", 4).alias("t"), F.round("p", 6).alias("p"), (F.col("p") < alpha / F.col("pairs")).alias("significant")
-    )
+def significance(folds: DataFrame, names: tuple[str, ...], alpha: float = 0.05, order: tuple[str, ...] = ()) -> DataFrame:
+    """Paired t-tests of every two configurations and each metric over the folds, at alpha over the number of pairs.
+
+    skip_reason: no test if the configurations have other numbers of folds, or a null or NaN among them; t 0 and p 1 if no
+    fold differs. Pairs are in the given order of configurations, others after them by name. Rows: pairs times metrics.
+    """
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col("detection_config")), F.lit(0)) if order else F.lit(0)
+    rank = F.struct(F.when(place > 0, place).otherwise(len(order) + 1), "detection_config")
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in names])
+    long = folds.where("fold IS NOT NULL").select("detection_config", "fold", rank.alias("rank"), F.explode(values).alias("m"))
+    # a configuration's folds of one metric are a short list: pairs are made of lists, and folds are read once
+    lists = long.groupBy("m.metric", "detection_config", "rank").agg(F.array_sort(F.collect_list(F.struct("fold", F.col("m.x").alias("x")))).alias("xs"))
+    every = lists.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("rank", "detection_config", "xs"))).alias("c"))
+    pairs = every.select("metric", (F.size("c") * (F.size("c") - 1) / 2).alias("pairs"), F.posexplode("c").alias("i", "a"), "c").select("metric", "pairs", "a", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("b"))
+    x = lambda c: F.transform(F.col(c)["xs"], lambda s: s["x"])
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, v: s + v)
+    bad = lambda xs: F.exists(xs, lambda v: v.isNull() | F.isnan(v))
+    p = pairs.select("metric", "pairs", F.col("a.detection_config").alias("config_a"), F.col("b.detection_config").alias("config_b"), x("a").alias("a"), x("b").alias("b"))
+    uneven, odd = F.size("a") != F.size("b"), F.coalesce(bad(F.col("a")) | bad(F.col("b")), F.lit(True))
+    p = p.withColumn("skip_reason", F.when(uneven, "fold-count mismatch or empty").when(odd, "NaN values in metric"))
+    usable = F.col("skip_reason").isNull()
+    p = p.withColumn("d", F.when(usable, F.zip_with("a", "b", lambda u, v: u - v))).withColumn("n", F.size("a").cast("long"))
+    mean = lambda c: F.when(usable, total(F.col(c)) / F.col("n"))
+    p = p.withColumn("mean_a", mean("a")).withColumn("mean_b", mean("b")).withColumn("mean_diff", mean("d"))
+    spread = F.aggregate(F.transform("d", lambda v: F.pow(v - F.col("mean_diff"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v)
+    p = p.withColumn("sd", F.when(usable & (F.col("n") > 1), F.sqrt(spread / (F.col("n") - 1))))
+    flat = usable & ~F.coalesce(F.exists("d", lambda v: v != 0), F.lit(False))
+    p = p.withColumn("skip_reason", F.when(flat, "zero variance").when(usable & (F.col("n") < 2), "fewer than two folds").otherwise(F.col("skip_reason")))
+    tested = F.col("skip_reason").isNull()
+    still = F.col("skip_reason") == "zero variance"
+    t = F.when(still, 0.0).when(tested & (F.col("sd") == 0), F.signum("mean_diff") * float("inf")).when(tested, F.col("mean_diff") / (F.col("sd") / F.sqrt("n")))
+    p = p.withColumn("t", t)
+    value = F.when(still, 1.0).when(tested & (F.col("sd") == 0), 0.0).when(tested, student_p(F.col("t"), F.col("n") - 1))
+    p = p.withColumn("p", value).withColumn("alpha_corrected", F.lit(alpha) / F.col("pairs"))
+    rounded = [F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "mean_diff")]
+    return p.select(
+        "metric", "config_a", "config_b", "n", *rounded, F.round("t", 4).alias("t"), F.round("p", 6).alias("p"), F.round("alpha_corrected", 6).alias("alpha_corrected"),
+        F.coalesce(tested & (F.col("p") < F.col("alpha_corrected")), F.lit(False)).alias("significant"), "skip_reason",
+    )

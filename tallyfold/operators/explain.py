@@ -37,19 +37,93 @@ def amount_mentioned(text: Column, amount: Column) -> Column:
     return exact[0] | exact[1] | exact[2] | exact[3] | in_k | F.exists(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), close)
 
 
-def validate_amount(rows: DataFrame) -> DataFrame:
-    """id, flag: AMOUNT_NOT_REFERENCED if neither explanation_text nor risk_summary names the amount; null without amount or text."""
+def _amount_flag() -> Column:
     text = F.concat(F.coalesce("explanation_text", F.lit("")), F.coalesce(F.concat(F.lit(" "), F.col("risk_summary")), F.lit("")))
     missing = F.col("amount").isNotNull() & (F.trim(text) != "") & ~amount_mentioned(text, F.col("amount"))
-    return rows.select("id", F.when(missing, F.lit("AMOUNT_NOT_REFERENCED")).alias("flag"))
+    return F.when(missing, F.lit("AMOUNT_NOT_REFERENCED"))
 
 
-def validate_accounts(rows: DataFrame) -> DataFrame:
-    """id, flag: POSSIBLE_ACCOUNT_FABRICATION if the text speaks of accounts and cites an id, but neither the sender nor the receiver."""
+def _account_flag() -> Column:
     text, low = F.col("explanation_text"), F.lower("explanation_text")
     speaks = low.contains("sender") | low.contains("receiver") | low.contains("account")
     cites = text.contains(F.col("sender_account")) | text.contains(F.col("receiver_account"))  # null ids: no flag
-    return rows.select("id", F.when(speaks & ~cites & text.rlike(ACCOUNT), F.lit("POSSIBLE_ACCOUNT_FABRICATION")).alias("flag"))
+    return F.when(speaks & ~cites & text.rlike(ACCOUNT), F.lit("POSSIBLE_ACCOUNT_FABRICATION"))
+
+
+def validate_amount(rows: DataFrame) -> DataFrame:
+    """id, flag: AMOUNT_NOT_REFERENCED if neither explanation_text nor risk_summary names the amount; null without amount or text."""
+    return rows.select("id", _amount_flag().alias("flag"))
+
+
+def validate_accounts(rows: DataFrame) -> DataFrame:
+    """id, flag: POSSIBLE_ACCOUNT_FABRICATION if the text speaks of accounts and cites an id, but neither the sender nor the receiver."""
+    return rows.select("id", _account_flag().alias("flag"))
+
+
+def _flag(name: str, when: Column) -> Column:
+    return F.when(when, F.lit(name))
+
+
+def _blank(column: str) -> Column:
+    return F.trim(F.coalesce(column, F.lit(""))) == ""
+
+
+def _says(*phrases: str) -> Column:
+    low = F.lower("explanation_text")
+    return F.exists(F.array(*map(F.lit, phrases)), lambda p: low.contains(p))
+
+
+#: The names of the flags, and the phrases that speak against, or for, fraud.
+LOW_RISK, CERTAIN = ("low risk", "unlikely fraud"), ("certainly fraud", "definitely fraudulent")
+
+
+def _checks() -> dict[str, Column]:
+    """Every check's flag, or null, in the order in which they are made."""
+    score, confidence = F.col("ml_risk_score"), F.col("confidence_score")
+    return {
+        "empty_risk_summary": _flag("EMPTY_RISK_SUMMARY", _blank("risk_summary")),
+        "empty_explanation_text": _flag("EMPTY_EXPLANATION_TEXT", _blank("explanation_text")),
+        "empty_suspicious_patterns": _flag("EMPTY_SUSPICIOUS_PATTERNS", F.coalesce("n_patterns", F.lit(0)) == 0),
+        "empty_recommended_actions": _flag("EMPTY_RECOMMENDED_ACTIONS", F.coalesce("n_actions", F.lit(0)) == 0),
+        "confidence": _flag("CONFIDENCE_OUT_OF_RANGE", ~confidence.between(0, 1)),
+        "amount": _amount_flag(),
+        "accounts": _account_flag(),
+        "mismatch": _flag("RISK_DIRECTION_MISMATCH", (score > 0.9) & _says(*LOW_RISK)),
+        "overclaim": _flag("RISK_OVERCLAIM", (score < 0.6) & _says(*CERTAIN)),
+    }
+
+
+def check(rows: DataFrame, **names: str) -> DataFrame:
+    """id and the flags of some checks: column name -> check (see _checks)."""
+    made = _checks()
+    return rows.select("id", *[made[c].alias(n) for n, c in names.items()])
+
+
+def validate(rows: DataFrame) -> DataFrame:
+    """rows with flags (of all nine checks), hallucination_free (no flag) and the explanation type that follows: retrieval-based
+    ones without a flag are validated."""
+    seen = rows.withColumn("flags", F.array_compact(F.array(*_checks().values()))).withColumn("hallucination_free", F.size("flags") == 0)
+    return seen.withColumn("explanation_type", F.when((F.col("explanation_type") == "LLM_RAG") & F.col("hallucination_free"), "LLM_RAG_VALIDATED").otherwise(F.col("explanation_type")))
+
+
+#: Scores from which an alert is explained directly, and with retrieved patterns.
+DIRECT_FROM, RAG_FROM = 0.5, 0.75
+
+
+def route(alerts: DataFrame) -> DataFrame:
+    """id, route (SKIP, DIRECT, RAG) by configuration and score, effective_type (what the score calls for; alerts of rules alone have
+    none and get retrieval)."""
+    score = F.col("ml_risk_score")
+    by_score = F.when(score.isNull() | (score >= RAG_FROM), "RAG").when(score >= DIRECT_FROM, "DIRECT").otherwise("SKIP")
+    explained = ~F.col("detection_config").isin("RULES_ONLY", "ML_ONLY")
+    kind = F.when(by_score != "SKIP", F.concat(F.lit("LLM_"), by_score))
+    return alerts.select("id", F.when(explained, by_score).otherwise("SKIP").alias("route"), kind.alias("effective_type"))
+
+
+def retrieval_keys(alerts: DataFrame, tx: DataFrame) -> DataFrame:
+    """The distinct pairs of triggered rules and kind of payment: one retrieval serves all alerts of a pair."""
+    kinds = tx.select(F.col("id").alias("transaction_id"), "transaction_type")
+    return alerts.where("rule_triggered IS NOT NULL").join(kinds, "transaction_id").select("rule_triggered", "transaction_type").distinct()
 
 
 # texts for retrieval and prompts

@@ -13,32 +13,101 @@ FEATURE_NAMES = (
 HIGH_RISK = ("TRANSFER", "CASH_OUT")
 
 
-def _over(sender: str, hours: str) -> str:
-    return f"OVER (PARTITION BY {sender} ORDER BY timestamp RANGE BETWEEN INTERVAL '{hours}' DAY TO SECOND PRECEDING AND INTERVAL '0 00:00:00.000001' DAY TO SECOND PRECEDING)"
+HOUR, DAY, WEEK = 3_600_000_000, 86_400_000_000, 604_800_000_000
+#: Each sender's time is cut into blocks of a week, the longest window; a block's rows are one task's at most.
+BLOCK = WEEK
 
 
-HOUR, DAY, WEEK = (_over("sender_account", h) for h in ("0 01:00:00", "1 00:00:00", "7 00:00:00"))
+def _micros() -> Column:
+    return F.unix_micros(F.col("timestamp").cast("timestamp"))
+
+
+def _block(at: Column) -> Column:
+    return F.floor(at / F.lit(BLOCK)).cast("long")
+
+
+def _in_pairs(tx: DataFrame, ties_are_new: bool = False) -> DataFrame:
+    """tx with is_new_receiver and _next, the time of the pair's next payment if that lies within the next block.
+
+    A pair's history is windowed by blocks. What a block must know of the others are two rows: that the pair has been seen
+    before, and when the next block begins. They come from the first payment of each block, a grouped minimum.
+    """
+    pair = ["sender_account", "receiver_account"]
+    rows = tx.select(*pair, _micros().alias("_t"), "id", F.struct("*").alias("_row")).withColumn("_b", _block(F.col("_t")))
+    firsts = rows.groupBy(*pair, "_b").agg(F.min("_t").alias("_t"))
+    before = F.lag("_b").over(Window.partitionBy(*pair).orderBy("_b"))
+    none = F.lit(None).cast(rows.schema["_row"].dataType)
+    marks = firsts.withColumn("_before", before).where("_before IS NOT NULL")
+    each = F.array(
+        F.struct(F.col("_b"), (F.col("_b") * BLOCK - 1).alias("_t")),  # the pair has been seen
+        F.when(F.col("_before") == F.col("_b") - 1, F.struct(F.col("_before").alias("_b"), F.col("_t"))),  # the next payment
+    )
+    marks = marks.select(*pair, F.explode(F.array_compact(each)).alias("m")).select(*pair, "m._t", F.lit(None).cast("long").alias("id"), none.alias("_row"), "m._b")
+    inside = Window.partitionBy(*pair, "_b")
+    first = F.rank().over(inside.orderBy("_t")) if ties_are_new else F.row_number().over(inside.orderBy("_t", "id"))
+    told = rows.withColumn("id", F.col("id").cast("long")).unionByName(marks).select("_row", (first == 1).alias("is_new_receiver"), F.lead("_t").over(inside.orderBy("_t", "id")).alias("_next"))
+    return told.where("_row IS NOT NULL").select("_row.*", "is_new_receiver", "_next")
+
+
+def _history(tx: DataFrame, leaves: dict[str, Column], amounts: dict[str, Column]) -> DataFrame:
+    """tx with a column for each of `leaves`: how many of the sender's earlier payments have not yet left at the row's time,
+    leaves being the last time at which a payment counts; and for each of `amounts` its sum over those of "_n7".
+
+    A payment enters the running sums at its time and leaves them when it is over; whatever is still there when a block ends
+    enters the next one once more, so that blocks are summed apart. Equal times never see each other.
+    """
+    names = [*leaves, *amounts]
+    t = F.col("_t")
+    rows = tx.select("sender_account", F.struct(*tx.columns).alias("_row"), _micros().alias("_t"), *[c.alias(f"_out{n}") for n, c in leaves.items()], *[c.alias(f"_in{n}") for n, c in amounts.items()])
+    none = F.lit(None).cast(rows.schema["_row"].dataType)
+
+    def event(block: Column, at: Column, row: Column, sign: int, which: set[str]) -> Column:
+        kinds = {n: rows.schema[f"_in{n}"].dataType for n in amounts} | dict.fromkeys(leaves, "long")
+        values = [(F.lit(0) if n not in which else F.lit(sign) if n in leaves else F.col(f"_in{n}") * sign).cast(kinds[n]).alias(n) for n in names]
+        return F.struct(block.alias("_b"), at.cast("long").alias("_at"), row.alias("_row"), *values)
+
+    events = [event(_block(t), t, F.col("_row"), 1, set(names))]
+    for n in leaves:
+        over, which = F.col(f"_out{n}"), {n} | (set(amounts) if n == "_n7" else set())
+        into = _block(over)
+        events.append(event(into, over, none, -1, which))
+        events.append(F.when(into > _block(t), event(into, into * BLOCK - 1, none, 1, which)))
+    every = rows.select("sender_account", F.explode(F.array_compact(F.array(*events))).alias("e")).select("sender_account", "e.*")
+    earlier = Window.partitionBy("sender_account", "_b").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    summed = every.select("_row", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in names])
+    return summed.where("_row IS NOT NULL").select("_row.*", *names)
+
+
+def _leaves(*which: str) -> dict[str, Column]:
+    t = _micros()
+    whole = {"_n1": t + HOUR, "_n24": t + DAY, "_n7": t + WEEK, "_d7": F.least(t + WEEK, F.col("_next"))}
+    return {n: whole[n] for n in which}
+
+
+def _cents() -> dict[str, Column]:
+    cents = (F.col("amount") * 100).cast("long")
+    return {"_s": cents, "_q": (cents.cast("decimal(38,0)") * cents).cast("decimal(38,0)")}
+
+
+def _velocities(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tx_velocity_1h", F.col("_n1").cast("int")).withColumn("tx_velocity_24h", F.col("_n24").cast("int")).drop("_n1", "_n24")
+
+
+def _statistics(rows: DataFrame) -> DataFrame:
+    mean = F.when(F.col("_n7") > 0, F.expr("(2 * _s + _n7) div (2 * _n7)")).otherwise(F.lit(0))
+    spread = F.expr("sqrt(CAST(_n7 * CAST(_q AS DECIMAL(38,0)) - CAST(_s AS DECIMAL(38,0)) * _s AS DOUBLE)) / _n7 / 100")
+    rows = rows.withColumn("avg_amount_7d", (mean / F.lit(100).cast("decimal(3,0)")).cast("decimal(18,2)"))
+    return rows.withColumn("stddev_7d", F.when(F.col("_n7") > 0, spread).otherwise(F.lit(0.0))).drop("_n7", "_s", "_q")
 
 
 def velocity(tx: DataFrame) -> DataFrame:
     """Earlier payments of the sender in the last hour and day."""
-    return tx.select("*", F.expr(f"CAST(count(*) {HOUR} AS INT)").alias("tx_velocity_1h"), F.expr(f"CAST(count(*) {DAY} AS INT)").alias("tx_velocity_24h"))
+    return _velocities(_history(tx, _leaves("_n1", "_n24"), {}))
 
 
 def amount_stats_7d(tx: DataFrame) -> DataFrame:
     """Mean (2 decimals) and population deviation of the sender's last seven days; 0 without history."""
-    cents = tx.withColumn("_c", (F.col("amount") * 100).cast("long"))
-    sums = cents.select(
-        "*",
-        F.expr(f"count(*) {WEEK}").alias("_n"),
-        F.expr(f"coalesce(sum(_c) {WEEK}, 0)").alias("_s"),
-        F.expr(f"coalesce(sum(CAST(_c AS DECIMAL(38,0)) * _c) {WEEK}, 0)").alias("_q"),
-    )
-    mean = F.when(F.col("_n") > 0, F.expr("(2 * _s + _n) div (2 * _n)")).otherwise(F.lit(0))
-    spread = F.expr("sqrt(CAST(_n * CAST(_q AS DECIMAL(38,0)) - CAST(_s AS DECIMAL(38,0)) * _s AS DOUBLE)) / _n / 100")
-    return sums.withColumn("avg_amount_7d", (mean / F.lit(100).cast("decimal(3,0)")).cast("decimal(18,2)")).withColumn(
-        "stddev_7d", F.when(F.col("_n") > 0, spread).otherwise(F.lit(0.0))
-    ).drop("_c", "_n", "_s", "_q")
+    return _statistics(_history(tx, _leaves("_n7"), _cents()))
 
 
 def _ratio(part: str, whole: str) -> Column:
@@ -58,14 +127,13 @@ def balance_ratio(tx: DataFrame) -> DataFrame:
 
 def new_receiver(tx: DataFrame, ties_are_new: bool = False) -> DataFrame:
     """Whether this is the first payment of the pair; among equal times the lowest id, or all of them."""
-    pair = Window.partitionBy("sender_account", "receiver_account")
-    first = F.rank().over(pair.orderBy("timestamp")) if ties_are_new else F.row_number().over(pair.orderBy("timestamp", "id"))
-    return tx.withColumn("is_new_receiver", first == 1)
+    return _in_pairs(tx, ties_are_new).drop("_next")
 
 
 def receiver_diversity(tx: DataFrame) -> DataFrame:
-    """Distinct receivers of the sender's last seven days."""
-    return tx.select("*", F.expr(f"size(collect_set(receiver_account) {WEEK})").alias("receiver_diversity_7d"))
+    """Distinct receivers of the sender's last seven days: a payment counts until the pair's next one, or for a week."""
+    paired = _in_pairs(tx).drop("is_new_receiver")
+    return _history(paired, _leaves("_d7"), {}).withColumn("receiver_diversity_7d", F.col("_d7").cast("int")).drop("_d7", "_next")
 
 
 def calendar_flags(tx: DataFrame) -> DataFrame:
@@ -77,13 +145,16 @@ def calendar_flags(tx: DataFrame) -> DataFrame:
     )
 
 
+def with_features(tx: DataFrame) -> DataFrame:
+    """tx and all features: a shuffle by sender, receiver and week, and one by sender and week."""
+    own = _history(_in_pairs(tx), _leaves("_n1", "_n24", "_n7", "_d7"), _cents())
+    own = own.withColumn("receiver_diversity_7d", F.col("_d7").cast("int")).drop("_d7", "_next")
+    return calendar_flags(balance_ratio(zscore_and_ratio(_statistics(_velocities(own))))).drop("stddev_7d")
+
+
 def features_full(tx: DataFrame) -> DataFrame:
-    """All features: one shuffle by sender, one by sender and receiver (first, so that the wide windows follow the last shuffle)."""
-    own = zscore_and_ratio(amount_stats_7d(receiver_diversity(velocity(new_receiver(tx)))))
-    return calendar_flags(balance_ratio(own)).select(
-        F.col("id").alias("transaction_id"), "amount_zscore", "tx_velocity_1h", "tx_velocity_24h", "avg_amount_7d", "amount_ratio_to_avg",
-        "balance_change_ratio", "is_new_receiver", "receiver_diversity_7d", "hour_of_day", "day_of_week", "is_round_amount", "is_high_risk_type",
-    )
+    """All features by transaction_id."""
+    return with_features(tx).select(F.col("id").alias("transaction_id"), *[n for n in FEATURE_NAMES if n != "amount"])
 
 
 def features_incremental(tx: DataFrame, existing: DataFrame) -> DataFrame:

@@ -2,17 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.operators.ranking import first_by_hash, hash_of_id, running
 
-def temporal_split(tx: DataFrame, ratio: float = 0.8) -> DataFrame:
-    """tx with is_training_set: before the discrete percentile of time, or not."""
+
+def _micros() -> Column:
+    return F.unix_micros(F.col("timestamp").cast("timestamp"))
+
+
+def cutoff(tx: DataFrame, ratio: float = 0.8, most: int = 1_000_000, bins: int = 4096) -> int | None:
+    """The discrete percentile of time in microseconds, exact: the range that holds it is narrowed by counts in equal bins until
+    it has at most `most` rows (or a single time), which are sorted. So no task and not the driver ever meets more."""
     if not 0 < ratio < 1:
         raise ValueError("ratio must lie between 0 and 1")
-    micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    cut = tx.agg(F.expr(f"percentile_disc({ratio}) WITHIN GROUP (ORDER BY unix_micros(CAST(timestamp AS TIMESTAMP)))").cast("long").alias("_cut"))
-    return tx.crossJoin(F.broadcast(cut)).withColumn("is_training_set", micros < F.col("_cut")).drop("_cut")  # one row
+    times = tx.select(_micros().alias("t")).where("t IS NOT NULL")
+    n, lo, hi = times.agg(F.count(F.lit(1)), F.min("t"), F.max("t")).first()
+    if not n:
+        return None
+    rank = math.ceil(Decimal(str(ratio)) * n)
+    while n > most and lo < hi:
+        width = (hi - lo) // bins + 1
+        counts = times.where(F.col("t").between(lo, hi)).groupBy(F.expr(f"(t - {lo}L) div {width}L").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        for bin_, n in sorted(counts.collect()):
+            if rank <= n:
+                lo, hi = lo + bin_ * width, min(hi, lo + (bin_ + 1) * width - 1)
+                break
+            rank -= n
+    if lo == hi:
+        return lo
+    return times.where(F.col("t").between(lo, hi)).agg(F.element_at(F.array_sort(F.collect_list("t")), rank)).first()[0]
+
+
+def temporal_split(tx: DataFrame, ratio: float = 0.8) -> DataFrame:
+    """tx with is_training_set: before the discrete percentile of time, or not. The cut-off is a literal in the plan."""
+    return tx.withColumn("is_training_set", _micros() < F.lit(cutoff(tx, ratio)).cast("long"))
 
 
 def split_summary(split: DataFrame, ratio: float = 0.8) -> DataFrame:
@@ -23,9 +51,9 @@ def split_summary(split: DataFrame, ratio: float = 0.8) -> DataFrame:
 
 
 def stratified_split(tx: DataFrame) -> DataFrame:
-    """Every fifth row of each label by id is test. The rank needs each label in one sorted task: for small tables; use temporal_split at scale."""
-    by = Window.partitionBy("is_fraud").orderBy("id")
-    return tx.withColumn("is_training_set", F.row_number().over(by) % 5 != 0)
+    """Every fifth row of each label by id is test."""
+    ranked = running(tx, [F.col("id")], {"_rank": F.lit(1)}, ("is_fraud",))
+    return ranked.withColumn("is_training_set", F.col("_rank") % 5 != 0).drop("_rank")
 
 
 def _hash32(column: str) -> str:
@@ -39,11 +67,6 @@ def assign_folds(split: DataFrame, k: int = 5) -> DataFrame:
     return split.withColumn("fold", F.when(~F.col("is_training_set"), F.expr(f"CAST({_hash32('id')} % {k} AS INT)")))
 
 
-def first_by_hash(rows: DataFrame, n: int) -> DataFrame:
-    """n rows in the order of a hash of their id: a reproducible uniform sample."""
-    return rows.withColumn("_h", F.md5(F.col("id").cast("string").cast("binary"))).orderBy("_h", "id").limit(n).drop("_h")
-
-
 def training_sample(split: DataFrame, max_legit: int = 200_000) -> DataFrame:
     train = split.where("is_training_set")
     return train.where("is_fraud").unionByName(first_by_hash(train.where("NOT is_fraud"), max_legit))
@@ -54,5 +77,5 @@ def auc_sample(split: DataFrame, n_legit: int, by_fold: bool = False) -> DataFra
     fraud, legit = test.where("is_fraud"), test.where("NOT is_fraud")
     if not by_fold:
         return fraud.unionByName(first_by_hash(legit, n_legit))
-    by = Window.partitionBy("fold").orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id")
+    by = Window.partitionBy("fold").orderBy(hash_of_id(), "id")
     return fraud.unionByName(legit.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= n_legit).drop("_r"))

@@ -1,4 +1,4 @@
-"""The canonical tables, derived from a driver folder; every one is a lazy DataFrame."""
+"""The canonical tables, derived from a driver folder; those that others are made of are written once for each query."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.operators import detect, evaluate, features, rules, split
+from tallyfold.session import written
 
 #: Thresholds of the driver queries.
 THRESHOLDS = {"LARGE_TRANSACTION": 200_000, "NEW_RECEIVER_HIGH_VALUE": 50_000, "RAPID_VELOCITY": 2, "STRUCTURING": 10_000}
-METRICS = ("precision", "recall", "f1", "fpr")
+METRICS = ("precision", "recall", "f1", "fpr", "auc_roc", "auc_pr", "quality", "hallucination_rate")
+FOLDS = 5
 
 
 class Canonical:
@@ -35,58 +37,90 @@ class Canonical:
             (F.col("value").cast("decimal(18,2)") * 1000).cast("decimal(18,2)").alias("amount"),
             "sender_balance_before",
             fraud.alias("is_fraud"),
+            F.when(F.col("event_id") % 10 == 0, "CUSTOM").otherwise("PAYSIM").alias("dataset_source"),
         )
 
     @cached_property
     def tx(self) -> DataFrame:
-        return split.assign_folds(split.temporal_split(self.tx0), 5)
+        return split.assign_folds(split.temporal_split(self.tx0), FOLDS)
 
     @cached_property
-    def feats(self) -> DataFrame:
-        return features.features_full(self.tx0)
-
-    @cached_property
-    def thresholds(self) -> DataFrame:
-        return rules.threshold_table(self.spark, THRESHOLDS)
+    def base(self) -> DataFrame:
+        """Payments with split, fold, features and scores, written once: whatever needs features or alerts reads this table."""
+        points = F.expr("CASE WHEN amount >= 50000 THEN 35 ELSE 0 END + CASE WHEN is_new_receiver THEN 20 ELSE 0 END + 5 * least(tx_velocity_24h, 5) + id % 20")
+        share = lambda n: (n / 100.0).cast("double")
+        rows = features.with_features(self.tx).withColumn("_n", points)
+        scored = rows.withColumns({"risk_score": share(F.col("_n")), "rf_score": share(F.col("_n")), "gbt_score": share(F.col("_n") + F.col("id") % 3 - 1)})
+        return written(scored.drop("_n"), "base")
 
     @cached_property
     def rows(self) -> DataFrame:
         """Transactions with their features."""
-        return self.tx.join(self.feats.withColumnRenamed("transaction_id", "id"), "id", "left")
+        return self.base.drop("risk_score", "rf_score", "gbt_score")
+
+    @cached_property
+    def feats(self) -> DataFrame:
+        return self.base.select(F.col("id").alias("transaction_id"), *[n for n in features.FEATURE_NAMES if n != "amount"])
 
     @cached_property
     def scores(self) -> DataFrame:
         """A deterministic stand-in for model scores: id, risk_score, rf_score, gbt_score."""
-        points = self.rows.select(
-            "id",
-            F.expr(
-                "CASE WHEN amount >= 50000 THEN 35 ELSE 0 END + CASE WHEN is_new_receiver THEN 20 ELSE 0 END + 5 * least(tx_velocity_24h, 5) + id % 20"
-            ).alias("n"),
-        )
-        return points.select("id", (F.col("n") / 100.0).cast("double").alias("risk_score"), (F.col("n") / 100.0).cast("double").alias("rf_score"), ((F.col("n") + F.col("id") % 3 - 1) / 100.0).cast("double").alias("gbt_score"))
+        return self.base.select("id", "risk_score", "rf_score", "gbt_score")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Test rows: id, is_fraud, fold, score."""
+        return self.base.where("NOT is_training_set").select("id", "is_fraud", "fold", F.col("risk_score").alias("score"))
+
+    @cached_property
+    def thresholds(self) -> DataFrame:
+        return rules.threshold_table(self.spark, THRESHOLDS)
 
     @cached_property
     def alerts(self) -> DataFrame:
-        test = self.rows.where("NOT is_training_set")
-        found = detect.detect_rules(test, self.thresholds).unionByName(detect.detect_ml(test, self.scores.select("id", "risk_score"))).unionByName(detect.detect_full(test, self.scores.select("id", "risk_score"), self.thresholds))
-        return found.withColumn("status", F.when(F.col("transaction_id") % 5 == 0, "REVIEWED").when(F.col("transaction_id") % 7 == 0, "CONFIRMED").otherwise("NEW"))
+        found = detect.detect_all(self.base.where("NOT is_training_set"), self.thresholds)
+        status = F.when(F.col("transaction_id") % 5 == 0, "REVIEWED").when(F.col("transaction_id") % 7 == 0, "CONFIRMED").otherwise("NEW")
+        return written(found.withColumn("status", status), "alerts")
+
+    @cached_property
+    def patterns(self) -> DataFrame:
+        """A pattern for each rule and kind of payment that the alerts show: patternType, title."""
+        seen = self.alerts.join(self.base.select(F.col("id").alias("transaction_id"), "transaction_type"), "transaction_id")
+        return seen.select(F.explode(F.split("rule_triggered", "; ")).alias("r"), "transaction_type").select(F.split("r", ":")[0].alias("patternType"), F.col("transaction_type").alias("title")).distinct()
 
     @cached_property
     def expl(self) -> DataFrame:
-        return self.spark.sql(EXPLANATIONS.replace("FROM alerts", "FROM {a}").replace("JOIN tx", "JOIN {t}"), a=self.alerts, t=self.tx)
+        made = self.spark.sql(EXPLANATIONS.replace("FROM alerts", "FROM {a}").replace("JOIN tx", "JOIN {t}"), a=self.alerts, t=self.base)
+        return written(made, "explanations")
 
     @cached_property
     def folds(self) -> DataFrame:
-        return evaluate.metrics(evaluate.counts(self.tx, self.alerts, by_fold=True))
+        """Each configuration's metrics on each fold, with the areas of the scores and what its explanations are like."""
+        measured = evaluate.metrics(evaluate.counts(self.base, self.alerts, by_fold=True))
+        areas = evaluate.auc(self.scored, ("fold",))
+        flagged = F.count(F.when(~F.col("hallucination_free"), 1))
+        told = self.expl.groupBy("detection_config", "fold").agg(
+            F.round(F.avg(F.expr(ALL_FOUR)), 6).alias("quality"), F.round(flagged / F.nullif(F.count("hallucination_free"), F.lit(0)), 6).alias("hallucination_rate")
+        )
+        return written(measured.join(areas, "fold").join(told, ["detection_config", "fold"], "left"), "folds")
 
     @cached_property
     def results(self) -> DataFrame:
-        return evaluate.kfold_summary(self.folds, METRICS)
+        """Two experiments: every configuration, and a run of the rule set alone."""
+        whole = evaluate.kfold_summary(self.folds, METRICS)
+        named = whole.withColumn("experiment_name", F.lit("benchmark"))
+        again = whole.where("detection_config = 'RULES_ONLY'").withColumn("experiment_name", F.lit("rules"))
+        place = F.array_position(F.array(*map(F.lit, detect.CONFIGS)), F.col("detection_config")) * 10 + F.coalesce("fold", F.lit(9))
+        both = named.unionByName(again)
+        return written(both.withColumn("id", (place + F.when(F.col("experiment_name") == "rules", 100).otherwise(0)).cast("long")), "results")
+
 
+#: Quality of an explanation with all four scores.
+ALL_FOUR = "CASE WHEN completeness IS NOT NULL AND correctness IS NOT NULL AND actionability IS NOT NULL AND regulatory IS NOT NULL THEN (completeness + correctness + actionability + regulatory) / 4 END"
 
 #: One explanation for each alert, with errors planted by id; both engines read it.
 EXPLANATIONS = """
-SELECT a.id, a.id AS alert_id, a.transaction_id, a.detection_config, a.ml_risk_score, t.amount, t.sender_account, t.receiver_account, t.fold,
+SELECT a.id, a.id AS alert_id, a.transaction_id, a.detection_config, a.ml_risk_score, t.amount, t.sender_account, t.receiver_account, t.fold, t.dataset_source,
        CASE WHEN a.transaction_id % 4 = 0 THEN 'LLM_RAG' WHEN a.transaction_id % 4 = 1 THEN 'LLM_DIRECT' ELSE 'LLM_RAG_VALIDATED' END AS explanation_type,
        CASE WHEN a.transaction_id % 11 = 0 THEN NULL
             WHEN a.transaction_id % 13 = 0 THEN 'The account Z12345678 behind this is unlikely fraud and low risk'

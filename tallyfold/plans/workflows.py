@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.operators import experiments, explain, features, models, split
+from tallyfold.operators import dashboards, experiments, explain, features, models, split
 from tallyfold.plans.canonical import METRICS, Canonical
 from tallyfold.plans.register import query
+from tallyfold.plans.report_oracles import AMOUNT, FLAGGED
+from tallyfold.plans.report_oracles import ORACLES as REPORTS
 from tallyfold.session import shared_path
 from tallyfold.sources import tables
 
 # models
-LEGIT, TREES, DEPTH, ROUNDS = 20_000, 50, 5, 20
+LEGIT, TREES, DEPTH, ROUNDS = 200_000, 50, 5, 100
 
 
 def _training_rows(c: Canonical) -> DataFrame:
     path = shared_path(c.spark, "training")
-    features.assemble(split.training_sample(c.tx, LEGIT), c.feats).write.parquet(path)  # read by every training job
+    features.assemble(split.training_sample(c.base, LEGIT).select("id", "amount", "is_fraud"), c.feats).write.parquet(path)  # read by every training job
     return c.spark.read.parquet(path)
 
 
 def _test_rows(c: Canonical) -> DataFrame:
-    return features.assemble(c.tx.where("NOT is_training_set"), c.feats)
+    return features.assemble(c.base.where("NOT is_training_set").select("id", "amount", "is_fraud"), c.feats)
 
 
 def _trained(c: Canonical) -> tuple[DataFrame, dict]:
@@ -48,12 +52,7 @@ query("ml_save_load")(_saved_and_loaded)
 
 
 # experiments
-def _scored(c: Canonical) -> DataFrame:
-    return c.tx.where("NOT is_training_set").select("id", "is_fraud", "fold").join(c.scores.select("id", F.col("risk_score").alias("score")), "id")
-
-
-_AREAS = """, sc AS (SELECT risk_score AS score, is_fraud, fold FROM tx JOIN scores USING (id) WHERE NOT is_training_set),
-tie AS (SELECT {k} AS k, score, count_if(is_fraud) AS p, count_if(NOT is_fraud) AS n FROM sc GROUP BY ALL),
+_AREAS = """, tie AS (SELECT {k} AS k, score, count_if(is_fraud) AS p, count_if(NOT is_fraud) AS n FROM sc GROUP BY ALL),
 cum AS (SELECT k, score, sum(p) OVER d AS tp, sum(n) OVER d AS fp, sum(p) OVER (PARTITION BY k) AS pos, sum(n) OVER (PARTITION BY k) AS neg FROM tie WINDOW d AS (PARTITION BY k ORDER BY score DESC)),
 cv AS (SELECT k, score, pos, neg, tp::DOUBLE / nullif(pos, 0) AS tpr, fp::DOUBLE / nullif(neg, 0) AS fpr, tp::DOUBLE / (tp + fp) AS pc FROM cum),
 st AS (SELECT k, pos, neg, (fpr - lag(fpr, 1, 0.0) OVER w) * (tpr + lag(tpr, 1, 0.0) OVER w) / 2 AS roc, (tpr - lag(tpr, 1, 0.0) OVER w) * (pc + lag(pc, 1, 1.0) OVER w) / 2 AS pr FROM cv WINDOW w AS (PARTITION BY k ORDER BY score DESC)),
@@ -66,12 +65,11 @@ query(
 m AS (SELECT *, greatest(0, alerts - tp) AS fp, greatest(0, fraud - tp) AS fn, greatest(0, total - tp - greatest(0, alerts - tp) - greatest(0, fraud - tp)) AS tn FROM x, h)
 SELECT 'RULES_ONLY' AS detection_config, total, fraud, alerts, tp, fp, fn, tn, CASE WHEN tp + fp > 0 THEN round(tp::DOUBLE / (tp + fp), 6) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp::DOUBLE / (tp + fn), 6) ELSE 0.0 END AS recall,
 CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp::DOUBLE / (2 * tp + fp + fn), 6) ELSE 0.0 END AS f1, CASE WHEN fp + tn > 0 THEN round(fp::DOUBLE / (fp + tn), 6) ELSE 0.0 END AS fpr, auc_roc, auc_pr, '{"cutoff":0.5,"split":0.8}' AS run_parameters FROM m, areas""",
-)(lambda c: experiments.experiment(c.tx, c.alerts, _scored(c), "RULES_ONLY", F.to_json(F.struct(F.lit(0.5).alias("cutoff"), F.lit(0.8).alias("split")))))
-query("benchmark_all", _AREAS.format(k="fold") + f" SELECT detection_config, fold, {_CELLS}, {', '.join(METRICS)}, auc_roc, auc_pr FROM folds JOIN areas ON k = fold")(
-    lambda c: experiments.benchmark(c.tx, c.alerts, _scored(c))
-)
-query("run_snapshot", "SELECT count(*) AS transactions, count_if(is_fraud)::BIGINT AS fraud, count_if(is_training_set)::BIGINT AS training FROM tx")(
-    lambda c: experiments.parameters(c.thresholds, c.tx, 0.8, 5, 0.5).drop("run_parameters")
+)(lambda c: experiments.experiment(c.base, c.alerts, c.scored, "RULES_ONLY", F.to_json(F.struct(F.lit(0.5).alias("cutoff"), F.lit(0.8).alias("split")))))
+query("benchmark_all", f"SELECT detection_config, fold, {_CELLS}, {', '.join(METRICS[:6])} FROM folds")(lambda c: experiments.benchmark(c.base, c.alerts, c.scored))
+query("run_snapshot", """SELECT *, '{"cutoff":0.5,"folds":5,"fraud":' || fraud || ',"ratio":0.8,"thresholds":{"LARGE_TRANSACTION":200000.0,"NEW_RECEIVER_HIGH_VALUE":50000.0,"RAPID_VELOCITY":2.0,"STRUCTURING":10000.0},"training":' || training || ',"transactions":' || transactions || '}' AS run_parameters
+FROM (SELECT count(*) AS transactions, count_if(is_fraud)::BIGINT AS fraud, count_if(is_training_set)::BIGINT AS training FROM tx) x""")(
+    lambda c: experiments.parameters(c.thresholds, c.base, 0.8, 5, 0.5)
 )
 
 # snapshots: one for each hour of payments
@@ -112,13 +110,9 @@ query(
 WHEN contains(coalesce(rule_triggered, ''), 'NEW_RECEIVER') OR coalesce(is_new_receiver, false) THEN 'NEW_RECEIVER' WHEN contains(coalesce(rule_triggered, ''), 'LARGE') OR coalesce(amount_zscore > 2, false) THEN 'LARGE_AMOUNT' ELSE 'GENERIC' END AS template,
 concat_ws(chr(10), '## Transaction Details', {', '.join(_LINES)}) AS prompt {_JOINED}""",
 )(lambda c: explain.prompt_table(_with_payment(c)))
-_MONEY = "format('{:,}', floor(amount)::BIGINT) || CASE WHEN cents = 0 THEN '' WHEN cents % 10 = 0 THEN '.' || (cents // 10)::VARCHAR ELSE '.' || lpad(cents::VARCHAR, 2, '0') END"
 query(
     "validate_amount",
-    f""", p AS (SELECT id, amount, (amount * 100)::BIGINT % 100 AS cents, coalesce(explanation_text, '') || coalesce(' ' || risk_summary, '') AS t, '{explain.NUMBER}' AS re FROM expl),
-q AS (SELECT *, contains(t, amount::VARCHAR) OR contains(t, round(amount, 0)::BIGINT::VARCHAR) OR contains(t, {_MONEY}) OR contains(t, format('{{:,}}', round_even(amount, 0)::BIGINT)) OR (round(amount / 1000) > 0 AND contains(lower(t), round(amount / 1000)::BIGINT::VARCHAR || 'k'))
-OR len(list_filter(regexp_extract_all(t, re, 0), lambda x: replace(regexp_extract(x, re, 1), ',', '')::DOUBLE * CASE WHEN regexp_matches(x, '[Kk]$') THEN 1000 ELSE 1 END BETWEEN amount::DOUBLE * 0.8 AND amount::DOUBLE * 1.2)) > 0 AS said FROM p)
-SELECT id, CASE WHEN trim(t) <> '' AND NOT said THEN 'AMOUNT_NOT_REFERENCED' END AS flag FROM q""",
+    f"""{AMOUNT}SELECT id, CASE WHEN trim(t) <> '' AND NOT said THEN 'AMOUNT_NOT_REFERENCED' END AS flag FROM q""",
 )(lambda c: explain.validate_amount(c.expl))
 query(
     "validate_accounts",
@@ -165,28 +159,35 @@ def _appended_alerts(c: Canonical) -> DataFrame:
 
 def _exported(c: Canonical) -> DataFrame:
     folder = shared_path(c.spark, "report")
-    tables.export_tables({"folds": c.folds.select("detection_config", "fold", "f1"), "results": c.results.select("detection_config", "fold", "f1")}, folder)
-    read = lambda n: c.spark.read.csv(f"{folder}/{n}", header=True, schema="detection_config string, fold int, f1 double").withColumn("name", F.lit(n))
-    return read("folds").unionByName(read("results"))
+    made = dashboards.report_tables(c.results, c.expl, explain.validate(c.expl), "benchmark")
+    tables.export_tables(made, folder)
+    read = lambda n: c.spark.read.csv(f"{folder}/{n}", header=True, schema=made[n].schema)
+    value = {"folds": "f1", "summary": "f1", "winners": "value", "quality": "overall", "cost": "avg_tokens", "hallucinations": "n"}
+    return reduce(DataFrame.unionByName, [read(n).select(F.lit(n).alias("name"), "detection_config", F.col(v).cast("double").alias("value")) for n, v in value.items()])
 
 
 query("sink_transactions", "SELECT * FROM tx0")(_appended)
 query("sink_alerts", "SELECT id, transaction_id, detection_config FROM alerts")(_appended_alerts)
-query("export_report", "SELECT 'folds' AS name, detection_config, fold, f1 FROM folds UNION ALL SELECT 'results', detection_config, fold, f1 FROM results")(_exported)
+query(
+    "export_report",
+    FLAGGED
+    + f"""SELECT CASE WHEN fold IS NULL THEN 'summary' ELSE 'folds' END AS name, detection_config, round(f1, 4) AS value FROM results WHERE experiment_name = 'benchmark'
+UNION ALL SELECT 'winners', detection_config, value FROM ({REPORTS['winners']}) x UNION ALL SELECT 'quality', detection_config, overall FROM ({REPORTS['quality_breakdown']}) x
+UNION ALL SELECT 'cost', detection_config, avg_tokens FROM ({REPORTS['cost_breakdown']}) x
+UNION ALL SELECT 'hallucinations', detection_config, count(*)::DOUBLE FROM (SELECT detection_config, unnest(string_split(flags, ',')) AS flag FROM flagged WHERE flags <> '') x GROUP BY detection_config, flag""",
+)(_exported)
 
 
 def _library(c: Canonical) -> DataFrame:
     """A pattern for each rule and kind of payment that the alerts show."""
-    seen = _with_payment(c).select(F.explode(F.split("rule_triggered", "; ")).alias("r"), "transaction_type").select(F.split("r", ":")[0].alias("patternType"), "transaction_type").distinct()
-    return seen.select("patternType", F.col("transaction_type").alias("title"), F.concat_ws(" by ", "patternType", "transaction_type").alias("description"), F.array("patternType").alias("indicators"), F.lit(None).cast("string").alias("regulatoryReference"), F.lit(None).cast("string").alias("exampleScenario"), F.lit("alerts").alias("source"))
+    return c.patterns.select("patternType", "title", F.concat_ws(" by ", "patternType", "title").alias("description"), F.array("patternType").alias("indicators"), F.lit(None).cast("string").alias("regulatoryReference"), F.lit(None).cast("string").alias("exampleScenario"), F.lit("alerts").alias("source"))
 
 
-_PATTERNS = ", pat AS (SELECT DISTINCT string_split(p, ':')[1] AS patternType, transaction_type AS title FROM (SELECT unnest(string_split(rule_triggered, '; ')) AS p, transaction_type FROM alerts a JOIN tx t ON t.id = a.transaction_id) x)"
 query(
     "seed_patterns",
-    _PATTERNS + """ SELECT md5('fraud-pattern:' || title) AS doc_id, patternType, title, concat_ws(chr(10) || chr(10), 'Fraud Pattern: ' || title, 'Type: ' || patternType, 'Description: ' || patternType || ' by ' || title, 'Key Indicators:' || chr(10) || '- ' || patternType) AS text FROM pat WHERE title <> 'PAYMENT'""",
+    """ SELECT md5('fraud-pattern:' || title) AS doc_id, patternType, title, concat_ws(chr(10) || chr(10), 'Fraud Pattern: ' || title, 'Type: ' || patternType, 'Description: ' || patternType || ' by ' || title, 'Key Indicators:' || chr(10) || '- ' || patternType) AS text FROM pat WHERE title <> 'PAYMENT'""",
 )(lambda c: tables.seed_patterns(_library(c), _library(c).where("title = 'PAYMENT'")))
-query("patterns_by_type", _PATTERNS + " SELECT patternType, count(*) AS n FROM pat GROUP BY 1")(lambda c: _library(c).groupBy("patternType").agg(F.count(F.lit(1)).alias("n")))
+query("patterns_by_type", " SELECT patternType, count(*) AS n FROM pat GROUP BY 1")(lambda c: _library(c).groupBy("patternType").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _purged(c: Canonical) -> DataFrame:

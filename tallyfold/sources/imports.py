@@ -13,10 +13,19 @@ NUMBERS = ("amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newba
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, with row_num by file order within each file."""
+    """All columns as text, with file and row_num: the row's number in its file, from 1, the header not counted.
+
+    A file's partitions are numbered by where they begin, and the rows within them in order; the rows of earlier partitions of
+    the file, one count for each partition, are added. So any split of a large file gives the same numbers.
+    """
     schema = ", ".join(f"{c} string" for c in COLUMNS)
     rows = spark.read.csv(path, schema=schema, header=True)
-    return rows.withColumn("row_num", F.monotonically_increasing_id() + 1)
+    at = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_id"))
+    block = Window.partitionBy("file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = at.groupBy("file", "_from").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    starts = sizes.select("file", "_from", "_first", F.coalesce(F.sum("_n").over(block), F.lit(0)).alias("_before"))
+    joined = at.join(F.broadcast(starts), ["file", "_from"])  # a row for each split of a file
+    return joined.select(*COLUMNS, "file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("row_num"))
 
 
 def _reason() -> Column:
@@ -61,6 +70,7 @@ def import_report(validated: DataFrame) -> DataFrame:
 
 
 def import_errors(validated: DataFrame, most: int = 100) -> DataFrame:
+    """The first rejected rows and why."""
     return validated.where("reason IS NOT NULL").orderBy("row_num").limit(most).select("row_num", "reason")
 
 
@@ -73,9 +83,3 @@ def dedup_new(rows: DataFrame, existing: DataFrame) -> DataFrame:
 
 def append(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     rows.write.mode("append").partitionBy(*partition_by).parquet(path)
-
-
-def append_alerts(alerts: DataFrame, existing: DataFrame, path: str) -> None:
-    """New (transaction, configuration) pairs only."""
-    keys = ["transaction_id", "detection_config"]
-    append(alerts.join(existing.select(*keys), keys, "left_anti"), path, ("detection_config",))

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tallyfold.operators import detect, features
-from tallyfold.sources.imports import append, append_alerts
+from tallyfold.sources.imports import append
+from tallyfold.sources.tables import append_alerts
 
 
 def run(arriving: DataFrame, history: str, alerts: str, thresholds: DataFrame, checkpoint: str):
-    """Start a query over a streaming DataFrame of transactions. Each batch is added to the table at `history`, its rows get their
-    features from the whole history of their senders, and rule alerts go to the table at `alerts`, each pair once."""
+    """Start a query over a streaming DataFrame of transactions. Each batch's rows that are not stored yet get their features from
+    the whole history of their senders, rule alerts go to the table at `alerts`, each pair once, and the rows to the one at
+    `history`, last: a batch that is run again after a failure finds what is still to be done."""
+    append(arriving.sparkSession.createDataFrame([], arriving.schema), history)  # so that both tables can be read
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         stored = spark.read.schema(rows.schema).parquet(history)
-        fresh = rows.join(stored.select("id"), "id", "left_anti").dropDuplicates(["id"])
+        fresh = rows.dropDuplicates(["id"]).join(stored.select("id"), "id", "left_anti").select(*rows.columns)
+        senders = stored.join(fresh.select("sender_account").distinct(), "sender_account", "left_semi").select(*rows.columns)
+        feats = features.features_full(senders.unionByName(fresh)).withColumnRenamed("transaction_id", "id")
+        found = detect.detect_rules(fresh.join(feats.drop("amount"), "id"), thresholds)
+        spark.createDataFrame([], found.schema).write.mode("append").partitionBy("detection_config").parquet(alerts)
+        append_alerts(found, alerts, spark.read.schema(found.schema).parquet(alerts))
         append(fresh, history)
-        every = spark.read.schema(rows.schema).parquet(history)
-        old = every.join(rows.select("id"), "id", "left_anti").select("id").withColumnRenamed("id", "transaction_id")
-        feats = features.features_incremental(every, old)
-        found = detect.detect_rules(every.join(feats.withColumnRenamed("transaction_id", "id"), "id"), thresholds)
-        known = spark.read.schema(found.schema).parquet(alerts)
-        append_alerts(found, known, alerts)
 
     return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

@@ -1,11 +1,13 @@
 import datetime
+import hashlib
 import math
-from decimal import Decimal
+import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfold.operators import detect, evaluate, features, reports, retrieval, rules, split
+from tallyfold.operators import dashboards, detect, evaluate, explain, features, lookups, ranking, retrieval, rules, split
 from tallyfold.sources import imports
 
 T0 = datetime.datetime(2025, 6, 15, 10, 30)
@@ -157,6 +159,87 @@ def test_any_number_of_queries_is_answered_in_blocks(spark):
     assert sorted(rows) == sorted(whole.collect())
 
 
-def test_every_report_has_plain_sql():
-    for name in reports.REPORTS:
-        assert "{" not in reports.plain(name), name
+def test_percentile_is_exact_however_it_is_narrowed(spark):
+    rng = random.Random(1)
+    tx = payments(spark, [(rng.choice([0, 0, rng.randrange(5000), rng.randrange(9)]), "A", "x", 1) for _ in range(400)])
+    for ratio in (0.01, 0.5, 0.8, 0.99):
+        want = sorted(r.t for r in tx.selectExpr("unix_micros(CAST(timestamp AS timestamp)) AS t").collect())[math.ceil(Decimal(str(ratio)) * 400) - 1]
+        assert [split.cutoff(tx, ratio, most, bins) for most, bins in ((1_000_000, 4096), (10, 4), (1, 3))] == [want] * 3
+    assert split.cutoff(tx.limit(0)) is None and split.temporal_split(tx.limit(0)).count() == 0
+
+
+def test_features_of_a_sender_with_half_of_all_rows(spark):
+    """A hot sender and pair over many weeks, ties in time, and windows that end exactly at a payment, against plain loops."""
+    rng = random.Random(2)
+    rows = [(rng.choice([60, 1440, 10080]) * rng.randrange(30) + rng.choice([0, 0, 7]), "HOT" if i % 2 else f"S{i % 9}", f"R{min(rng.randrange(12), rng.randrange(12))}", 1 + i % 50) for i in range(500)]
+    tx = payments(spark, rows)
+    got = by_id(features.features_full(tx), "tx_velocity_1h", "tx_velocity_24h", "avg_amount_7d", "receiver_diversity_7d", "is_new_receiver")
+    for i, (m, s, r, _) in enumerate(rows):
+        past = [(m2, r2, a2) for m2, s2, r2, a2 in rows if s2 == s and m2 < m]
+        week = [(r2, a2) for m2, r2, a2 in past if m2 >= m - 10080]
+        mean = (Decimal(sum(a for _, a in week)) / len(week)).quantize(Decimal("0.01"), ROUND_HALF_UP) if week else Decimal("0.00")
+        first = min((m2, j) for j, (m2, s2, r2, _) in enumerate(rows) if (s2, r2) == (s, r)) == (m, i)
+        assert got[i] == (sum(m2 >= m - 60 for m2, _, _ in past), sum(m2 >= m - 1440 for m2, _, _ in past), mean, len({r2 for r2, _ in week}), first), (i, rows[i])
+    assert {r.id: r.tx_velocity_1h for r in features.velocity(tx).collect()} == {i: g[0] for i, g in got.items()}
+    assert {r.id: r.receiver_diversity_7d for r in features.receiver_diversity(tx).collect()} == {i: g[3] for i, g in got.items()}
+    tied = {r.id: r.is_new_receiver for r in features.new_receiver(tx, ties_are_new=True).collect()}
+    assert all(tied[i] == (m == min(m2 for m2, s2, r2, _ in rows if (s2, r2) == (s, r))) for i, (m, s, r, _) in enumerate(rows))
+
+
+def test_running_sums_and_samples_over_many_ranges(spark):
+    rows = spark.range(0, 1000, numPartitions=7).select(F.col("id"), (F.col("id") * 37 % 11).alias("x"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("k"))
+    got = {r.id: r.s for r in ranking.running(rows, [F.desc("id")], {"s": F.col("x")}, ("k",)).collect()}
+    assert got == {i: sum(j * 37 % 11 for j in range(i, 1000, 3)) for i in range(1000)}
+    digest = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    for n in (1, 100, 5000):
+        assert [r.id for r in ranking.first_by_hash(rows, n).collect()] == sorted(range(1000), key=digest)[:n]
+    labels = rows.withColumn("is_fraud", F.col("id") % 4 == 0)
+    out = {r.id: r.is_training_set for r in split.stratified_split(labels).collect()}
+    for fraud in (True, False):
+        mine = [i for i in range(1000) if (i % 4 == 0) == fraud]
+        assert [out[i] for i in mine] == [(k + 1) % 5 != 0 for k in range(len(mine))]
+
+
+def test_significance_is_skipped_for_uneven_or_missing_folds(spark):
+    rows = [(c, f, 0.8 + 0.01 * f * (1 + len(c))) for c in ("a", "bb") for f in range(5)] + [("ccc", f, 0.5) for f in range(4)] + [("dddd", f, math.nan if f == 2 else 0.7) for f in range(5)] + [("e", f, None) for f in range(5)]
+    got = {(r.config_a, r.config_b): r for r in evaluate.significance(spark.createDataFrame(rows, "detection_config string, fold int, f1 double"), ("f1",), order=("bb",)).collect()}
+    assert len(got) == 10 and got["bb", "a"].skip_reason is None and got["bb", "a"].alpha_corrected == 0.005
+    assert {got[k].skip_reason for k in (("bb", "ccc"), ("ccc", "dddd"))} == {"fold-count mismatch or empty"}
+    assert {got[k].skip_reason for k in (("a", "dddd"), ("a", "e"))} == {"NaN values in metric"}
+    assert got["a", "e"].p is None and not got["a", "e"].significant
+
+
+def test_searches_pages_and_maintenance(spark):
+    tx = spark.createDataFrame([(i, "PAYSIM" if i % 2 else "CUSTOM", i % 5 == 0, "TRANSFER", f"C{i}", f"M{i % 3}", T0 + datetime.timedelta(hours=i)) for i in range(60)], "id long, dataset_source string, is_fraud boolean, transaction_type string, sender_account string, receiver_account string, timestamp timestamp_ntz")
+    ids = lambda df: [r.id for r in df.collect()]
+    assert ids(lookups.search_transactions(tx)) == list(range(59, 34, -1)) and ids(lookups.search_transactions(tx, page=2)) == list(range(9, -1, -1))
+    assert ids(lookups.search_transactions(tx, source="CUSTOM", fraud=True, account="c2")) == [20]
+    assert ids(lookups.sender_history(tx, tx.where("id IN (3, 4)"), start=T0 + datetime.timedelta(hours=4))) == [4]
+    assert ids(lookups.keyset_page(tx, 57, 9)) == [58, 59]
+    assert [r.paid_before for r in lookups.paid_before(tx.withColumn("sender_account", F.lit("C"))).orderBy("id").collect()] == [False] * 3 + [True] * 57
+    alerts = spark.createDataFrame([(1, "NEW"), (2, "NEW"), (3, "NEW")], "id long, status string")
+    updates = spark.createDataFrame([(1, "REVIEWED", 1), (1, "CONFIRMED", 2), (9, "X", 1)], "id long, status string, at int")
+    assert sorted(map(tuple, lookups.update_status(alerts, updates).collect())) == [(1, "CONFIRMED"), (2, "NEW"), (3, "NEW")]
+    results = spark.createDataFrame([(i, "a" if i < 3 else "b") for i in range(5)], "id long, experiment_name string")
+    assert ids(lookups.delete_results(results, [0, 4])) == [1, 2, 3] and ids(lookups.delete_results(results, name="a")) == [3, 4] and not ids(lookups.delete_results(results, everything=True))
+    for wrong in (lambda: lookups.delete_results(results, list(range(1001))), lambda: lookups.paged(tx, [F.col("id")], -1)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_all_nine_checks(spark):
+    names = "id int, risk_summary string, explanation_text string, n_patterns int, n_actions int, confidence_score double, amount decimal(18,2), sender_account string, receiver_account string, ml_risk_score double, explanation_type string"
+    good = (1, "risk", "Sender C1 moved 500.00 to account M1", 1, 1, 0.5, Decimal(500), "C1", "M1", 0.7, "LLM_RAG")
+    bad = [(2, " ", None, 0, None, 1.5, Decimal(500), "C1", "M1", 0.7, "LLM_RAG"), (3, "r", "account Z12345678 is low risk", 1, 1, 0.5, Decimal(5000), "C1", "M1", 0.95, "LLM_RAG"), (4, "500", "certainly fraud", 1, 1, 0.5, Decimal(500), "C1", "M1", 0.5, "LLM_DIRECT")]
+    got = {r.id: r for r in explain.validate(spark.createDataFrame([good, *bad], names)).collect()}
+    assert got[1].flags == [] and got[1].hallucination_free and got[1].explanation_type == "LLM_RAG_VALIDATED"
+    assert got[2].flags == ["EMPTY_RISK_SUMMARY", "EMPTY_EXPLANATION_TEXT", "EMPTY_SUSPICIOUS_PATTERNS", "EMPTY_RECOMMENDED_ACTIONS", "CONFIDENCE_OUT_OF_RANGE"] and got[2].explanation_type == "LLM_RAG"
+    assert got[3].flags == ["AMOUNT_NOT_REFERENCED", "POSSIBLE_ACCOUNT_FABRICATION", "RISK_DIRECTION_MISMATCH"] and got[4].flags == ["RISK_OVERCLAIM"]
+
+
+def test_health_of_empty_tables(spark):
+    tx = spark.createDataFrame([], "is_fraud boolean, is_training_set boolean")
+    expl = spark.createDataFrame([], "hallucination_free boolean, completeness double")
+    got = {r.check_id: r for r in dashboards.data_quality(tx, tx, tx, expl, tx).collect()}
+    assert len(got) == 7 and got["transactions"].severity == "FAIL" and got["explanations"].severity == "PASS" and got["knowledge-base"].severity == "WARN"
+    assert {r.overall for r in got.values()} == {"FAIL"}

@@ -9,7 +9,7 @@ import pytest
 from tallyfold.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["features_full", "features_incremental", "rules_evaluate", "detect_full_system", "metrics_from_counts", "kfold_summary", "auc_by_fold", "significance", "import_dedup", "validate_all", "cost_breakdown", "winners", "vector_topk", "benchmark_all", "validate_amount", "response_parse", "score_parse", "delete_cascade"]
+SOME = ["features_full", "features_incremental", "rules_evaluate", "detect_full_system", "metrics_from_counts", "kfold_summary", "auc_by_fold", "significance", "import_dedup", "validate_all", "cost_breakdown", "winners", "vector_topk", "benchmark_all", "hallucination_breakdown", "data_quality", "comparison_pivot", "export_report", "run_snapshot", "feat_vector_json", "validate_amount", "response_parse", "score_parse", "delete_cascade"]
 
 
 def plain(value):

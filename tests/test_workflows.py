@@ -103,3 +103,60 @@ def test_patterns_are_read_and_seeded_once(spark, tmp_path):
     library = tables.read_patterns(spark, str(file))
     assert sorted(r.title for r in tables.seed_patterns(library, library.limit(0)).collect()) == ["x", "y"]
     assert [r.title for r in tables.seed_patterns(library, library.where("patternType = 'A'")).collect()] == ["y"]
+
+
+def test_a_replayed_batch_adds_nothing(spark):
+    """Payments arrive as files, two of them twice; features and alerts equal those of the whole table."""
+    from tallyfold.operators import detect, features, rules
+    from tallyfold.streaming import increments
+
+    schema = "id long, timestamp timestamp_ntz, sender_account string, receiver_account string, transaction_type string, amount decimal(18,2), sender_balance_before decimal(18,2), is_fraud boolean"
+    rows = spark.range(60).selectExpr(
+        "id", "timestampadd(MINUTE, CAST(id * 17 AS INT), TIMESTAMP_NTZ '2025-01-01 00:00:00') AS timestamp", "concat('C', id % 2) AS sender_account", "concat('M', id % 7) AS receiver_account",
+        "'TRANSFER' AS transaction_type", "CAST(1000 * (id % 9) AS decimal(18,2)) AS amount", "CAST(2000 AS decimal(18,2)) AS sender_balance_before", "id % 5 = 0 AS is_fraud",
+    )
+    inbox, history, alerts, mark = (shared_path(spark, n) for n in ("inbox", "history", "alerts", "checkpoint"))
+    limits = rules.threshold_table(spark, {"RAPID_VELOCITY": 2, "STRUCTURING": 10_000})
+
+    def arrive(condition):
+        rows.where(condition).coalesce(1).write.mode("append").parquet(inbox)
+        increments.run(spark.readStream.schema(schema).parquet(inbox), history, alerts, limits, mark).processAllAvailable()
+        for query in spark.streams.active:
+            query.stop()
+
+    for condition in ("id < 20", "id >= 20 AND id < 45", "id < 30", "id >= 40"):
+        arrive(condition)
+    assert sorted(r.id for r in spark.read.parquet(history).collect()) == list(range(60))
+    feats = features.features_full(rows).withColumnRenamed("transaction_id", "id")
+    want = {(r.id, r.rule_triggered) for r in detect.detect_rules(rows.join(feats, "id"), limits).collect()}
+    got = [(r.id, r.rule_triggered) for r in spark.read.parquet(alerts).collect()]
+    assert want and sorted(got) == sorted(want)
+
+
+def test_rows_of_split_files_keep_their_numbers(spark, tmp_path):
+    from tallyfold.sources import imports
+
+    lines = [f"{i % 700},PAYMENT,{i}.00,C{i},0,0,M{i},0,0,0,0" for i in range(5000)]
+    for name, part in (("a", lines[:3000]), ("b", lines[3000:])):
+        (tmp_path / f"{name}.csv").write_text("\n".join([",".join(imports.COLUMNS), *part]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        read = imports.read_raw(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() > 4
+        for r in read.collect():
+            assert int(r.nameOrig[1:]) == r.row_num - 1 + (3000 if r.file.endswith("b.csv") else 0)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_shared_folder_is_required_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tallyfold import session
+
+    bare = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, applicationId="x"), _jvm=spark._jvm, _jsc=spark._jsc)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(bare("yarn"))
+    assert session.shared_folder(bare("local[2]")).endswith("/tallyfold-x")
