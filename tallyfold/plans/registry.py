@@ -9,12 +9,13 @@ from tallyfold.operators import detect, evaluate, features, retrieval, rules, sp
 from tallyfold.plans.canonical import METRICS, Canonical
 from tallyfold.plans import reports, workflows  # noqa: F401  register their own
 from tallyfold.plans.register import ORACLES, QUERIES, query  # noqa: F401
+from tallyfold.session import shared_path
 from tallyfold.sources import imports
 
 
 # features
 _F = "amount_zscore tx_velocity_1h tx_velocity_24h avg_amount_7d amount_ratio_to_avg balance_change_ratio is_new_receiver receiver_diversity_7d hour_of_day day_of_week is_round_amount is_high_risk_type".split()
-query("src_transactions", "SELECT * FROM tx0")(lambda c: c.tx0)
+query("canonical_transactions", "SELECT * FROM tx0")(lambda c: c.tx0)
 query("feat_velocity", "SELECT transaction_id AS id, tx_velocity_1h, tx_velocity_24h FROM feats")(lambda c: features.velocity(c.tx0).select("id", "tx_velocity_1h", "tx_velocity_24h"))
 query("feat_amount_stats_7d", "SELECT id, avg7::DECIMAL(18,2) AS avg_amount_7d, round(stddev_7d, 6) AS stddev_7d FROM sd")(
     lambda c: features.amount_stats_7d(c.tx0).select("id", "avg_amount_7d", F.round("stddev_7d", 6).alias("stddev_7d"))
@@ -159,6 +160,20 @@ def _validated(c: Canonical) -> DataFrame:
     return imports.validate(c.spark.sql(_RAW, t=c.tx0))
 
 
+def _from_files(c: Canonical) -> DataFrame:
+    """The raw rows written as CSV files and read back: typed payments."""
+    path = shared_path(c.spark, "raw")
+    c.spark.sql(_RAW, t=c.tx0).select(*imports.COLUMNS).write.option("header", True).csv(path)
+    return imports.typed(imports.validate(imports.read_raw(c.spark, path)))
+
+
+query(
+    "src_transactions",
+    _VALID + f""" SELECT {_EXT} AS external_id, TIMESTAMP '2025-01-01 00:00:00' + to_hours(step::INT) AS timestamp, nameOrig AS sender_account, nameDest AS receiver_account, type AS transaction_type,
+amount::DECIMAL(18,2) AS amount, 1::DECIMAL(18,2) AS sender_balance_before, isFraud = '1' AS is_fraud FROM val WHERE reason IS NULL""",
+)(lambda c: _from_files(c).drop("row_num"))
+
+
 query("import_validate", _VALID + " SELECT row_num, reason FROM val")(lambda c: _validated(c).select("row_num", "reason"))
 query("import_report", _VALID + " SELECT coalesce(reason, 'imported') AS reason, count(*) AS n FROM val GROUP BY 1")(lambda c: imports.import_report(_validated(c)))
 query("import_errors", _VALID + " SELECT row_num, reason FROM val WHERE reason IS NOT NULL ORDER BY row_num LIMIT 100")(lambda c: imports.import_errors(_validated(c)))
