@@ -16,16 +16,16 @@ CELL = 512
 KEYS = ["block", "key", "i", "j"]
 
 
-def dealt_cells(blocks: DataFrame, cell: int = CELL, heavy: int | None = None) -> DataFrame:
+def dealt_cells(blocks: DataFrame, cell: int = CELL, heavy: int | None = None, folder: str | None = None) -> DataFrame:
     """Rows (block, key, i, j, side, node, other columns of blocks) of all blocks (block int, key long, node long) that have
     two members or more.
 
     A block of over `cell` nodes is dealt into chunks by node, and every two chunks meet in a cell of their own, so
     no task ever holds more than two chunks of one block. side tells the chunk within the cell. With `heavy`, column
-    weight counts too: blocks of more than that in sum are dealt as well.
+    weight counts too: blocks of more than that in sum are dealt as well. The blocks' sizes are written into the folder.
     """
     most = [] if heavy is None else [F.sum("weight").alias("heft")]
-    sizes = written(blocks.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n"), *most).where("n > 1"), "blocks")
+    sizes = written(blocks.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n"), *most).where("n > 1"), "blocks", folder)
     chunks = F.ceil(F.col("n") / cell) if heavy is None else F.greatest(F.ceil(F.col("n") / cell), F.least(F.col("n"), F.ceil(F.col("heft") / heavy)))
     met = blocks.join(sizes, ["block", "key"]).withColumn("m", chunks.cast("int"))
     mine = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
@@ -41,9 +41,9 @@ def filled_cells(dealt: DataFrame, payload: DataFrame) -> DataFrame:
     return full.select(*dealt.columns, *[c for c in payload.columns if c != "node"])
 
 
-def met_cells(blocks: DataFrame, payload: DataFrame, cell: int = CELL) -> DataFrame:
+def met_cells(blocks: DataFrame, payload: DataFrame, cell: int = CELL, folder: str | None = None) -> DataFrame:
     """The cells of all blocks (block int, key long, node long), with payload's columns: see dealt_cells and filled_cells."""
-    return filled_cells(dealt_cells(blocks, cell), payload)
+    return filled_cells(dealt_cells(blocks, cell, folder=folder), payload)
 
 
 def by_cell(handle: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame]):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,22 +28,27 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def subfolder(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A new folder inside the given one, or else in the application's shared folder."""
+    return f"{folder}/{name}-{uuid.uuid4().hex}" if folder else shared_path(spark, name)
+
+
+def components(edges: DataFrame, most_rounds: int = 60, inside: str | None = None) -> DataFrame:
     """Connected components of edges (u long, v long): rows (node, root), root the smallest node reachable.
 
     Alternating large-star and small-star steps. Each step is a grouped minimum (combined before its shuffle)
     and a join whose two sides are plain scans, so that adaptive execution can split a hub's rows. A round's tables are
-    deleted when the next round is written. Nulls and self-loops are ignored; nodes without an edge have no row. The rounds
+    deleted when the next round is written; the last one's, which the result reads, lie inside the given folder. Nulls and self-loops are ignored; nodes without an edge have no row. The rounds
     needed grow with the logarithm of the longest path; after most_rounds, more than any path that fits a cluster needs, it
     is an error.
     """
     spark = edges.sparkSession
     e = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    folder = shared_path(spark, "components")
+    folder = subfolder(spark, "components", inside)
     now = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", folder)
     mark = _mark(now)
     for _ in range(most_rounds):
-        last, folder = folder, shared_path(spark, "components")
+        last, folder = folder, subfolder(spark, "components", inside)
         both = now.union(now.select("v", "u"))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", folder)
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.llm.cells import CELL, KEYS, by_cell, dealt_cells, filled_cells, met_cells
-from tallyfold.llm.common import WORDS, components, written
+from tallyfold.llm.common import WORDS, components, removed, subfolder, written
 
 SEED = 42
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -201,10 +201,10 @@ def _linked(radius: int):
     return handle
 
 
-def link_blocks(blocks: DataFrame, prints: DataFrame, radius: int, cell: int = CELL) -> DataFrame:
+def link_blocks(blocks: DataFrame, prints: DataFrame, radius: int, cell: int = CELL, folder: str | None = None) -> DataFrame:
     """Links (u, v) between the nodes that meet in a block and whose prints (node long, print binary) lie within the
     radius; each cell gives a forest, not all its pairs."""
-    return met_cells(blocks, prints, cell).mapInPandas(by_cell(_linked(radius)), "u long, v long").distinct()
+    return met_cells(blocks, prints, cell, folder).mapInPandas(by_cell(_linked(radius)), "u long, v long").distinct()
 
 
 def shared_pieces(n: int, radius: int) -> int:
@@ -217,7 +217,7 @@ def shared_pieces(n: int, radius: int) -> int:
     return min(range(1, 8), key=work)
 
 
-def link_within_radius(prints: DataFrame, radius: int = 4, cell: int = CELL, shared: int | None = None) -> DataFrame:
+def link_within_radius(prints: DataFrame, radius: int = 4, cell: int = CELL, shared: int | None = None, folder: str | None = None) -> DataFrame:
     """Links (u, v) between 64-bit fingerprints (column fp long, distinct) at most `radius` bits apart; exact."""
     shared = shared or shared_pieces(prints.count(), radius)
     pieces = radius + shared
@@ -233,18 +233,20 @@ def link_within_radius(prints: DataFrame, radius: int = 4, cell: int = CELL, sha
     keys = [F.struct(F.lit(n).alias("block"), joined(chosen).alias("key")) for n, chosen in enumerate(combinations(range(pieces), shared))]
     blocks = prints.select(F.col("fp").alias("node"), F.explode(F.array(*keys)).alias("k")).select("k.block", "k.key", "node")
     words = prints.select(F.col("fp").alias("node"), F.to_binary(F.lpad(F.hex("fp"), 16, "0"), F.lit("hex")).alias("print"))
-    return link_blocks(blocks, words, radius, cell)
+    return link_blocks(blocks, words, radius, cell, folder)
 
 
 def simhash_components(docs: DataFrame, radius: int = 4) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id."""
     own = written(docs.select("doc_id", _fingerprint4("text").alias("fp")), "fingerprints")
-    nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    links = written(link_within_radius(nodes.select("fp"), radius), "links")
-    roots = components(links)
+    folder = subfolder(docs.sparkSession, "simhash")
+    nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes", folder)
+    links = written(link_within_radius(nodes.select("fp"), radius, folder=folder), "links", folder)
+    roots = components(links, inside=folder)
     groups = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = groups.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = written(groups.join(ids, "root").select("fp", "component_id"), "named")
+    removed(docs.sparkSession, folder)  # the result reads `own` and `named` only
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -314,16 +316,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, cell: int = CELL)
     node is xxhash64 of the text (null as empty). Words are as for fingerprints, shingles of five. Pairs that share a band
     are decided exactly; a pair of similarity 0.8 shares none of the bands in one of 20,000 cases.
     """
-    return _groups(docs, _firsts(docs), similarity, cell)
+    folder = subfolder(docs.sparkSession, "near-duplicates")
+    groups = written(_groups(docs, _firsts(docs, folder), similarity, cell, folder), "groups")
+    removed(docs.sparkSession, folder)
+    return groups
 
 
 def _node() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _firsts(docs: DataFrame) -> DataFrame:
+def _firsts(docs: DataFrame, folder: str) -> DataFrame:
     """(node, id): for each distinct text the smallest doc_id, null if none of its rows has one."""
-    return written(docs.select(_node().alias("node"), "doc_id").groupBy("node").agg(F.min("doc_id").alias("id")), "first")
+    return written(docs.select(_node().alias("node"), "doc_id").groupBy("node").agg(F.min("doc_id").alias("id")), "first", folder)
 
 
 def _rows_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -335,33 +340,45 @@ def _rows_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.select("*", *key("doc_id")).join(by, keys, "left_semi").dropDuplicates(keys).drop("_id", "_none")
 
 
-def _groups(docs: DataFrame, firsts: DataFrame, similarity: float, cell: int) -> DataFrame:
+def _groups(docs: DataFrame, firsts: DataFrame, similarity: float, cell: int, folder: str) -> DataFrame:
+    """See near_duplicates. What is written on the way lies in the folder; the first bands' tables, texts among them, go when
+    their links are known."""
+    spark = docs.sparkSession
+    early = subfolder(spark, "first-bands", folder)
     one = docs.select(_node().alias("node"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = written(one.select("node", _wide5("text").alias("w")).select("node", "w.print", "w.keys", "w.size").dropDuplicates(["node"]), "wide")
+    own = one.select("node", _wide5("text").alias("w")).select("node", "w.print", "w.keys", "w.size").dropDuplicates(["node"])
+    own = written(own, "wide", folder)
 
     def texts(nodes: DataFrame) -> DataFrame:
-        return _rows_of(one, written(firsts.join(nodes, "node", "left_semi"), "chosen"))
+        return _rows_of(one, written(firsts.join(nodes, "node", "left_semi"), "chosen", folder))
 
-    first = _verified(texts, own, own.select("node", F.posexplode("keys").alias("block", "key")).where(F.col("block") < FIRST_BANDS), similarity)
-    roots = written(components(first), "roots")
+    bands = own.select("node", F.posexplode("keys").alias("block", "key")).where(F.col("block") < FIRST_BANDS)
+    first = written(_verified(texts, own, bands, similarity, early), "links", folder)
+    roots = written(components(first, inside=early), "roots", folder)
+    removed(spark, early)
     # a block whose members are all linked already has nothing to add; in the others every pair of two roots is decided
     every = own.select("node", F.col("size").alias("weight"), F.posexplode("keys").alias("block", "key"))
     every = every.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return components(first.union(_decided(texts, _undecided(every, "block", "key"), similarity, cell)))
+    more = _decided(texts, _undecided(every, folder, "block", "key"), similarity, cell, folder)
+    return components(first.union(more), inside=folder)
 
 
-def _undecided(rows: DataFrame, *keys: str) -> DataFrame:
+def _undecided(rows: DataFrame, folder: str, *keys: str) -> DataFrame:
     """The rows of those groups by the keys that have more than one root."""
     open_ = rows.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*keys)
-    return rows.join(written(open_, "undecided"), list(keys))
+    return rows.join(written(open_, "undecided", folder), list(keys))
 
 
-def _decided(texts: Callable[[DataFrame], DataFrame], blocks: DataFrame, similarity: float, cell: int) -> DataFrame:
+def _decided(texts: Callable[[DataFrame], DataFrame], blocks: DataFrame, similarity: float, cell: int, folder: str) -> DataFrame:
     """Links (u, v) that join all nodes of a block (block, key, node, weight, root) whose texts have at least the similarity:
     no pair of different roots is left untested."""
-    dealt = written(_undecided(dealt_cells(blocks, cell, HEAVY), *KEYS), "dealt")
-    sets = written(texts(dealt.select("node").distinct()).select("node", _shingles5("text").alias("shingles")), "shingles")
-    return written(filled_cells(dealt, sets).mapInPandas(by_cell(_similar(similarity)), "u long, v long").distinct(), "links")
+    spark, late = blocks.sparkSession, subfolder(blocks.sparkSession, "all-bands", folder)
+    dealt = written(_undecided(dealt_cells(blocks, cell, HEAVY, late), late, *KEYS), "dealt", late)
+    sets = written(texts(dealt.select("node").distinct()).select("node", _shingles5("text").alias("shingles")), "shingles", late)
+    links = filled_cells(dealt, sets).mapInPandas(by_cell(_similar(similarity)), "u long, v long").distinct()
+    links = written(links, "links", folder)
+    removed(spark, late)
+    return links
 
 
 def _similar(similarity: float):
@@ -412,21 +429,23 @@ def _joins(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], left: int
                 yield int(node[k]), int(node[j])
 
 
-def _verified(texts: Callable[[DataFrame], DataFrame], own: DataFrame, blocks: DataFrame, similarity: float) -> DataFrame:
+def _verified(texts: Callable[[DataFrame], DataFrame], own: DataFrame, blocks: DataFrame, similarity: float, folder: str) -> DataFrame:
     """Links (u, v) found in the blocks whose texts (node, text) have at least the similarity."""
-    links = written(link_blocks(blocks, own.select("node", "print"), WIDE_RADIUS), "likely")
+    links = written(link_blocks(blocks, own.select("node", "print"), WIDE_RADIUS, folder=folder), "likely", folder)
     ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    few = written(texts(ends).select("node", "text"), "texts")
+    few = written(texts(ends).select("node", "text"), "texts", folder)
     pairs = links.join(few.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(few.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    return written(pairs.where(_jaccard5("a", "b") >= similarity).select("u", "v"), "links")
+    return pairs.where(_jaccard5("a", "b") >= similarity).select("u", "v")
 
 
 def keep_one_of_each_group(docs: DataFrame, similarity: float = 0.8, cell: int = CELL) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id (null ids last) stays, once."""
-    firsts = _firsts(docs)
-    groups = firsts.join(_groups(docs, firsts, similarity, cell), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    folder = subfolder(docs.sparkSession, "near-duplicates")
+    firsts = _firsts(docs, folder)
+    groups = firsts.join(_groups(docs, firsts, similarity, cell, folder), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # null ids rank after all others; rows that tie on doc_id are told apart by their text, and equal rows stay once
     kept = groups.groupBy("root").agg(F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("node"))
     kept = written(firsts.join(kept.select("node"), "node", "left_semi"), "kept")
+    removed(docs.sparkSession, folder)  # the result reads docs and `kept` only
     rows = docs.select(F.struct(*docs.columns).alias("row"), _node().alias("node"), "doc_id")
     return _rows_of(rows, kept).select("row.*")

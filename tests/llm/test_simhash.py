@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -152,3 +153,15 @@ def test_every_near_copy_in_a_large_group_is_joined(spark, cell):
     for i in sorted(found):
         least.setdefault(found[i], i)
     assert [least[found[i]] if i in found else i for i in range(len(texts))] == group.tolist()
+
+
+def test_tables_of_the_way_are_deleted(spark):
+    from tallyfold.session import shared_folder
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept, groups, alike = S.keep_one_of_each_group(docs), S.near_duplicates(docs), S.simhash_components(docs)
+    left = [p.name for p in Path(shared_folder(spark).removeprefix("file:")).iterdir()]
+    assert not [n for n in left if n.startswith(("near-duplicates", "simhash"))]
+    # the results read none of them
+    assert 0 < kept.count() <= docs.count() == alike.count()
+    assert groups.count() >= 2 * groups.select("root").distinct().count()
