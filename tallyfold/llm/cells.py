@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,18 +51,45 @@ def by_cell(handle: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFram
     """For mapInPandas over met_cells: handle gets the rows of whole cells, and where each cell starts and ends."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(rows):
-                continue
-            k = rows[KEYS].to_numpy()
-            edge = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            last = int(edge[-1]) if len(edge) else 0
-            if last:
-                yield handle(rows.iloc[:last], np.concatenate([[0], edge[:-1]]), edge)
-            held = rows.iloc[last:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield handle(held, np.array([0]), np.array([len(held)]))
+        for cells in _whole_cells(batches):
+            yield handle(*cells)
 
     return run
+
+
+def by_cell_of_words(handle: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], column: str):
+    """by_cell for mapInArrow: the binary column comes as arrays of 64-bit words that are views of the Arrow batch, not copies.
+    Only an unfinished cell's words are copied, so that one batch is held at a time."""
+
+    def viewed(batch: pa.RecordBatch) -> pd.DataFrame:
+        rows = batch.drop_columns([column]).to_pandas()
+        rows[column] = pd.Series([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(column)], dtype=object)
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in _whole_cells(map(viewed, batches), column):
+            out = handle(*cells)
+            cells = None
+            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    return run
+
+
+def _whole_cells(batches: Iterator[pd.DataFrame], copied: str | None = None) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        k = rows[KEYS].to_numpy()
+        edge = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        last = int(edge[-1]) if len(edge) else 0
+        held = rows.iloc[last:].reset_index(drop=True)
+        if copied:
+            held[copied] = pd.Series([v.copy() for v in held[copied]], dtype=object)
+        if last:
+            done, rows, batch = rows.iloc[:last], None, None
+            yield done, np.concatenate([[0], edge[:-1]]), edge
+        done = rows = batch = None  # nothing of this batch is kept while the next one is read
+    if held is not None and len(held):
+        yield held, np.array([0]), np.array([len(held)])

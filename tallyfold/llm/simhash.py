@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.llm.cells import CELL, KEYS, by_cell, dealt_cells, filled_cells, met_cells
+from tallyfold.llm.cells import CELL, KEYS, by_cell, by_cell_of_words, dealt_cells, filled_cells, met_cells
 from tallyfold.llm.common import WORDS, components, removed, subfolder, written
 
 SEED = 42
@@ -375,7 +375,7 @@ def _decided(texts: Callable[[DataFrame], DataFrame], blocks: DataFrame, similar
     spark, late = blocks.sparkSession, subfolder(blocks.sparkSession, "all-bands", folder)
     dealt = written(_undecided(dealt_cells(blocks, cell, HEAVY, late), late, *KEYS), "dealt", late)
     sets = written(texts(dealt.select("node").distinct()).select("node", _shingles5("text").alias("shingles")), "shingles", late)
-    links = filled_cells(dealt, sets).mapInPandas(by_cell(_similar(similarity)), "u long, v long").distinct()
+    links = filled_cells(dealt, sets).mapInArrow(by_cell_of_words(_similar(similarity), "shingles"), "u long, v long").distinct()
     links = written(links, "links", folder)
     removed(spark, late)
     return links
@@ -385,7 +385,7 @@ def _similar(similarity: float):
     def handle(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
         node, side, root = (rows[c].to_numpy() for c in ("node", "side", "root"))
         cross = rows["i"].to_numpy() != rows["j"].to_numpy()
-        sets = [np.frombuffer(b, np.uint64) for b in rows["shingles"]]
+        sets = rows["shingles"].tolist()
         out = []
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
             left = int((side[s:e] == 0).sum()) if cross[s] else 0
