@@ -21,14 +21,15 @@ def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], by: t
     dealt = written(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    starts = totals.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_range").alias("_at"), F.count(F.lit(1)).over(before).alias("_earlier"), *[F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums])
+    starts = starts.where("_earlier > 0")  # groups that go on from an earlier range: at most one for each range
     same = F.col("_range") == F.col("_at")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
     inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = dealt.select("*", *[F.sum(c).over(inside).alias(f"_own_{n}") for n, c in sums.items()])
-    both = local.join(F.broadcast(starts), same)  # as many rows as ranges, or groups if there are more
-    return both.select(*rows.columns, *[(F.col(f"_own_{n}") + F.col(f"_{n}")).alias(n) for n in sums])
+    both = local.join(F.broadcast(starts), same, "left")
+    return both.select(*rows.columns, *[(F.col(f"_own_{n}") + F.coalesce(F.col(f"_{n}"), F.lit(0))).alias(n) for n in sums])
 
 
 def hash_of_id() -> Column:
