@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfold.llm import langid, mixing, packing, pii, rules, secrets, simhash, spotsigs, tokens, warc
+from tallyfold.llm import chat, langid, merkle, mixing, packing, pii, rules, secrets, simhash, spotsigs, tokens, trie, warc
 from tallyfold.llm.common import table
 
 
@@ -26,6 +26,9 @@ QUERIES = {
     "op8_secrets": lambda spark, sf: secrets.scan(table(spark, sf, "documents")),
     "op9_simhash": lambda spark, sf: simhash.simhash_components(table(spark, sf, "documents")),
     "op10_language": lambda spark, sf: langid.identify(table(spark, sf, "documents")),
+    "op11_chat": lambda spark, sf: chat.formatted(table(spark, sf, "conversations")),
+    "op12_trie": lambda spark, sf: trie.conversation_tree(table(spark, sf, "conversations")),
+    "op13_merkle": lambda spark, sf: merkle.manifest(table(spark, sf, "documents")),
 }
 
 ORACLES = {
@@ -33,4 +36,7 @@ ORACLES = {
     "op3_quality_rules": rules.ORACLE,
     "op5_mixing": mixing.oracle(),
     "op6_warc": warc.ORACLE,
+    "op11_chat": chat.ORACLE,
+    "op12_trie": trie.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }
