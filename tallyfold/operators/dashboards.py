@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.operators.ranking import percentiles
+
 DIMS = ("completeness", "correctness", "actionability", "regulatory")
 
 
@@ -112,10 +114,12 @@ def row_quality(expl: DataFrame) -> DataFrame:
 def cost_breakdown(expl: DataFrame) -> DataFrame:
     """Tokens (sums, mean of both), mean and 95th percentile (nearest rank) of latency by configuration."""
     tokens = (F.col("prompt_tokens") + F.col("completion_tokens")).cast("double")
-    return expl.groupBy("detection_config").agg(
+    high = percentiles(expl, ("detection_config",), "latency_ms", 0.95, "p95_latency").withColumnRenamed("detection_config", "_of")
+    sums = expl.groupBy("detection_config").agg(
         F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.round(F.avg(tokens), 6).alias("avg_tokens"),
-        _mean("latency_ms").alias("avg_latency"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").cast("long").alias("p95_latency"),
+        _mean("latency_ms").alias("avg_latency"),
     )
+    return sums.join(high, F.col("detection_config").eqNullSafe(F.col("_of"))).drop("_of")
 
 
 def hallucination_breakdown(flagged: DataFrame) -> DataFrame:

@@ -129,12 +129,13 @@ def retrieval_keys(alerts: DataFrame, tx: DataFrame) -> DataFrame:
 # texts for retrieval and prompts
 
 
-def retrieval_query(rows: DataFrame) -> DataFrame:
-    """id, query_text: names of the triggered rules, the kind of payment and fixed search terms. rows: id, rule_triggered, transaction_type."""
+def retrieval_query(rows: DataFrame, *kept: str) -> DataFrame:
+    """id, columns to be kept, query_text: names of the triggered rules, the kind of payment and fixed search terms. rows: id,
+    rule_triggered, transaction_type."""
     spoken = lambda c: F.lower(F.replace(c, F.lit("_"), F.lit(" ")))
     rules = F.transform(F.split("rule_triggered", ";"), lambda p: spoken(F.trim(F.element_at(F.split(p, ":"), 1))))
     named = F.when(F.trim("rule_triggered") != "", F.array_join(rules, " "))
-    return rows.select("id", F.concat_ws(" ", named, spoken(F.col("transaction_type")), F.lit(QUERY_SUFFIX)).alias("query_text"))
+    return rows.select("id", *kept, F.concat_ws(" ", named, spoken(F.col("transaction_type")), F.lit(QUERY_SUFFIX)).alias("query_text"))
 
 
 def template() -> Column:
@@ -157,21 +158,28 @@ FEATURE_LINES = {
 }
 
 
+#: The heading of retrieved patterns in a prompt, that of each one, and what is said after them.
+KNOWN_HEADING, KNOWN_PATTERN = "## Relevant Fraud Patterns from Knowledge Base", "### Pattern "
+KNOWN_CLOSING = "Use the above fraud patterns as reference context when they are relevant to the transaction being analyzed. Cite specific patterns if they match the observed behavior."
+
+
 def _line(label: str, value: Column) -> Column:
     return F.concat(F.lit(f"- {label}: "), value.cast("string"))  # null if the value is, and then left out
 
 
 def prompt_table(rows: DataFrame, context: DataFrame | None = None) -> DataFrame:
-    """id, template, prompt for every alert. rows: alerts with their payment and features; context (id, context): retrieved patterns."""
+    """id, template, prompt for every alert. rows: alerts with their payment and features, and, if patterns were retrieved, their
+    text in a column context; or context (id, context) is joined."""
     payment = [_line("Amount", F.col("amount")), _line("Type", F.col("transaction_type")), _line("Sender", F.col("sender_account")), _line("Receiver", F.col("receiver_account")), _line("Sender Balance Before", F.col("sender_balance_before"))]
     measured = [_line(label, F.col(c) if places is None else F.format_string(f"%.{places}f", c)) for c, (label, places) in FEATURE_LINES.items()]
     measured = [F.when(F.col(c).isNotNull(), m) for c, m in zip(FEATURE_LINES, measured, strict=True)]
     scored = F.when(F.col("ml_risk_score").isNotNull(), _line("ML Risk Score", F.format_string("%.4f", "ml_risk_score")))
     signals = [_line("Detection Config", F.col("detection_config")), _line("Rules Triggered", F.nullif(F.trim("rule_triggered"), F.lit(""))), scored]
     parts = [F.lit("## Transaction Details"), *payment, F.lit("## Computed Features"), *measured, F.lit("## Detection Signals"), *signals]
-    if context is not None:
-        rows = rows.join(context, "id", "left")
-        parts += [F.when(F.col("context").isNotNull(), F.lit("## Known Patterns")), F.col("context")]
+    rows = rows if context is None else rows.join(context, "id", "left")
+    if "context" in rows.columns:
+        told = F.col("context").isNotNull()
+        parts += [F.when(told, F.lit(f"\n{KNOWN_HEADING}")), F.col("context"), F.when(told, F.lit(f"\n{KNOWN_CLOSING}"))]
     return rows.select("id", template().alias("template"), F.concat_ws("\n", *parts).alias("prompt"))
 
 

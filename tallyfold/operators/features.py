@@ -18,8 +18,9 @@ HOUR, DAY, WEEK = 3_600_000_000, 86_400_000_000, 604_800_000_000
 BLOCK = WEEK
 
 
-def _micros() -> Column:
-    return F.unix_micros(F.col("timestamp").cast("timestamp"))
+def micros(at: str = "timestamp") -> Column:
+    """Microseconds of a local time since 1970, from its date and clock: the same in any session time zone."""
+    return F.expr(f"unix_date(CAST(`{at}` AS DATE)) * {DAY}L + hour(`{at}`) * {HOUR}L + minute(`{at}`) * 60000000L + CAST(extract(SECOND FROM `{at}`) * 1000000 AS BIGINT)")
 
 
 def _block(at: Column) -> Column:
@@ -33,7 +34,7 @@ def _in_pairs(tx: DataFrame, ties_are_new: bool = False) -> DataFrame:
     before, and when the next block begins. They come from the first payment of each block, a grouped minimum.
     """
     pair = ["sender_account", "receiver_account"]
-    rows = tx.select(*pair, _micros().alias("_t"), "id", F.struct("*").alias("_row")).withColumn("_b", _block(F.col("_t")))
+    rows = tx.select(*pair, micros().alias("_t"), "id", F.struct("*").alias("_row")).withColumn("_b", _block(F.col("_t")))
     firsts = rows.groupBy(*pair, "_b").agg(F.min("_t").alias("_t"))
     before = F.lag("_b").over(Window.partitionBy(*pair).orderBy("_b"))
     none = F.lit(None).cast(rows.schema["_row"].dataType)
@@ -58,7 +59,7 @@ def _history(tx: DataFrame, leaves: dict[str, Column], amounts: dict[str, Column
     """
     names = [*leaves, *amounts]
     t = F.col("_t")
-    rows = tx.select("sender_account", F.struct(*tx.columns).alias("_row"), _micros().alias("_t"), *[c.alias(f"_out{n}") for n, c in leaves.items()], *[c.alias(f"_in{n}") for n, c in amounts.items()])
+    rows = tx.select("sender_account", F.struct(*tx.columns).alias("_row"), micros().alias("_t"), *[c.alias(f"_out{n}") for n, c in leaves.items()], *[c.alias(f"_in{n}") for n, c in amounts.items()])
     none = F.lit(None).cast(rows.schema["_row"].dataType)
 
     def event(block: Column, at: Column, row: Column, sign: int, which: set[str]) -> Column:
@@ -79,7 +80,7 @@ def _history(tx: DataFrame, leaves: dict[str, Column], amounts: dict[str, Column
 
 
 def _leaves(*which: str) -> dict[str, Column]:
-    t = _micros()
+    t = micros()
     whole = {"_n1": t + HOUR, "_n24": t + DAY, "_n7": t + WEEK, "_d7": F.least(t + WEEK, F.col("_next"))}
     return {n: whole[n] for n in which}
 

@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators.features import HOUR, micros
+
 PAGE_SIZE = 25
 
 
@@ -71,6 +73,47 @@ def sender_statistics(tx: DataFrame, start: datetime.datetime | None = None, end
     )
 
 
+#: An asked range is cut into at most about so many buckets of time.
+RANGE_BUCKETS = 64
+
+
+def in_ranges(tx: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of asked (account, start, end and any others) with each payment of the account from start to end, both included;
+    null ends are open. The payment's columns have their own names.
+
+    Payments and ranges meet by account and bucket of time: a range asks for the buckets that it covers, at most about
+    RANGE_BUCKETS, as their width follows from the longest range. So the join has equal keys, an account with a third of all
+    payments is cut by time, and ranges may overlap and repeat.
+    """
+    t, start, end = micros(), micros("start"), micros("end")
+    said = asked.select(F.min(start).alias("s"), F.max(end).alias("e"), F.max(end - start).alias("longest"), F.count_if(start.isNull() | end.isNull()).alias("open")).first()
+    lo, hi = tx.agg(F.min(t), F.max(t)).first() if said.open else (None, None)
+    longest = max([x for x in (said.longest, hi - lo if hi is not None else None) if x is not None], default=0)
+    width = max(HOUR, longest // RANGE_BUCKETS + 1)
+    start, end = F.coalesce(start, F.lit(lo).cast("long")), F.coalesce(end, F.lit(hi).cast("long"))
+    bucket = lambda at: F.floor(at / F.lit(width)).cast("long")
+    ranges = asked.withColumns({"_s": start, "_e": end}).where("_s <= _e")
+    ranges = ranges.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_s")), bucket(F.col("_e")))))
+    rows = tx.withColumns({"_t": t, "_bucket": bucket(t)})
+    met = (F.col("q.account") == F.col("p.sender_account")) & (F.col("q._bucket") == F.col("p._bucket")) & F.col("p._t").between(F.col("q._s"), F.col("q._e"))
+    return ranges.alias("q").join(rows.alias("p"), met).select(*[F.col(f"q.{c}") for c in asked.columns], *[F.col(f"p.{c}") for c in tx.columns])
+
+
+def range_statistics(tx: DataFrame, asked: DataFrame) -> DataFrame:
+    """account, start, end of the distinct ranges asked for, with the number of payments and receivers in each, mean and deviation of
+    their amounts; ranges without a payment have 0 and nulls."""
+    keys = ["account", "start", "end"]
+    ranges = asked.select(*keys).distinct()
+    amount = F.col("amount").cast("double")
+    found = in_ranges(tx, ranges).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("receiver_account").alias("receivers"), F.round(F.avg(amount), 6).alias("mean"), F.round(F.stddev_pop(amount), 4).alias("sd"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}"))
+    both = ranges.alias("r").join(found.alias("f"), same, "left")
+    zero = F.lit(0).cast("long")
+    return both.select(*[F.col(f"r.{k}") for k in keys], F.coalesce("n", zero).alias("n"), F.coalesce("receivers", zero).alias("receivers"), "mean", "sd")
+
+
 def paid_before(tx: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """id, paid_before of the asked payments (default: all): whether their sender has paid their receiver earlier.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,40 @@ def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], by: t
     return both.select(*rows.columns, *[(F.col(f"_own_{n}") + F.coalesce(F.col(f"_{n}"), F.lit(0))).alias(n) for n in sums])
 
 
+#: Bins into which `percentiles` cuts each group's range of values.
+BINS = 4096
+
+
+def percentiles(rows: DataFrame, by: tuple[str, ...], value: str, p: float, name: str) -> DataFrame:
+    """Each group's value (long) at the nearest rank of the share p, exact; null for groups without a value.
+
+    A group's range of values is cut into BINS; counts by bin, combined before their shuffle, say which bin holds the rank; its rows
+    alone go on to the next pass. No task ever holds more of a group than counts of bins, or of the
+    distinct values of one bin. Ranges up to 16 million (BINS squared) take two passes, each further one multiplies that by BINS.
+    """
+    if not 0 < p <= 1:
+        raise ValueError("p must lie above 0 and at most at 1")
+    keys, x = list(by), F.col(value)
+    of = lambda df: df.select(*[F.col(c).alias(f"_of_{c}") for c in keys], *[c for c in df.columns if c not in keys])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    whole = rows.groupBy(*keys).agg(F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    state = written(whole.withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(Decimal(str(p)))))).drop("_n"), "ranges")
+    while state.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0]:
+        width = F.expr(f"(_hi - _lo) div {BINS}L + 1")
+        inside = rows.select(*keys, value).join(of(state.where("_hi > _lo")), same).where(x.between(F.col("_lo"), F.col("_hi")))
+        counts = inside.groupBy(*keys, F.expr(f"({value} - _lo) div ((_hi - _lo) div {BINS}L + 1)").alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = of(counts.withColumn("_upto", F.sum("_c").over(upto)))
+        # the group's first bin that reaches the rank: the one whose counts before stay below it
+        hit = state.where("_hi > _lo").join(ranked, same).where("_upto >= _rank AND _upto - _c < _rank")
+        lo = F.col("_lo") + F.col("_bin") * width
+        narrowed = hit.select(*keys, lo.alias("_lo"), F.least(F.col("_hi"), lo + width - 1).alias("_hi"), (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank"))
+        state = written(state.where("_lo = _hi OR _lo IS NULL").select(*keys, "_lo", "_hi", "_rank").unionByName(narrowed), "ranges")
+    return state.select(*keys, F.col("_lo").cast("long").alias(name))
+
+
 def hash_of_id() -> Column:
     return F.md5(F.col("id").cast("string").cast("binary"))
 

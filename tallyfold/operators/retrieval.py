@@ -34,8 +34,13 @@ def _topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     unit = docs.withColumn("_n", F.sqrt(_dot("embedding", "embedding")))
     asked = F.broadcast(queries.withColumn("_m", F.sqrt(_dot("q", "q"))))
     both = unit.crossJoin(asked).select("query_id", "doc_id", (_dot("embedding", "q") / F.nullif(F.col("_n") * F.col("_m"), F.lit(0.0))).alias("similarity"))
+    return nearest(both, k)
+
+
+def nearest(found: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, rank, similarity of each query's k rows of the highest similarity, first within shards of documents."""
     order = [F.desc_nulls_last("similarity"), F.col("doc_id")]
     local = Window.partitionBy("query_id", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy(*order)
-    few = both.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= k)
+    few = found.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= k)
     final = few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return final.select("query_id", "doc_id", "rank", F.round("similarity", 5).alias("similarity"))

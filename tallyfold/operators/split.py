@@ -5,22 +5,19 @@ from __future__ import annotations
 import math
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.operators.features import micros
 from tallyfold.operators.ranking import first_by_hash, hash_of_id, running
 
 
-def _micros() -> Column:
-    return F.unix_micros(F.col("timestamp").cast("timestamp"))
-
-
 def cutoff(tx: DataFrame, ratio: float = 0.8, most: int = 1_000_000, bins: int = 4096) -> int | None:
     """The discrete percentile of time in microseconds, exact: the range that holds it is narrowed by counts in equal bins until
     it has at most `most` rows (or a single time), which are sorted. So no task and not the driver ever meets more."""
     if not 0 < ratio < 1:
         raise ValueError("ratio must lie between 0 and 1")
-    times = tx.select(_micros().alias("t")).where("t IS NOT NULL")
+    times = tx.select(micros().alias("t")).where("t IS NOT NULL")
     n, lo, hi = times.agg(F.count(F.lit(1)), F.min("t"), F.max("t")).first()
     if not n:
         return None
@@ -40,7 +37,7 @@ def cutoff(tx: DataFrame, ratio: float = 0.8, most: int = 1_000_000, bins: int =
 
 def temporal_split(tx: DataFrame, ratio: float = 0.8) -> DataFrame:
     """tx with is_training_set: before the discrete percentile of time, or not. The cut-off is a literal in the plan."""
-    return tx.withColumn("is_training_set", _micros() < F.lit(cutoff(tx, ratio)).cast("long"))
+    return tx.withColumn("is_training_set", micros() < F.lit(cutoff(tx, ratio)).cast("long"))
 
 
 def split_summary(split: DataFrame, ratio: float = 0.8) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import detect, evaluate, features, retrieval, rules, split
 from tallyfold.plans.canonical import METRICS, Canonical
-from tallyfold.plans import reports, workflows  # noqa: F401  register their own
+from tallyfold.plans import reports, stores, workflows  # noqa: F401  register their own
 from tallyfold.plans.register import ORACLES, QUERIES, query  # noqa: F401
 from tallyfold.session import shared_path
 from tallyfold.sources import imports
@@ -188,7 +188,6 @@ def _twice(c: Canonical) -> DataFrame:
     return imports.dedup_new(rows.unionByName(again), rows.where("row_num % 3 = 0")).select("row_num", "external_id")
 
 
-query(
-    "import_dedup",
-    _VALID + f", e AS (SELECT row_num, {_EXT} AS external_id FROM val WHERE reason IS NULL), every AS (SELECT * FROM e UNION ALL SELECT row_num + 1000000000, external_id FROM e WHERE row_num % 5 = 0) SELECT min(row_num) AS row_num, external_id FROM every WHERE external_id NOT IN (SELECT external_id FROM e WHERE row_num % 3 = 0) GROUP BY external_id",
-)(_twice)
+_DEDUP = _VALID + f", e AS (SELECT row_num, {_EXT} AS external_id FROM val WHERE reason IS NULL), every AS (SELECT * FROM e UNION ALL SELECT row_num + 1000000000, external_id FROM e WHERE row_num % 5 = 0) SELECT min(row_num) AS row_num, external_id FROM every WHERE external_id NOT IN (SELECT external_id FROM e WHERE row_num % 3 = 0) GROUP BY external_id"
+query("import_dedup", _DEDUP)(_twice)
+query("import_dedup_bucketed", _DEDUP)(stores._bucketed)

@@ -63,3 +63,9 @@ def removed(spark: SparkSession, folder: str) -> None:
     """Delete a folder of tables that nothing reads any more."""
     path, files = _on_store(spark, folder)
     files.delete(path, True)
+
+
+def made(spark: SparkSession, folder: str) -> None:
+    """Make a folder, if there is none."""
+    path, files = _on_store(spark, folder)
+    files.mkdirs(path)

@@ -4,26 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tallyfold.operators import detect, features
-from tallyfold.sources.imports import append
-from tallyfold.sources.tables import append_alerts
+from tallyfold.operators import detect
+from tallyfold.operators.state import FeatureState
+from tallyfold.session import made
 
 
 def run(arriving: DataFrame, history: str, alerts: str, thresholds: DataFrame, checkpoint: str):
     """Start a query over a streaming DataFrame of transactions. Each batch's rows that are not stored yet get their features from
-    the whole history of their senders, rule alerts go to the table at `alerts`, each pair once, and the rows to the one at
-    `history`, last: a batch that is run again after a failure finds what is still to be done."""
-    append(arriving.sparkSession.createDataFrame([], arriving.schema), history)  # so that both tables can be read
+    the state at `history` (see FeatureState), of which only recent weeks of their senders are read; the rules' alerts go to the
+    table at `alerts`, partitioned by batch and configuration. A batch that is run again after a failure overwrites its own part of both."""
+    for folder in (history, alerts):
+        made(arriving.sparkSession, folder)
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        stored = spark.read.schema(rows.schema).parquet(history)
-        fresh = rows.dropDuplicates(["id"]).join(stored.select("id"), "id", "left_anti").select(*rows.columns)
-        senders = stored.join(fresh.select("sender_account").distinct(), "sender_account", "left_semi").select(*rows.columns)
-        feats = features.features_full(senders.unionByName(fresh)).withColumnRenamed("transaction_id", "id")
-        found = detect.detect_rules(fresh.join(feats.drop("amount"), "id"), thresholds)
-        spark.createDataFrame([], found.schema).write.mode("append").partitionBy("detection_config").parquet(alerts)
-        append_alerts(found, alerts, spark.read.schema(found.schema).parquet(alerts))
-        append(fresh, history)
+        state = FeatureState(rows.sparkSession, history)
+        found = detect.detect_rules(state.advance(rows, number), thresholds)
+        found.write.mode("overwrite").partitionBy("detection_config").parquet(f"{alerts}/batch={number}")
 
     return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
