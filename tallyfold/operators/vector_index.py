@@ -32,7 +32,8 @@ _FOUND = "query_id long, doc_id long, similarity double"
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """Where the lists are stored, the centroids (unit vectors), and each list's least similarity to its centroid."""
+    """Where the lists are stored, the centroids (unit vectors), and for each list the least similarity to its centroid of the
+    vectors that have no nearer one (nan if there are none)."""
 
     path: str
     centroids: np.ndarray
@@ -65,8 +66,9 @@ def fit_centroids(docs: DataFrame, lists: int, sample: int = SAMPLE) -> np.ndarr
     return _units(pd.Series(list(model.clusterCenters())))[0]
 
 
-def _assigner(centroids: np.ndarray) -> Callable:
-    """rows (doc_id, embedding) with list and cosine, the similarity to its centroid."""
+def _assigner(centroids: np.ndarray, copies: int) -> Callable:
+    """rows (doc_id, embedding) once for each of their nearest lists, with list, copy (0: the nearest) and cosine, the similarity to its
+    centroid."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,15 +76,17 @@ def _assigner(centroids: np.ndarray) -> Callable:
             if not good.any():
                 continue
             near = units[good] @ centroids.T
-            best = near.argmax(1)
-            yield batch[good].assign(list=best.astype(np.int32), cosine=near[np.arange(len(best)), best])
+            best = np.argsort(-near, axis=1, kind="stable")[:, :copies]
+            for copy, lists in enumerate(best.T):
+                yield batch[good].assign(list=lists.astype(np.int32), copy=np.int32(copy), cosine=near[np.arange(len(lists)), lists])
 
     return assign
 
 
-def build(docs: DataFrame, path: str | None = None, lists: int | None = None, centroids: np.ndarray | None = None) -> VectorIndex:
+def build(docs: DataFrame, path: str | None = None, lists: int | None = None, copies: int = 2, centroids: np.ndarray | None = None) -> VectorIndex:
     """Index docs (doc_id, embedding) at a path. lists: by default the square root of the rows, at most MOST_LISTS. Given centroids
-    (unit vectors) are taken as they are.
+    (unit vectors) are taken as they are. Vectors are stored in their `copies` nearest lists, as neighbours often lie on two sides of
+    a border.
 
     Every list is a partition of the stored table, dealt by a hash of doc_id into parts of about PART vectors, so that a list with
     a third of all vectors is written and read by many tasks.
@@ -92,8 +96,8 @@ def build(docs: DataFrame, path: str | None = None, lists: int | None = None, ce
     if centroids is None:
         centroids = fit_centroids(docs, lists or max(2, round(docs.count() ** 0.5)))
     path = path or shared_path(spark, "vector-index")
-    dealt = written(docs.mapInPandas(_assigner(centroids), "doc_id long, embedding array<float>, list int, cosine double"), "assigned")
-    sizes = dealt.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least"))  # at most MOST_LISTS rows
+    dealt = written(docs.mapInPandas(_assigner(centroids, copies), "doc_id long, embedding array<float>, list int, copy int, cosine double"), "assigned")
+    sizes = dealt.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("copy") == 0, F.col("cosine"))).alias("least"))  # at most MOST_LISTS rows
     parts = F.broadcast(sizes.select("list", F.ceil(F.col("n") / PART).alias("parts")))
     rows = dealt.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     rows.select("doc_id", "embedding", "list", "part").repartition("list", "part").drop("part").write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
@@ -139,7 +143,7 @@ def _compare(asked: dict[int, np.ndarray], ids: np.ndarray, units: np.ndarray, k
 
 
 def _probed(index: VectorIndex, units: np.ndarray, probes: int) -> list[np.ndarray]:
-    """The nearest non-empty lists of each query."""
+    """The nearest lists of each query, of those that are some vector's nearest."""
     full = np.flatnonzero(~np.isnan(index.least))
     found = []
     for start in range(0, len(units), 256):
@@ -169,7 +173,7 @@ def _turned(lists: list[np.ndarray]) -> dict[int, np.ndarray]:
     return {int(part[0, 0]): part[:, 1] for part in np.split(pairs, cuts) if len(part)}
 
 
-def search(index: VectorIndex, queries: DataFrame, k: int = 5, probes: int = 16, exact: bool = False) -> DataFrame:
+def search(index: VectorIndex, queries: DataFrame, k: int = 5, probes: int = 20, exact: bool = False) -> DataFrame:
     """query_id, doc_id, rank, similarity: the k nearest stored vectors of each of the queries (query_id, q) in its `probes` nearest
     lists. exact: lists that could still hold a nearer one than the k-th found are read, too, so the result is that of a
     comparison with every vector.
@@ -182,7 +186,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 5, probes: int = 16,
     path = shared_path(spark, "index-search")
     schema = "query_id long, doc_id long, rank int, similarity double"
     spark.createDataFrame([], schema).write.parquet(path)
-    for b in range(blocks):
+    for b in range(0 if np.isnan(index.least).all() else blocks):
         asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
         units, good = _units(asked["q"])
         units, ids = units[good], asked["query_id"].to_numpy()[good]
@@ -195,11 +199,12 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 5, probes: int = 16,
             kth = {r.query_id: r.similarity for r in nearest(found, k).where(F.col("rank") == k).collect()}
             rest = _reaching(index, units, np.array([kth.get(i, -1.0) - 1e-5 for i in ids.tolist()]), seen)  # similarities are rounded
             if any(map(len, rest)):
-                found = found.unionByName(_candidates(spark, index, rest, ids, units, k))
+                found = found.unionByName(_candidates(spark, index, rest, ids, units, k)).dropDuplicates(["query_id", "doc_id"])
         nearest(found, k).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def _candidates(spark: SparkSession, index: VectorIndex, lists: list[np.ndarray], ids: np.ndarray, units: np.ndarray, k: int) -> DataFrame:
     turned = _turned(lists)
-    return lists_of(spark, index, np.array(sorted(turned))).mapInPandas(_compare(turned, ids, units, k), _FOUND)
+    found = lists_of(spark, index, np.array(sorted(turned))).mapInPandas(_compare(turned, ids, units, k), _FOUND)
+    return found.dropDuplicates(["query_id", "doc_id"])  # a vector may be found in two lists
