@@ -34,8 +34,9 @@ DIM = 2048
 #: The bound of the training sample: documents of each language.
 PER_LANGUAGE = 800
 UNDETERMINED = "und"
-#: Languages whose counts are broadcast; more of them (a column of junk) are joined by a shuffle.
-MOST_BROADCAST = 100_000
+#: Languages that are learned, those with the most documents, and the fewest documents of one. A family's languages are told apart in pairs, so
+#: the fits grow with their square.
+MOST_LANGUAGES, LEAST_DOCUMENTS = 64, 3
 #: Families of closely related languages. A language that is not here is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb"),
@@ -120,14 +121,13 @@ def held_out() -> Column:
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(lang, features) of at most per_language documents a language, the first by a hash of their id."""
+    """(lang, features) of at most per_language documents a language, the first by a hash of their id. The MOST_LANGUAGES languages
+    with the most documents, of those with LEAST_DOCUMENTS or more, are learned; a column full of junk has no other effect."""
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     usable = docs.where((rest != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     order = F.xxhash64(F.lit("sample"), "doc_id")
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    counts = written(counts, "languages")
-    if counts.count() <= MOST_BROADCAST:
-        counts = F.broadcast(counts)
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
+    counts = F.broadcast(written(counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES), "languages"))  # so many rows at most
     # twice the share that is needed passes by hash before anything is moved; the window then meets a bounded rest
     thin = usable.join(counts, "lang").where(F.pmod(order, F.lit(1_000_000)) * F.col("n") < 2_000_000 * per_language)
     first = Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1_000_000)), "doc_id", F.xxhash64("text"))

@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import WORD, written
 
 SWEEPS = 12
+#: The most tokens that a sample may have, of all. With targets far from the documents' shares the rarest tokens bound it much earlier,
+#: as no document is drawn twice.
 SHARE = 0.7
 MARGINS = ("source", "lang", "topic")
 #: Powers of the token shares that give the targets of MARGINS.
 POWERS = (0.0, 0.5, 0.5)
-#: Cells that one task rakes. More of them (a source for each host, say) are an error: they need a coarser source.
-MOST_CELLS = 10_000_000
+#: Cells that one task rakes without a shuffle. More of them (a source for each host, say) are raked by sums of each margin, joined
+#: back, wherever they lie; the weights are the same.
+ONE_TASK = 1_000_000
 
 
 def n_tokens() -> Column:
@@ -61,33 +64,40 @@ def _units(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *filled, topic().alias("topic"), n_tokens().alias("n_tokens"))
 
 
-def raked_cells(units: DataFrame, sweeps: int = SWEEPS, share: float = SHARE, powers: tuple[float, ...] = POWERS) -> DataFrame:
+def _fitted(held: DataFrame, margin: str, small: bool) -> DataFrame:
+    """held with its weights scaled to the targets of a margin."""
+    if small:
+        return held.withColumn("weight", F.col("weight") * F.col(f"to_{margin}") / F.sum("weight").over(Window.partitionBy(margin)))
+    sums = held.groupBy(margin).agg(F.sum("weight").alias("_sum"))
+    return held.join(sums, margin).withColumn("weight", F.col("weight") * F.col(f"to_{margin}") / F.col("_sum")).drop("_sum")
+
+
+def raked_cells(units: DataFrame, sweeps: int = SWEEPS, share: float = SHARE, powers: tuple[float, ...] = POWERS, one_task: int = ONE_TASK) -> DataFrame:
     """source, lang, topic, cell_tokens, weight (share of the mixture), probability of every cell with tokens.
 
-    The cells are a table of distinct source, language and topic: small beside the documents, but never collected;
-    it is written after every third sweep so that plans stay short. Each margin is one grouped window; the scale needs all
-    cells at once, so they lie in one partition from the start and no window shuffles.
+    The cells are a table of distinct source, language and topic: small beside the documents, but never collected. Up to one_task of them
+    lie in one partition, where each margin is a window without a shuffle; more stay in many, and a margin's sums, combined
+    before their shuffle, are joined back. The table is written after every third sweep, or every one of many, so that plans stay short.
     """
     cells = units.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("cell_tokens")).where("cell_tokens > 0")
     cells = written(cells, "cells")
-    if (n := cells.count()) > MOST_CELLS:
-        raise ValueError(f"{n} cells of source, language and topic; at most {MOST_CELLS} can be raked")
-    total = F.sum("cell_tokens").over(Window.partitionBy())
-    held = cells.withColumn("weight", F.col("cell_tokens") / total)
+    small = cells.count() <= one_task
+    near = lambda df: df.coalesce(1) if small else df
+    total = cells.agg(F.sum("cell_tokens").alias("_total"))
+    held = cells.crossJoin(F.broadcast(total)).withColumn("weight", F.col("cell_tokens") / F.col("_total")).drop("_total")  # one row
     for margin, power in zip(MARGINS, powers, strict=True):
         raised = cells.groupBy(margin).agg(F.pow(F.sum("cell_tokens").cast("double"), F.lit(power)).alias("_r"))
-        raised = raised.withColumn(f"to_{margin}", F.col("_r") / F.sum("_r").over(Window.partitionBy())).drop("_r")
-        held = held.join(raised, margin)
-    held = written(held, "margins").coalesce(1)
+        whole = F.broadcast(raised.agg(F.sum("_r").alias("_all")))  # one row
+        held = held.join(raised.crossJoin(whole).select(margin, (F.col("_r") / F.col("_all")).alias(f"to_{margin}")), margin)
+    held = near(written(held, "margins"))
     for sweep in range(sweeps):
         for margin in MARGINS:
-            held = held.withColumn("weight", F.col("weight") * F.col(f"to_{margin}") / F.sum("weight").over(Window.partitionBy(margin)))
-        if sweep % 3 == 2:
-            held = written(held, "raked").coalesce(1)
-    everything = Window.partitionBy()
+            held = _fitted(held, margin, small)
+        if sweep % 3 == 2 or not small:
+            held = near(written(held, "raked"))
     ratio = F.col("weight") / F.col("cell_tokens")
-    scale = F.least(share * F.sum("cell_tokens").over(everything), 1.0 / F.max(ratio).over(everything))
-    priced = held.withColumn("probability", F.least(F.lit(1.0), scale * ratio))
+    bounds = F.broadcast(held.agg((share * F.sum("cell_tokens")).alias("_most"), (1.0 / F.max(ratio)).alias("_scale")))  # one row
+    priced = held.crossJoin(bounds).withColumn("probability", F.least(F.lit(1.0), F.least("_most", "_scale") * ratio))
     return written(priced.select(*MARGINS, "cell_tokens", "weight", "probability"), "mixture")
 
 

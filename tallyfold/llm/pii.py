@@ -1,8 +1,9 @@
 """Format-preserving pseudonyms by a keyed Feistel network; DataFrame functions only.
 
-Personal identifiers in text (mail addresses, phone numbers, payment cards, social security numbers, IPv4 addresses,
-dates) are recognised, validated and permuted within their format by a secret key: a digit stays a digit, a letter
-a letter of its case, separators stay; cards keep a right check digit, addresses stay addresses, dates stay dates. The
+Personal identifiers in text (mail addresses, phone numbers, payment cards, bank accounts, social security numbers, IPv4
+addresses, dates) are recognised, validated and permuted within their format by a secret key: a digit stays a digit, a letter
+a letter of its script and case (Latin, Greek, Cyrillic; others stay), separators stay; cards and accounts keep right check
+digits, addresses stay addresses, dates stay dates. The
 permutation depends on nothing but key, kind and value, so equal values stay linked across documents, no table of
 pseudonyms is needed and nothing is shuffled. With the key, `restore=True` takes it back.
 
@@ -10,8 +11,9 @@ The network: characters in two halves; each round shifts the characters of one h
 numbers from a keyed hash of the other half.
 
 Edge cases: null and empty texts stay as they are; candidates that fail validation stay; identifiers that touch other
-letters or digits are not taken; a local part of over 64 characters is no mail address; rows, repeated or with null
-ids, keep their columns and order of magnitude; an empty table gives an empty table.
+letters or digits are not taken; a local part of over 64 characters is no mail address; every row, repeated or with a null
+id, has one in the result, which has doc_id, text and the counts, whatever other columns there are or what they are called; an empty
+table gives an empty table. Not recognised: IPv6 addresses, and dates before 1900 or after 2099.
 """
 
 from __future__ import annotations
@@ -21,19 +23,24 @@ from pyspark.sql import functions as F
 
 ROUNDS = 6
 #: Cards in their usual groups. A number beside one belongs to it in no case.
-_GROUPED = r"(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])"
+_GROUPED = r"(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?:\.[0-9]{4}){3}|[0-9]{4}\.[0-9]{6}\.[0-9]{5}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])"
+#: Letters of any script and digits, for a pattern's brackets: letters beyond ASCII are what is not punctuation or a space there.
+_WORD = "A-Za-z0-9\u00c0-\u1fff\u2c00-\u2fef\u3040-\ud7ff"
+#: Letters that are permuted among each other, besides those of ASCII: small and capital ones of Latin, Greek and Cyrillic.
+ALPHABETS = ["".join(c for c in map(chr, range(lo, hi)) if kept(c)) for lo, hi in ((0xC0, 0x250), (0x370, 0x400), (0x400, 0x530)) for kept in (str.islower, str.isupper)]
 #: Kinds in the order in which a place in the text is tried.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": rf"(?<![{_WORD}._%+-])[{_WORD}_%+-][{_WORD}._%+-]{{0,63}}+@[{_WORD}](?:[{_WORD}.-]{{0,250}}[{_WORD}])?\.[A-Za-z]{{2,24}}(?![{_WORD}])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3}(?=[ .-]))[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3}(?=[ .-]))[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z/])0[0-9]{2,5}/[0-9]{4,10}(?![0-9/])",
     "card": rf"(?<![0-9A-Za-z])(?:{_GROUPED}|[0-9](?:(?![ -]{_GROUPED})[ -]?[0-9]){{12,18}}(?![0-9A-Za-z]))",
 }
 KINDS = list(PATTERNS)
-#: All kinds but mail addresses begin with one of few characters, which most places in a text are passed over by.
-NUMBERS = "(?=[0-9+(])(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email") + ")"
+#: Most kinds begin with one of few characters, which most places in a text are passed over by.
+NUMBERS = f"(?:{PATTERNS['iban']})|(?=[0-9+(])(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k not in ("email", "iban")) + ")"
 ANY = f"(?:{PATTERNS['email']})|{NUMBERS}"
 #: Dates are permuted among 250 x 292 days from here on.
 FIRST_DAY, DAY_A, DAY_B = "1900-01-01", 250, 292
@@ -66,7 +73,14 @@ def _shift(half: Column, stream: Column, sign: int) -> Column:
             low = ord(first)
             return F.char(F.lit(low) + F.pmod(F.ascii(c) - low + k, F.lit(size)))
 
-        return F.when(c.between("0", "9"), moved("0", 10)).when(c.between("a", "z"), moved("a", 26)).when(c.between("A", "Z"), moved("A", 26)).otherwise(c)
+        def within(letters: str, rest: Column) -> Column:
+            place = F.position(c, F.lit(letters))
+            return F.when(place > 0, F.substr(F.lit(letters), F.pmod(place - 1 + k, F.lit(len(letters))) + 1, F.lit(1))).otherwise(rest)
+
+        other = c
+        for letters in ALPHABETS:
+            other = within(letters, other)
+        return F.when(c.between("0", "9"), moved("0", 10)).when(c.between("a", "z"), moved("a", 26)).when(c.between("A", "Z"), moved("A", 26)).when(c > "~", other).otherwise(c)
 
     def shifted(both: Column) -> Column:
         letters = F.transform(F.sequence(F.lit(0), F.length(both["half"]) - 1), lambda i: one(both, i))
@@ -168,7 +182,7 @@ def _written_day(value: Column, year: int, month: int, day: int) -> Column:
 
 
 def _year_first(value: Column) -> Column:
-    return F.substr(value, F.lit(5), F.lit(1)) == "-"
+    return F.substr(value, F.lit(5), F.lit(1)).isin("-", "/")
 
 
 def _day(value: Column) -> Column:
@@ -196,7 +210,7 @@ def _date(value: Column, key: str, restore: bool) -> Column:
         lambda s: s["day"],
     )
     return (
-        F.when(_year_first(value), _let(moved(_day(value)), lambda d: date(d).cast("string")))
+        F.when(_year_first(value), _let(moved(_day(value)), lambda d: F.replace(date(d).cast("string"), F.lit("-"), F.substr(value, F.lit(5), F.lit(1)))))
         .when(_written_day(value, 7, 4, 1).isNotNull(), _let(moved(_day(value)), lambda d: shown(d, 9, 6)))
         .otherwise(_let(walked, lambda d: shown(d, 6, 9)))
     )
@@ -222,7 +236,7 @@ def _ssn(value: Column, key: str, restore: bool) -> Column:
 
 
 def _phone(value: Column, key: str, restore: bool) -> Column:
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    code = F.regexp_extract(value, r"^(?:\+[0-9]{1,3}(?=[ .(-])|0(?=[0-9]+/))", 0)
     return F.concat(code, permute_string(F.substr(value, F.length(code) + 1, F.length(value)), F.lit("phone"), key, restore))
 
 
@@ -234,13 +248,32 @@ def _email(value: Column, key: str, restore: bool) -> Column:
     return F.concat(permute_string(local, F.lit("local"), key, restore), F.lit("@"), permute_string(rest, F.lit("domain"), key, restore), F.lit("."), top)
 
 
-_MAKE = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+def mod97(text: Column) -> Column:
+    """The remainder by 97 of digits and capitals, a letter counting as its number from 10 on."""
+
+    def one(r: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), (r * 10 + c.cast("int")) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
+
+    return _let(text, lambda t: F.aggregate(F.sequence(F.lit(1), F.length(t)), F.lit(0), lambda r, i: one(r, F.substr(t, i, F.lit(1)))))
+
+
+def _iban(value: Column, key: str, restore: bool) -> Column:
+    """The account within its country, with its check digits; in groups of four if it was."""
+    bare = F.replace(value, F.lit(" "), F.lit(""))
+    country = F.substr(bare, F.lit(1), F.lit(2))
+    body = permute_string(F.substr(bare, F.lit(5), F.length(bare)), F.lit("iban"), key, restore)
+    made = _let(body, lambda b: F.concat(country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
+    return F.when(value.contains(" "), F.regexp_replace(made, "(.{4})(?=.)", "$1 ")).otherwise(made)
+
+
+_MAKE = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
 def kind_of(value: Column) -> Column:
     """The kind of a match, or null if it fails validation."""
-    parts = F.split(value, r"\.")
+    parts, bare = F.split(value, r"\."), F.replace(value, F.lit(" "), F.lit(""))
     valid = {
+        "iban": F.length(bare).between(15, 34) & (mod97(F.concat(F.substr(bare, F.lit(5), F.length(bare)), F.substr(bare, F.lit(1), F.lit(4)))) == 1),
         "email": ~value.contains("..") & ~value.contains(".@"),
         "ip": ~F.exists(parts, lambda x: (F.length(x) > 3) | (x.try_cast("int") > 255)),
         "date": F.coalesce(_day(value).between(0, DAY_A * DAY_B - 1), F.lit(False)),

@@ -300,6 +300,11 @@ def _shingles5(text: pd.Series) -> pd.Series:
     return pd.Series([distinct_shingles(t).tobytes() for t in text], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _shingle_list5(text: pd.Series) -> pd.Series:
+    return pd.Series([distinct_shingles(t).view(np.int64) for t in text], dtype=object)
+
+
 @F.pandas_udf(T.DoubleType())
 def _jaccard5(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
@@ -359,10 +364,34 @@ def _groups(docs: DataFrame, firsts: DataFrame, similarity: float, cell: int, fo
     # a block whose members are all linked already has nothing to add; in the others every pair of two roots is decided
     every = own.select("node", F.col("size").alias("weight"), F.posexplode("keys").alias("block", "key"))
     every = every.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = _decided(texts, _undecided(every, folder, "block", "key"), similarity, cell, folder)
+    blocks = _parted(texts, written(_undecided(every, folder, "block", "key"), "open", folder), similarity, cell, folder)
+    more = _decided(texts, blocks, similarity, cell, folder)
     return components(first.union(more), inside=folder)
 
 
+def _parted(texts: Callable[[DataFrame], DataFrame], blocks: DataFrame, similarity: float, cell: int, folder: str) -> DataFrame:
+    """The blocks (block, key, node, weight, root) with those of more than `cell` members replaced by blocks of shared prefixes.
+
+    In a large block, such as that of a page template, most pairs are far apart. Two sets of n shingles or more reach the
+    similarity only if they share one of the first n - ceil(similarity n) + 1 of each in any one order, so a member enters a block for each of
+    these; the order begins with the rarest among the members of all large blocks, which templates are not. Blocks of the same
+    members are compared once.
+    """
+    keys = ["block", "key"]
+    large = written(blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).select(*keys), "large", folder)
+    members = written(blocks.join(large, keys, "left_semi").select("node", "weight", "root").distinct(), "members", folder)
+    sets = texts(members.select("node")).select("node", _shingle_list5("text").alias("s"))
+    tokens = written(sets.select("node", F.size("s").alias("n"), F.explode("s").alias("key")), "tokens", folder)
+    common = written(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "common", folder)
+    ranked = tokens.join(common, "key", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "key"))).alias("t"))
+    first = ranked.select("node", F.explode(F.slice("t", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9).cast("int") + 1)).alias("t")).where("t.held > 1")
+    made = first.select("node", F.lit(BANDS).alias("block"), F.col("t.key").alias("key")).join(members, "node")
+    made = written(_undecided(made, folder, *keys), "prefixes", folder)
+    alike = made.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b"))
+    one = alike.groupBy("n", "a", "b").agg(F.min(F.struct(*keys)).alias("k")).select("k.block", "k.key")
+    return blocks.join(large, keys, "left_anti").unionByName(made.join(one, keys, "left_semi").select(*blocks.columns))
+
+
 def _undecided(rows: DataFrame, folder: str, *keys: str) -> DataFrame:
     """The rows of those groups by the keys that have more than one root."""
     open_ = rows.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*keys)

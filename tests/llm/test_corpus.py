@@ -337,6 +337,25 @@ def test_mixture_rows_of_odd_texts(odd):
     assert sum(dict((r.topic, r.weight) for r in rows if r.n_tokens).values()) == pytest.approx(1)
 
 
+#: Identifiers in notations that are easily missed: all but the last two are permuted.
+PROBES = [
+    "müller@example.de", "Σωκράτης.Π@παράδειγμα.gr", "4111.1111.1111.1111", "3782.822463.10005", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819",
+    "0171/2345678", "1985/03/12", "12-03-1985", "ivan.петров@пример.com", "DE88 3704 0044 0532 0130 00", "01/2024",
+]
+
+
+def test_identifiers_in_other_notations(spark):
+    df = spark.createDataFrame([(i, f"see {t}, please") for i, t in enumerate(PROBES)], "doc_id long, text string")
+    out = {r.doc_id: r.text.removeprefix("see ").removesuffix(", please") for r in pii.pseudonymize(df, KEY).collect()}
+    shape = lambda t: [c.isdigit() or c.isalpha() and c.isupper() + 2 or c for c in t]
+    for i, t in enumerate(PROBES):
+        assert (out[i] == t) == (i >= len(PROBES) - 2), (t, out[i])
+        assert shape(out[i]) == shape(t)
+    assert luhn(out[2].replace(".", "")) and out[4].startswith("DE") and Plain("other").iban(out[4])
+    back = pii.pseudonymize(pii.pseudonymize(df, KEY).select("doc_id", "text"), KEY, restore=True)
+    assert {r.doc_id: r.text for r in back.collect()} == {r.doc_id: r.text for r in df.collect()}
+
+
 class Plain:
     """Pseudonyms by plain loops over one match at a time."""
 
@@ -354,7 +373,7 @@ class Plain:
             h, moved = self.hash(kind, t, other), ""
             for i, c in enumerate(half):
                 k = int(h[4 * (i % 64) : 4 * (i % 64) + 4], 16)
-                moved += next((chr(ord(low) + (ord(c) - ord(low) + k) % n) for low, n in (("0", 10), ("a", 26), ("A", 26)) if low <= c < chr(ord(low) + n)), c)
+                moved += next((x[(x.index(c) + k) % len(x)] for x in (string.digits, string.ascii_lowercase, string.ascii_uppercase, *pii.ALPHABETS) if c in x), c)
             a, b = (moved, b) if t % 2 == 0 else (a, moved)
         return a + b
 
@@ -390,7 +409,7 @@ class Plain:
                 return None
             return day
 
-        year_first = v[4] == "-"
+        year_first = v[4] in "-/"
         day = read(0, 5, 8) if year_first else read(6, 3, 0)
         month_first = day is None and not year_first
         day = read(6, 0, 3) if month_first else day
@@ -403,7 +422,7 @@ class Plain:
             if not month_first or at.day > 12:
                 break
         if year_first:
-            return at.isoformat()
+            return at.isoformat().replace("-", v[4])
         return v[2].join([f"{at.month:02}", f"{at.day:02}", str(at.year)] if month_first else [f"{at.day:02}", f"{at.month:02}", str(at.year)])
 
     def ssn(self, v):
@@ -415,9 +434,18 @@ class Plain:
         return f"{areas[a]:03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
 
     def phone(self, v):
-        code = re.match(r"(?:\+[0-9]{1,3}(?=[ .(-]))?", v)[0]
+        code = re.match(r"(?:\+[0-9]{1,3}(?=[ .(-])|0(?=[0-9]+/))?", v)[0]
         return code + self.string(v[len(code) :], "phone") if 7 <= len(re.sub("[^0-9]", "", v)) <= 15 else None
 
+    def iban(self, v):
+        bare = v.replace(" ", "")
+        number = lambda x: int("".join(str(int(c, 36)) for c in x))
+        if not 15 <= len(bare) <= 34 or number(bare[4:] + bare[:4]) % 97 != 1:
+            return None
+        body = self.string(bare[4:], "iban")
+        made = f"{bare[:2]}{98 - number(body + bare[:2] + '00') % 97:02}{body}"
+        return " ".join(made[k : k + 4] for k in range(0, len(made), 4)) if " " in v else made
+
     def email(self, v):
         if ".." in v or ".@" in v:
             return None
@@ -435,7 +463,7 @@ class Plain:
 
 def test_pseudonyms_against_plain_loops_over_the_whole_table(spark, docs):
     plain = Plain(KEY)
-    more = ["ssn 123-45-6789 and 665-01-0001, 667-99-9999", "12/31/2024 31.12.2024 2024-12-31", "4111-1111-1111-1111", "+44 20 7946 0958", "a.b@c.de"]
+    more = ["ssn 123-45-6789 and 665-01-0001, 667-99-9999", "12/31/2024 31.12.2024 2024-12-31", "4111-1111-1111-1111", "+44 20 7946 0958", "a.b@c.de", *PROBES]
     every = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
     text = {r.doc_id: r.text for r in every.collect()}
     out = {r.doc_id: r.text for r in pii.pseudonymize(every, KEY).collect()}
@@ -451,6 +479,24 @@ def test_numbers_are_permuted_one_to_one(spark):
     assert not back.join(df.withColumnRenamed("text", "t"), "doc_id").where("text <> t").count()
 
 
+def test_many_cells_are_raked_without_one_task(spark, docs):
+    """The sums of margins, joined back, give the weights of the windows in one partition."""
+    units = mixing._units(docs).withColumn("source", F.concat("source", (F.col("doc_id") % 37).cast("string")))
+    few, many = (sorted(mixing.raked_cells(units, one_task=n).collect(), key=lambda r: r[:3]) for n in (10**6, 10))
+    assert len(few) == len(many) > 100
+    for a, b in zip(few, many, strict=True):
+        assert a[:4] == b[:4] and a.weight == pytest.approx(b.weight, rel=1e-9) and a.probability == pytest.approx(b.probability, rel=1e-9)
+
+
+def test_junk_languages_are_not_learned(spark):
+    rows = [(i, ("the house by the river was old and green ", "das Haus am Fluss war alt und sehr grün ")[i % 2] * (2 + i % 5), ("en", "de")[i % 2]) for i in range(60)]
+    junk = spark.range(1000, 101_000).selectExpr("id AS doc_id", "concat('words of no language ', id) AS text", "concat('x', id) AS lang")
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(junk))
+    assert model.languages == {"germanic": ["de", "en"]}
+    many = spark.range(0, 80 * 9).selectExpr("id AS doc_id", "concat('word', id % 80) AS text", "concat('l', lpad(id % 80, 2, '0')) AS lang")
+    assert sum(map(len, langid.fit(many).languages.values())) == langid.MOST_LANGUAGES
+
+
 def test_wide_changes_of_token_counts_are_kept():
     for c in (np.array([], np.int16), np.array([1, -5, 127], np.int16), np.array([1, 300, -299], np.int16)):
         assert tokens.unpacked(tokens.packed(c)).tolist() == c.tolist()

@@ -165,3 +165,45 @@ def test_tables_of_the_way_are_deleted(spark):
     # the results read none of them
     assert 0 < kept.count() <= docs.count() == alike.count()
     assert groups.count() >= 2 * groups.select("root").distinct().count()
+
+
+def template_texts(n, own, length=200):
+    """n texts of one template, a share `own` of whose words are each text's own."""
+    template = [f"t{k}" for k in range(length)]
+    out = []
+    for i in range(n):
+        words = list(template)
+        for k in range(0, int(own * length)):
+            words[length - 1 - k] = f"w{i}x{k}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_large_blocks_are_parted_by_prefixes_without_loss(spark):
+    """Texts of one template, pairs of copies among them: blocks of shared prefixes link what a comparison of all pairs links."""
+    from tallyfold.llm import simhash as S
+
+    texts = template_texts(120, 0.25)
+    copies = [" ".join([*t.split()[:-1], "changed"]) for t in texts[::6]]
+    docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in S.keep_one_of_each_group(docs, cell=8).collect())
+    assert kept == list(range(120))
+
+
+def test_twenty_thousand_texts_of_one_template_are_no_quadratic_work(spark):
+    """At a similarity of about 0.6 no two texts share a rare prefix, so no cell of their large blocks is compared."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tallyfold.llm import simhash as S
+
+    tail = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.concat(F.lit("w"), F.col("doc_id").cast("string"), F.lit("x"), k.cast("string"))), " ")
+    head = " ".join(f"t{k}" for k in range(64))
+    took = {}
+    for n in (2_000, 20_000):
+        docs = spark.range(n).select(F.col("id").alias("doc_id")).withColumn("text", F.concat(F.lit(head + " "), tail))
+        began = time.time()
+        assert S.keep_one_of_each_group(docs).count() == n
+        took[n] = time.time() - began
+    assert took[20_000] < 6 * took[2_000], took
