@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,20 +62,22 @@ def _history(tx: DataFrame, leaves: dict[str, Column], amounts: dict[str, Column
     """
     names = [*leaves, *amounts]
     t = F.col("_t")
-    rows = tx.select("sender_account", F.struct(*tx.columns).alias("_row"), micros().alias("_t"), *[c.alias(f"_out{n}") for n, c in leaves.items()], *[c.alias(f"_in{n}") for n, c in amounts.items()])
-    none = F.lit(None).cast(rows.schema["_row"].dataType)
-
-    def event(block: Column, at: Column, row: Column, sign: int, which: set[str]) -> Column:
-        kinds = {n: rows.schema[f"_in{n}"].dataType for n in amounts} | dict.fromkeys(leaves, "long")
-        values = [(F.lit(0) if n not in which else F.lit(sign) if n in leaves else F.col(f"_in{n}") * sign).cast(kinds[n]).alias(n) for n in names]
-        return F.struct(block.alias("_b"), at.cast("long").alias("_at"), row.alias("_row"), *values)
-
-    events = [event(_block(t), t, F.col("_row"), 1, set(names))]
-    for n in leaves:
-        over, which = F.col(f"_out{n}"), {n} | (set(amounts) if n == "_n7" else set())
-        into = _block(over)
-        events.append(event(into, over, none, -1, which))
-        events.append(F.when(into > _block(t), event(into, into * BLOCK - 1, none, 1, which)))
+    timed = tx.withColumn("_t", micros())
+    rows = timed.select("sender_account", F.struct(*tx.columns).alias("_row"), "_t", *[c.alias(f"_out{n}") for n, c in leaves.items()], *[c.alias(f"_in{n}") for n, c in amounts.items()])
+    none, own = F.lit(None).cast(rows.schema["_row"].dataType), _block(t)
+    kinds = {n: rows.schema[f"_in{n}"].dataType for n in amounts} | dict.fromkeys(leaves, "long")
+    # windows are a block long at most, so whatever is left when a block ends leaves in the next one
+    left = {n: _block(F.col(f"_out{n}")) > own for n in leaves}
+    left |= dict.fromkeys(amounts, left.get("_n7"))
+
+    def event(block: Column, at: Column, row: Column, value: Callable[[str], Column]) -> Column:
+        return F.struct(block.alias("_b"), at.cast("long").alias("_at"), row.alias("_row"), *[value(n).cast(kinds[n]).alias(n) for n in names])
+
+    one = lambda n: F.lit(1) if n in leaves else F.col(f"_in{n}")
+    events = [event(own, t, F.col("_row"), one), F.when(reduce(Column.__or__, [left[n] for n in leaves]), event(own + 1, (own + 1) * BLOCK - 1, none, lambda n: F.when(left[n], one(n)).otherwise(0)))]
+    for m in leaves:
+        over, gone = F.col(f"_out{m}"), {m} | (set(amounts) if m == "_n7" else set())
+        events.append(event(_block(over), over, none, lambda n, gone=gone: -one(n) if n in gone else F.lit(0)))
     every = rows.select("sender_account", F.explode(F.array_compact(F.array(*events))).alias("e")).select("sender_account", "e.*")
     earlier = Window.partitionBy("sender_account", "_b").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
     summed = every.select("_row", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in names])
@@ -80,7 +85,7 @@ def _history(tx: DataFrame, leaves: dict[str, Column], amounts: dict[str, Column
 
 
 def _leaves(*which: str) -> dict[str, Column]:
-    t = micros()
+    t = F.col("_t")  # as _history names it
     whole = {"_n1": t + HOUR, "_n24": t + DAY, "_n7": t + WEEK, "_d7": F.least(t + WEEK, F.col("_next"))}
     return {n: whole[n] for n in which}
 
@@ -147,12 +152,18 @@ def calendar_flags(tx: DataFrame) -> DataFrame:
 
 
 def with_features(tx: DataFrame) -> DataFrame:
-    """tx and all features: a shuffle by sender, receiver and week, and one by sender and week."""
+    """tx and all features. Four shuffles: rows, and each week's first payment, by sender, receiver and week; those first payments by pair; rows
+    by sender and week."""
     own = _history(_in_pairs(tx), _leaves("_n1", "_n24", "_n7", "_d7"), _cents())
     own = own.withColumn("receiver_diversity_7d", F.col("_d7").cast("int")).drop("_d7", "_next")
     return calendar_flags(balance_ratio(zscore_and_ratio(_statistics(_velocities(own))))).drop("stddev_7d")
 
 
+def scoring(tx: DataFrame) -> DataFrame:
+    """tx with is_new_receiver and tx_velocity_24h only."""
+    return _history(_in_pairs(tx), _leaves("_n24"), {}).withColumn("tx_velocity_24h", F.col("_n24").cast("int")).drop("_n24", "_next")
+
+
 def features_full(tx: DataFrame) -> DataFrame:
     """All features by transaction_id."""
     return with_features(tx).select(F.col("id").alias("transaction_id"), *[n for n in FEATURE_NAMES if n != "amount"])

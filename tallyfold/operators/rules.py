@@ -10,6 +10,7 @@ DEFAULTS = {"LARGE_TRANSACTION": 1_000_000, "NEW_RECEIVER_HIGH_VALUE": 500_000,
 INDUSTRY = {"LARGE_TRANSACTION": (10_000, 10_000_000), "NEW_RECEIVER_HIGH_VALUE": (1_000, 100_000), "RAPID_VELOCITY": (2, 20), "STRUCTURING": (5_000, 10_000)}
 STRUCTURING_VELOCITY = 3
 
+#: The rules' names and the reasons that they give.
 #: Rule name: when it fires and what it says, {t} being its threshold. In alphabetical order, the order of results.
 RULES: dict[str, tuple[str, str]] = {
     "LARGE_TRANSACTION": ("amount >= {t}", "concat('Transaction amount ', CAST(amount AS STRING), ' exceeds threshold ', {s})"),

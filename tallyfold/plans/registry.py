@@ -81,7 +81,7 @@ _CAND = "SELECT id, amount, tx_velocity_1h FROM rows_ WHERE NOT is_training_set
 query("detect_candidates", _CAND)(lambda c: detect.candidates(c.base.select(*c.tx0.columns, "is_training_set", "fold"), c.feats, c.alerts.where("transaction_id % 2 = 0"), "RULES_ONLY").select("id", "amount", "tx_velocity_1h"))
 _ALERT = "SELECT id, transaction_id, detection_config, rule_triggered, ml_risk_score FROM alerts WHERE detection_config"
 _A = ("id", "transaction_id", "detection_config", "rule_triggered", "ml_risk_score")
-query("detect_rules_only", f"{_ALERT} = 'RULES_ONLY'")(lambda c: detect.detect_rules(detect.candidates(c.base.select(*c.tx0.columns, "is_training_set", "fold"), c.feats), c.thresholds).select(*_A))
+query("detect_rules_only", f"{_ALERT} = 'RULES_ONLY'")(lambda c: detect.detect_rules(c.fresh.where("NOT is_training_set"), c.thresholds).select(*_A))
 query("detect_ml", f"{_ALERT} = 'ML_ONLY'")(lambda c: detect.detect_ml(detect.candidates(c.base.select(*c.tx0.columns, "is_training_set", "fold"), c.feats), c.scores.select("id", "risk_score")).select(*_A))
 query("detect_full_system", f"{_ALERT} = 'FULL_SYSTEM'")(lambda c: detect.detect_full(detect.candidates(c.base.select(*c.tx0.columns, "is_training_set", "fold"), c.feats), c.scores.select("id", "risk_score"), c.thresholds).select(*_A))
 query("detect_capped", f"{_ALERT} = 'RULES_ONLY' AND transaction_id IN (SELECT id FROM tx WHERE NOT is_training_set ORDER BY id LIMIT 1000)")(
