@@ -9,7 +9,7 @@ from tallyfold.operators import detect, evaluate, features, retrieval, rules, sp
 from tallyfold.plans.canonical import METRICS, Canonical
 from tallyfold.plans import reports, stores, workflows  # noqa: F401  register their own
 from tallyfold.plans.register import ORACLES, QUERIES, query  # noqa: F401
-from tallyfold.session import shared_path
+from tallyfold.session import shared_path, written
 from tallyfold.sources import imports
 
 
@@ -183,7 +183,7 @@ query("import_typed", _VALID + f" SELECT row_num, {_EXT} AS external_id, TIMESTA
 
 
 def _twice(c: Canonical) -> DataFrame:
-    rows = imports.typed(_validated(c))
+    rows = written(imports.typed(_validated(c)).select("row_num", "external_id"), "typed")  # read by each branch below
     again = rows.where("row_num % 5 = 0").withColumn("row_num", F.col("row_num") + 1_000_000_000)
     return imports.dedup_new(rows.unionByName(again), rows.where("row_num % 3 = 0")).select("row_num", "external_id")
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyfold.session import written
+
 #: The columns of a raw payment file and the allowed types.
 COLUMNS = ("step", "type", "amount", "nameOrig", "oldbalanceOrg", "newbalanceOrig", "nameDest", "oldbalanceDest", "newbalanceDest", "isFraud", "isFlaggedFraud")
 TYPES = ("TRANSFER", "PAYMENT", "CASH_OUT", "CASH_IN", "DEBIT")
 LAST_STEP, BASE_DATE = 744, "2025-01-01 00:00:00"
+#: Splits of files up to which their counts are broadcast.
+MOST_BROADCAST = 100_000
 NUMBERS = ("amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest")
 
 
@@ -16,15 +20,16 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, with file and row_num: the row's number in its file, from 1, the header not counted.
 
     A file's partitions are numbered by where they begin, and the rows within them in order; the rows of earlier partitions of
-    the file, one count for each partition, are added. So any split of a large file gives the same numbers.
+    the file, one count for each partition, are added. So any split of a large file gives the same numbers. The files are parsed once
+    and written, so that the counts are those of the same splits.
     """
     schema = ", ".join(f"{c} string" for c in COLUMNS)
     rows = spark.read.csv(path, schema=schema, header=True)
-    at = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_id"))
+    at = written(rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_id")), "raw-rows")
     block = Window.partitionBy("file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
     sizes = at.groupBy("file", "_from").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    starts = sizes.select("file", "_from", "_first", F.coalesce(F.sum("_n").over(block), F.lit(0)).alias("_before"))
-    joined = at.join(F.broadcast(starts), ["file", "_from"])  # a row for each split of a file
+    starts = written(sizes.select("file", "_from", "_first", F.coalesce(F.sum("_n").over(block), F.lit(0)).alias("_before")), "splits")  # a row for each split of a file
+    joined = at.join(F.broadcast(starts) if starts.count() <= MOST_BROADCAST else starts, ["file", "_from"])
     return joined.select(*COLUMNS, "file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("row_num"))
 
 
