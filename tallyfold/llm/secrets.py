@@ -44,7 +44,7 @@ SHORTEST = 20
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 _HAS_KEY = ("passw", "secret", "token", "api")
 #: Rate of false discoveries in each length class; p-values are binned by tenths of their negative decimal logarithm.
-RATE, BINS = 0.001, 600
+RATE, BINS = 0.005, 600
 #: A run that uniform chance gives this rarely is not taken for random; so many of the random ones are lost.
 CHANCE = 1e-4
 #: Sums of squared and cubed shares of letters in written language, change of class between neighbours,

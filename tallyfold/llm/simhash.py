@@ -256,8 +256,8 @@ WIDE = 8
 BANDS, ROWS = 25, 5
 #: Bands whose closest pairs are tried first; what they link is not compared again.
 FIRST_BANDS = 5
-#: Shingles of one chunk: two chunks of 64-bit hashes take 32 MB.
-HEAVY = 2_000_000
+#: Shingles of one chunk: two chunks of 64-bit hashes take 16 MB.
+HEAVY = 1_000_000
 #: 512-bit distance that a pair of similarity 0.8 (78 on average, deviation 8) exceeds once in a thousand cases.
 WIDE_RADIUS = 103
 _rng = np.random.default_rng(20240)

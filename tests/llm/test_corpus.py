@@ -3,6 +3,7 @@ import datetime
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
 import string
@@ -302,9 +303,9 @@ def test_battery_holds_its_level_and_tells_order_from_chance(symbols):
         ("key {} end", lambda r: base64.b64encode(r.randbytes(30)).decode(), 0.99),
         ("sk_live_{} end", lambda r: "".join(r.choices(string.ascii_letters + string.digits, k=32)), 0.99),
         ("base64:{} end", lambda r: base64.b64encode(r.randbytes(24)).decode(), 0.95),
-        ("id {} end", lambda r: base64.b32encode(r.randbytes(25)).decode(), 0.85),
+        ("id {} end", lambda r: base64.b32encode(r.randbytes(25)).decode(), 0.9),
         ("id {} end", lambda r: r.randbytes(24).hex().upper(), 0.95),
-        ("short {} end", lambda r: "".join(r.choices(string.ascii_letters + string.digits, k=20)), 0.8),
+        ("short {} end", lambda r: "".join(r.choices(string.ascii_letters + string.digits, k=20)), 0.9),
     ],
 )
 def test_recall_of_planted_secrets(spark, docs, shape, make, least):
@@ -323,6 +324,38 @@ def test_recall_of_planted_secrets(spark, docs, shape, make, least):
     assert hits >= least * len(planted) and not false, (hits, false)
 
 
+def test_the_cut_equals_a_plain_loop_over_the_whole_table(spark, docs):
+    """Runs, tests of chance, unlikeness to language and the cut of each length class, one run at a time."""
+    rng = random.Random(11)
+    planted = [(10**6 + i, f"x {base64.b32encode(rng.randbytes(20 + i % 9)).decode().rstrip('=')} y {''.join(rng.choices(string.ascii_letters + string.digits, k=20 + i % 20))} z") for i in range(150)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    classes, runs = {}, {}
+    for r in both.collect():
+        text = r.text or ""
+        taken = [False] * len(text)
+        for s, _, e in secrets.base_spans(text):
+            taken[s:e] = [True] * (e - s)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            at = m.start()
+            while at < m.end():
+                end = at
+                while end < m.end() and not taken[end]:
+                    end += 1
+                if end - at >= 20:
+                    chance = secrets.joint(secrets.battery(text[at:end])[1:]) >= 1e-4
+                    score = min(600, math.floor(10 * secrets.log_p(text[at:end]))) if chance else -1
+                    classes.setdefault(math.floor(2 * math.log2(end - at)), []).append(score)
+                    runs.setdefault(r.doc_id, []).append((at, end, score))
+                at = max(end, at + 1)
+    cut = {}
+    for length, scores in classes.items():
+        fits = [b for b in set(scores) if b >= 0 and 10 ** (-b / 10) <= secrets.RATE * sum(x >= b for x in scores) / len(scores)]
+        cut[length] = min(fits, default=10**9)
+    want = {i: sorted((s, e) for s, e, b in found if b >= cut[math.floor(2 * math.log2(e - s))]) for i, found in runs.items()}
+    got = {r.doc_id: sorted(tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("random:")) for r in secrets.scan(both).collect()}
+    assert {i: x for i, x in got.items() if x} == {i: x for i, x in want.items() if x} and sum(map(len, want.values())) > 200
+
+
 def test_secret_rows_of_odd_texts(odd):
     empty = hashlib.sha256(b"").hexdigest()
     for r in secrets.scan(odd).collect():
