@@ -164,6 +164,11 @@ def scoring(tx: DataFrame) -> DataFrame:
     return _history(_in_pairs(tx), _leaves("_n24"), {}).withColumn("tx_velocity_24h", F.col("_n24").cast("int")).drop("_n24", "_next")
 
 
+def signals(tx: DataFrame) -> DataFrame:
+    """tx with the features that rules look at: is_new_receiver, velocities and calendar flags."""
+    return calendar_flags(_velocities(_history(_in_pairs(tx), _leaves("_n1", "_n24"), {})).drop("_next"))
+
+
 def features_full(tx: DataFrame) -> DataFrame:
     """All features by transaction_id."""
     return with_features(tx).select(F.col("id").alias("transaction_id"), *[n for n in FEATURE_NAMES if n != "amount"])

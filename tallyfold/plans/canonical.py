@@ -18,6 +18,12 @@ FOLDS = 5
 POINTS = "CASE WHEN amount >= 50000 THEN 35 ELSE 0 END + CASE WHEN is_new_receiver THEN 20 ELSE 0 END + 5 * least(tx_velocity_24h, 5) + id % 20"
 
 
+def _with_scores(rows: DataFrame) -> DataFrame:
+    share = lambda n: (n / 100.0).cast("double")
+    rows = rows.withColumn("_n", F.expr(POINTS))
+    return rows.withColumns({"risk_score": share(F.col("_n")), "rf_score": share(F.col("_n")), "gbt_score": share(F.col("_n") + F.col("id") % 3 - 1)}).drop("_n")
+
+
 class Canonical:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -53,11 +59,14 @@ class Canonical:
 
     @cached_property
     def base(self) -> DataFrame:
-        """Payments with split, fold, features and scores, written once: whatever needs features or alerts reads this table."""
-        share = lambda n: (n / 100.0).cast("double")
-        rows = self.fresh.withColumn("_n", F.expr(POINTS))
-        scored = rows.withColumns({"risk_score": share(F.col("_n")), "rf_score": share(F.col("_n")), "gbt_score": share(F.col("_n") + F.col("id") % 3 - 1)})
-        return written(scored.drop("_n"), "base")
+        """Payments with split, fold, all features and scores, written once. A query that needs them takes this table first."""
+        return written(_with_scores(self.fresh), "base")
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        """Payments with split, fold, scores and the features that rules look at, written once: where alerts come from. The base, if
+        there is one."""
+        return self.base if "base" in self.__dict__ else written(_with_scores(features.signals(self.tx)), "judged")
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -76,8 +85,8 @@ class Canonical:
     @cached_property
     def scored(self) -> DataFrame:
         """Test rows: id, is_fraud, fold, score. Where nothing else needs the other features, they are not computed."""
-        if "base" in self.__dict__:
-            rows = self.base.withColumn("score", F.col("risk_score"))
+        if {"base", "judged"} & set(self.__dict__):
+            rows = self.judged.withColumn("score", F.col("risk_score"))
         else:
             slim = self.tx.select("id", "timestamp", "sender_account", "receiver_account", "amount", "is_fraud", "fold", "is_training_set")
             rows = features.scoring(slim).withColumn("score", (F.expr(POINTS) / 100.0).cast("double"))
@@ -89,31 +98,35 @@ class Canonical:
 
     @cached_property
     def alerts(self) -> DataFrame:
-        found = detect.detect_all(self.base.where("NOT is_training_set"), self.thresholds)
+        found = detect.detect_all(self.judged.where("NOT is_training_set"), self.thresholds)
         status = F.when(F.col("transaction_id") % 5 == 0, "REVIEWED").when(F.col("transaction_id") % 7 == 0, "CONFIRMED").otherwise("NEW")
         return written(found.withColumn("status", status), "alerts")
 
     @cached_property
     def patterns(self) -> DataFrame:
         """A pattern for each rule and kind of payment that the alerts show: patternType, title."""
-        seen = self.alerts.join(self.base.select(F.col("id").alias("transaction_id"), "transaction_type"), "transaction_id")
+        seen = self.alerts.join(self.judged.select(F.col("id").alias("transaction_id"), "transaction_type"), "transaction_id")
         return seen.select(F.explode(F.split("rule_triggered", "; ")).alias("r"), "transaction_type").select(F.split("r", ":")[0].alias("patternType"), F.col("transaction_type").alias("title")).distinct()
 
     @cached_property
     def expl(self) -> DataFrame:
-        made = self.spark.sql(EXPLANATIONS.replace("FROM alerts", "FROM {a}").replace("JOIN tx", "JOIN {t}"), a=self.alerts, t=self.base)
+        made = self.spark.sql(EXPLANATIONS.replace("FROM alerts", "FROM {a}").replace("JOIN tx", "JOIN {t}"), a=self.alerts, t=self.judged)
         return written(made, "explanations")
 
+    @cached_property
+    def measured(self) -> DataFrame:
+        """Each configuration's metrics on each fold, with the areas of the scores."""
+        rows = evaluate.metrics(evaluate.counts(self.judged, self.alerts, by_fold=True))
+        return written(rows.join(evaluate.auc(self.scored, ("fold",)), "fold"), "measured")
+
     @cached_property
     def folds(self) -> DataFrame:
         """Each configuration's metrics on each fold, with the areas of the scores and what its explanations are like."""
-        measured = evaluate.metrics(evaluate.counts(self.base, self.alerts, by_fold=True))
-        areas = evaluate.auc(self.scored, ("fold",))
         flagged = F.count(F.when(~F.col("hallucination_free"), 1))
         told = self.expl.groupBy("detection_config", "fold").agg(
             F.round(F.avg(F.expr(ALL_FOUR)), 6).alias("quality"), F.round(flagged / F.nullif(F.count("hallucination_free"), F.lit(0)), 6).alias("hallucination_rate")
         )
-        return written(measured.join(areas, "fold").join(told, ["detection_config", "fold"], "left"), "folds")
+        return written(self.measured.join(told, ["detection_config", "fold"], "left"), "folds")
 
     @cached_property
     def results(self) -> DataFrame:

@@ -101,9 +101,9 @@ _M = "total, fraud, alerts, tp, fp, fn, tn, precision, recall, f1, fpr"
 _TOTAL = """, s AS (SELECT count(*) AS total, count_if(is_fraud)::BIGINT AS fraud FROM tx WHERE NOT is_training_set), h AS (SELECT detection_config, sum(alerts)::BIGINT AS alerts, sum(tp)::BIGINT AS tp FROM hits GROUP BY 1),
 m AS (SELECT *, greatest(0, alerts - tp) AS fp, greatest(0, fraud - tp) AS fn, greatest(0, total - tp - greatest(0, alerts - tp) - greatest(0, fraud - tp)) AS tn FROM h, s)
 SELECT *, CASE WHEN tp + fp > 0 THEN round(tp::DOUBLE / (tp + fp), 6) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp::DOUBLE / (tp + fn), 6) ELSE 0.0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp::DOUBLE / (2 * tp + fp + fn), 6) ELSE 0.0 END AS f1, CASE WHEN fp + tn > 0 THEN round(fp::DOUBLE / (fp + tn), 6) ELSE 0.0 END AS fpr FROM m"""
-query("metrics_from_counts", _TOTAL)(lambda c: evaluate.metrics(evaluate.counts(c.base, c.alerts)))
-query("confusion_metrics", f"SELECT detection_config, fold, {_M} FROM folds")(lambda c: evaluate.metrics(evaluate.counts(c.base, c.alerts, by_fold=True)))
-query("fold_counts", "SELECT detection_config, fold, alerts, tp, total, fraud FROM hits JOIN sizes USING (fold)")(lambda c: evaluate.counts(c.base, c.alerts, by_fold=True))
+query("metrics_from_counts", _TOTAL)(lambda c: evaluate.metrics(evaluate.counts(c.judged, c.alerts)))
+query("confusion_metrics", f"SELECT detection_config, fold, {_M} FROM folds")(lambda c: evaluate.metrics(evaluate.counts(c.judged, c.alerts, by_fold=True)))
+query("fold_counts", "SELECT detection_config, fold, alerts, tp, total, fraud FROM hits JOIN sizes USING (fold)")(lambda c: evaluate.counts(c.judged, c.alerts, by_fold=True))
 query("kfold_summary", "SELECT * FROM results0")(lambda c: evaluate.kfold_summary(c.folds, METRICS))
 
 
@@ -131,7 +131,7 @@ tt AS (SELECT *, CASE WHEN odd THEN NULL WHEN most = 0 THEN 0.0 ELSE mean_diff /
 pp AS (SELECT *, CASE WHEN odd THEN NULL WHEN most = 0 THEN 1.0 ELSE 1 - sin(atan(abs(t) / 2)) * (1 + 0.5 * power(cos(atan(abs(t) / 2)), 2)) END AS p FROM tt)
 SELECT metric, config_a, config_b, n, CASE WHEN NOT odd THEN round(mean_a, 6) END AS mean_a, CASE WHEN NOT odd THEN round(mean_b, 6) END AS mean_b, CASE WHEN NOT odd THEN round(mean_diff, 6) END AS mean_diff, round(t, 4) AS t, round(p, 6) AS p,
   round(0.05::DOUBLE / 3, 6) AS alpha_corrected, coalesce(most > 0 AND p < 0.05 / 3, false) AS significant, CASE WHEN odd THEN 'NaN values in metric' WHEN most = 0 THEN 'zero variance' END AS skip_reason FROM pp""",
-)(lambda c: evaluate.significance(c.folds, _TESTED, order=detect.CONFIGS))
+)(lambda c: evaluate.significance(c.measured, _TESTED, order=detect.CONFIGS))
 
 # retrieval
 query(

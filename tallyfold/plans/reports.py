@@ -44,9 +44,9 @@ def _statuses(c: Canonical) -> DataFrame:
 
 
 def _testset(c: Canonical) -> DataFrame:
-    test = c.base.where("NOT is_training_set")
+    test = c.judged.where("NOT is_training_set")
     sources = d.datasets(test).select(F.lit("source").alias("kind"), F.col("source").alias("name"), "total", "fraud")
-    hits = l.anomalies(c.alerts, c.base, scope="test").join(test.select(F.col("id").alias("transaction_id"), "is_fraud"), "transaction_id")
+    hits = l.anomalies(c.alerts, c.judged, scope="test").join(test.select(F.col("id").alias("transaction_id"), "is_fraud"), "transaction_id")
     return sources.unionByName(hits.groupBy(F.lit("config").alias("kind"), F.col("detection_config").alias("name")).agg(d.count().alias("total"), F.count_if("is_fraud").alias("fraud")))
 
 
@@ -85,7 +85,7 @@ _QUERIES = {
     # explanation jobs
     "explain_route": lambda c: explain.route(c.alerts),
     "explain_pending": lambda c: l.pending_explanations(c.alerts, c.expl, "FULL_SYSTEM", "LLM_DIRECT"),
-    "rag_dedup_keys": lambda c: explain.retrieval_keys(c.alerts, c.base),
+    "rag_dedup_keys": lambda c: explain.retrieval_keys(c.alerts, c.judged),
     "validate_empty_fields": lambda c: explain.check(c.expl, **{n: n for n in ("empty_risk_summary", "empty_explanation_text", "empty_suspicious_patterns", "empty_recommended_actions")}),
     "validate_confidence": lambda c: explain.check(c.expl, flag="confidence"),
     "validate_risk_direction": lambda c: explain.check(c.expl, mismatch="mismatch", overclaim="overclaim"),
@@ -119,9 +119,9 @@ _QUERIES = {
     "sender_history_all": lambda c: l.sender_history(c.tx0, _accounts(c, "C3")).select("id", "sender_account", "receiver_account", "timestamp", "amount"),
     "sender_statistics": lambda c: l.sender_statistics(c.tx0, _FROM, _TO),
     "pair_exists": lambda c: l.paid_before(c.tx0),
-    "alerts_for_tx": lambda c: l.alerts_of(c.base, c.alerts, c.expl),
-    "config_anomalies": lambda c: l.anomalies(c.alerts, c.base, scope="test").select("id", "detection_config", "fold"),
-    "config_anomalies_fold": lambda c: l.anomalies(c.alerts, c.base, "ML_ONLY", fold=2).select("id", "detection_config", "fold"),
+    "alerts_for_tx": lambda c: l.alerts_of(c.judged, c.alerts, c.expl),
+    "config_anomalies": lambda c: l.anomalies(c.alerts, c.judged, scope="test").select("id", "detection_config", "fold"),
+    "config_anomalies_fold": lambda c: l.anomalies(c.alerts, c.judged, "ML_ONLY", fold=2).select("id", "detection_config", "fold"),
     "patterns_of_type": lambda c: l.patterns(c.patterns, "RAPID_VELOCITY"),
     "results_by_config": lambda c: l.results_of(c.results, "RULES_ONLY").select("id", "experiment_name", "fold", "f1"),
     "results_newest": lambda c: l.results_of(c.results).select("id", "experiment_name", "fold", "f1"),

@@ -94,9 +94,10 @@ _BY = {"explanations": "detection_config", "alerts": "detection_config", "featur
 
 def _store_all(c: Canonical) -> str:
     folder, week = shared_path(c.spark, "stored"), F.floor(features.micros() / features.BLOCK).cast("long")
+    base = c.base
     c.alerts.write.partitionBy("detection_config").parquet(f"{folder}/alerts")
     c.expl.write.partitionBy("detection_config").parquet(f"{folder}/explanations")
-    c.base.withColumn("week", week).select(F.col("id").alias("transaction_id"), "amount_zscore", "week").write.partitionBy("week").parquet(f"{folder}/features")
+    base.withColumn("week", week).select(F.col("id").alias("transaction_id"), "amount_zscore", "week").write.partitionBy("week").parquet(f"{folder}/features")
     c.tx0.withColumn("week", week).write.partitionBy("week").parquet(f"{folder}/transactions")
     c.tx0.agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/snapshots")
     return folder

@@ -65,11 +65,11 @@ query(
 m AS (SELECT *, greatest(0, alerts - tp) AS fp, greatest(0, fraud - tp) AS fn, greatest(0, total - tp - greatest(0, alerts - tp) - greatest(0, fraud - tp)) AS tn FROM x, h)
 SELECT 'RULES_ONLY' AS detection_config, total, fraud, alerts, tp, fp, fn, tn, CASE WHEN tp + fp > 0 THEN round(tp::DOUBLE / (tp + fp), 6) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp::DOUBLE / (tp + fn), 6) ELSE 0.0 END AS recall,
 CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp::DOUBLE / (2 * tp + fp + fn), 6) ELSE 0.0 END AS f1, CASE WHEN fp + tn > 0 THEN round(fp::DOUBLE / (fp + tn), 6) ELSE 0.0 END AS fpr, auc_roc, auc_pr, '{"cutoff":0.5,"split":0.8}' AS run_parameters FROM m, areas""",
-)(lambda c: experiments.experiment(c.base, c.alerts, c.scored, "RULES_ONLY", F.to_json(F.struct(F.lit(0.5).alias("cutoff"), F.lit(0.8).alias("split")))))
-query("benchmark_all", f"SELECT detection_config, fold, {_CELLS}, {', '.join(METRICS[:6])} FROM folds")(lambda c: experiments.benchmark(c.base, c.alerts, c.scored))
+)(lambda c: experiments.experiment(c.judged, c.alerts, c.scored, "RULES_ONLY", F.to_json(F.struct(F.lit(0.5).alias("cutoff"), F.lit(0.8).alias("split")))))
+query("benchmark_all", f"SELECT detection_config, fold, {_CELLS}, {', '.join(METRICS[:6])} FROM folds")(lambda c: experiments.benchmark(c.judged, c.alerts, c.scored))
 query("run_snapshot", """SELECT *, '{"cutoff":0.5,"folds":5,"fraud":' || fraud || ',"ratio":0.8,"thresholds":{"LARGE_TRANSACTION":200000.0,"NEW_RECEIVER_HIGH_VALUE":50000.0,"RAPID_VELOCITY":2.0,"STRUCTURING":10000.0},"training":' || training || ',"transactions":' || transactions || '}' AS run_parameters
 FROM (SELECT count(*) AS transactions, count_if(is_fraud)::BIGINT AS fraud, count_if(is_training_set)::BIGINT AS training FROM tx) x""")(
-    lambda c: experiments.parameters(c.thresholds, c.base, 0.8, 5, 0.5)
+    lambda c: experiments.parameters(c.thresholds, c.tx, 0.8, 5, 0.5)
 )
 
 # snapshots: one for each hour of payments
@@ -93,7 +93,8 @@ _JOINED = "FROM alerts a JOIN rows_ r ON r.id = a.transaction_id"
 
 
 def _with_payment(c: Canonical) -> DataFrame:
-    return c.alerts.join(c.rows.withColumnRenamed("id", "transaction_id"), "transaction_id")
+    rows = c.rows.withColumnRenamed("id", "transaction_id")
+    return c.alerts.join(rows, "transaction_id")
 
 
 query(
