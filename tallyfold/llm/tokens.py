@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfold.llm.common import spare
+
 #: Fixed value: how byte-level byte-pair vocabularies of this kind cut text into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _RUNS = regex.compile(r"\s{2,}(?=\S)")
@@ -189,7 +191,8 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def prefix_table(docs: DataFrame, path: str) -> DataFrame:
-    """docs with n_tokens and prefix_changes (binary, see packed: the change of the exact token count at each code point)."""
+    """docs with n_tokens and prefix_changes (binary, see packed: the change of the exact token count at each code point); columns
+    of docs that have these names already, in any case of letters, are replaced."""
 
     @F.pandas_udf(T.StructType().add("n", T.LongType()).add("changes", T.BinaryType()))
     def count(text: pd.Series) -> pd.DataFrame:
@@ -200,7 +203,9 @@ def prefix_table(docs: DataFrame, path: str) -> DataFrame:
             rows.append((int(c.sum(dtype=np.int64)), packed(c)))
         return pd.DataFrame(rows, columns=["n", "changes"])
 
-    return docs.withColumn("_t", count("text")).select(*docs.columns, F.col("_t.n").alias("n_tokens"), F.col("_t.changes").alias("prefix_changes"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_tokens", "prefix_changes")]
+    own = spare(docs, "_t")
+    return docs.withColumn(own, count("text")).select(*kept, F.col(f"{own}.n").alias("n_tokens"), F.col(f"{own}.changes").alias("prefix_changes"))
 
 
 def tokens_at(changes: Column, chars: Column) -> Column:

@@ -60,6 +60,24 @@ def test_odd_rows_have_a_result_everywhere(spark, odd):
         else:
             assert len(rows) == len(ODD), name
         assert run(odd.limit(0)).count() == 0, name
+        if name == "pii":  # there is nothing to permute
+            assert sorted(map(str, ((r.doc_id, r.text) for r in rows))) == sorted(map(str, ODD)) and not any(r[f"n_{k}"] for r in rows for k in pii.KINDS)
+        if name == "rules":
+            words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in ODD}
+            assert {r.doc_id: (r.n_words, r.base_failed and not r.kept) for r in rows} == {i: (n, True) for i, n in words.items()}
+        if name == "spots":
+            assert sorted(r.n_chars for r in rows) == sorted(len(t or "") for _, t in ODD) and len({r.fingerprint for r in rows if r.doc_id == 3}) == 1
+            assert all(0 <= x <= 1 for r in rows for x in (r.near_edited, r.near_next))
+        if name == "tokens":
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(path)
+            n = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in ODD}
+            assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in rows} == {i: (len((t or "").encode()), n[i], n[i] > 1024) for i, t in ODD}
+        if name == "lang":  # no row has a language
+            assert {(r.lang_pred, r.score) for r in rows} == {("und", 0.0)}
+    twice = tokens.prefix_table(odd.withColumn("Prefix_Changes", F.lit(1)), path)
+    assert len(twice.columns) == len(set(map(str.lower, twice.columns))) and twice.where("doc_id = 2").first().n_tokens == 0
     pages = spark.createDataFrame([(1, None, None), (2, "u", ""), (3, "u", "<p>"), (4, None, "<p>"), (4, None, "<p>"), (None, "u", "<p>")], "page_id long, url string, html string")
     got = sorted(map(str, ((r.page_id, r.record_type, r.refers_to) for r in warc.archived(pages).collect())))
     assert got == sorted(map(str, [(1, "response", None), (2, "revisit", 1), (3, "response", None), (4, "revisit", 3), (4, "revisit", 3), (None, "revisit", 3)]))
