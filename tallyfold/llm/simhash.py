@@ -258,6 +258,8 @@ BANDS, ROWS = 25, 5
 FIRST_BANDS = 5
 #: Shingles of one chunk: two chunks of 64-bit hashes take 16 MB.
 HEAVY = 1_000_000
+#: Full cells' pairs of different roots from which a block is parted by prefixes.
+OPEN_CELLS = 4
 #: 512-bit distance that a pair of similarity 0.8 (78 on average, deviation 8) exceeds once in a thousand cases.
 WIDE_RADIUS = 103
 _rng = np.random.default_rng(20240)
@@ -370,15 +372,19 @@ def _groups(docs: DataFrame, firsts: DataFrame, similarity: float, cell: int, fo
 
 
 def _parted(texts: Callable[[DataFrame], DataFrame], blocks: DataFrame, similarity: float, cell: int, folder: str) -> DataFrame:
-    """The blocks (block, key, node, weight, root) with those of more than `cell` members replaced by blocks of shared prefixes.
+    """The blocks (block, key, node, weight, root) with the widest open ones replaced by blocks of shared prefixes: those that have more
+    pairs of different roots than OPEN_CELLS full cells.
 
-    In a large block, such as that of a page template, most pairs are far apart. Two sets of n shingles or more reach the
+    In such a block, as that of a page template, most pairs are far apart; in a large group of copies, which are joined already, few pairs
+    are open. Two sets of n shingles or more reach the
     similarity only if they share one of the first n - ceil(similarity n) + 1 of each in any one order, so a member enters a block for each of
     these; the order begins with the rarest among the members of all large blocks, which templates are not. Blocks of the same
     members are compared once.
     """
     keys = ["block", "key"]
-    large = written(blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).select(*keys), "large", folder)
+    counts = blocks.groupBy(*keys, "root").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy(*keys)
+    wide = (F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2 > OPEN_CELLS * cell * cell / 2
+    large = written(counts.agg(wide.alias("wide")).where("wide").select(*keys), "large", folder)
     members = written(blocks.join(large, keys, "left_semi").select("node", "weight", "root").distinct(), "members", folder)
     sets = texts(members.select("node")).select("node", _shingle_list5("text").alias("s"))
     tokens = written(sets.select("node", F.size("s").alias("n"), F.explode("s").alias("key")), "tokens", folder)

@@ -179,10 +179,12 @@ def template_texts(n, own, length=200):
     return out
 
 
-def test_large_blocks_are_parted_by_prefixes_without_loss(spark):
+@pytest.mark.parametrize("open_cells", [0, 4])
+def test_large_blocks_are_parted_by_prefixes_without_loss(spark, monkeypatch, open_cells):
     """Texts of one template, pairs of copies among them: blocks of shared prefixes link what a comparison of all pairs links."""
     from tallyfold.llm import simhash as S
 
+    monkeypatch.setattr(S, "OPEN_CELLS", open_cells)
     texts = template_texts(120, 0.25)
     copies = [" ".join([*t.split()[:-1], "changed"]) for t in texts[::6]]
     docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")
