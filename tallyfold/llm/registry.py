@@ -19,7 +19,7 @@ QUERIES = {
     "op1_packing": lambda spark, sf: packing.pack(table(spark, sf, "documents")),
     "op2_pii": lambda spark, sf: pii.pseudonymize(table(spark, sf, "documents"), TEST_KEY),
     "op3_quality_rules": lambda spark, sf: rules.quality(table(spark, sf, "documents")),
-    "op4_spotsigs": lambda spark, sf: spotsigs.compare_with_next(table(spark, sf, "documents")),
+    "op4_spotsigs": lambda spark, sf: spotsigs.fingerprinted(table(spark, sf, "documents")),
     "op5_mixing": lambda spark, sf: mixing.mixture(table(spark, sf, "documents")),
     "op6_warc": lambda spark, sf: warc.archived(table(spark, sf, "pages")),
     "op7_token_counts": lambda spark, sf: tokens.token_counts(table(spark, sf, "documents"), vocabulary()),

@@ -49,7 +49,7 @@ def test_query_equals_oracle(spark, name):
 def test_odd_rows_have_a_result_everywhere(spark, odd):
     path = registry.vocabulary()
     runs = {
-        "pack": packing.pack, "pii": lambda d: pii.pseudonymize(d, KEY), "rules": rules.quality, "spots": spotsigs.compare_with_next, "mix": mixing.mixture,
+        "pack": packing.pack, "pii": lambda d: pii.pseudonymize(d, KEY), "rules": rules.quality, "spots": spotsigs.fingerprinted, "mix": mixing.mixture,
         "tokens": lambda d: tokens.token_counts(d, path), "secrets": secrets.scan, "lang": langid.identify,
     }
     for name, run in runs.items():
@@ -68,6 +68,10 @@ def test_odd_rows_have_a_result_everywhere(spark, odd):
         if name == "spots":
             assert sorted(r.n_chars for r in rows) == sorted(len(t or "") for _, t in ODD) and len({r.fingerprint for r in rows if r.doc_id == 3}) == 1
             assert all(0 <= x <= 1 for r in rows for x in (r.near_edited, r.near_next))
+            own = {}  # equal fingerprints are one group, named by its smallest id
+            for r in rows:
+                own.setdefault(r.fingerprint, []).append(r)
+            assert all(len({r.group_id for r in same}) == 1 for same in own.values()) and {r.group_id for r in rows} <= {r.doc_id for r in rows}
         if name == "tokens":
             from tokenizers import Tokenizer
 
@@ -169,8 +173,9 @@ def test_ledger_ablations(docs):
 
 def test_edited_texts_and_likeness(docs):
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()))
-    got = {r.doc_id: r for r in spotsigs.compare_with_next(docs, rows_per_block=37).collect()}
+    got = {r.doc_id: r for r in spotsigs.compare_with_next(docs, rows_per_block=37, members=spotsigs.similar_groups(docs)).collect()}
     assert len(got) == len(rows)
+    groups = {r.doc_id: r for r in spotsigs.similar_groups(docs).collect()}
     for k, (i, text) in enumerate(rows):
         follow = rows[(k + 1) % len(rows)][1]
         n = len(text) // 4
@@ -179,11 +184,16 @@ def test_edited_texts_and_likeness(docs):
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
         a, b, c = (set(spotsigs.signatures(t).tolist()) for t in (text, changed, follow))
         assert spotsigs.as_set(r.fingerprint).tolist() == sorted(a)
+        assert spotsigs.node_of(spotsigs.as_set(r.fingerprint)) == groups[i].node and r.group_id == groups[i].group_id <= i
         assert abs(r.near_edited - len(a & b) / len(a | b)) < 1e-12 and abs(r.near_next - len(a & c) / len(a | c)) < 1e-12
 
 
-def test_similar_groups_against_every_pair(docs):
-    some = docs.where("doc_id < 300")
+@pytest.mark.parametrize("cell", [512, 4])
+def test_similar_groups_against_every_pair(docs, cell):
+    """Whole texts, and texts with the copies and near copies of some: cells of 4 cut every larger block."""
+    some = docs.where("doc_id < 300").select("doc_id", "text")
+    grown = F.expr("concat(text, ' the copy number ', doc_id % 7, ' of this page')")
+    some = some.union(some.where("doc_id % 5 = 0").select(F.col("doc_id") + 1000, grown)).union(some.where("doc_id % 9 = 0").selectExpr("doc_id + 2000", "text"))
     sets = {r.doc_id: set(spotsigs.signatures(r.text).tolist()) for r in some.collect()}
     root = {i: i for i in sets}
 
@@ -196,13 +206,7 @@ def test_similar_groups_against_every_pair(docs):
         for j in sets:
             if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 root[max(top(i), top(j))] = min(top(i), top(j))
-    groups = {}
-    for r in spotsigs.similar_groups(some).collect():
-        groups.setdefault(r.group, set()).add(r.doc_id)
-    want = {}
-    for i in sets:
-        want.setdefault(top(i), set()).add(i)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    assert {r.doc_id: r.group_id for r in spotsigs.similar_groups(some, cell=cell).collect()} == {i: top(i) for i in sets}
 
 
 @pytest.mark.parametrize("hot", [False, True])
