@@ -34,6 +34,8 @@ from tallyfold.session import removed
 CHAIN = 3
 #: Signatures are counted in so many buckets, a table of fixed size, to begin every set's order with rare ones.
 BUCKETS = 1 << 18
+#: In blocks of more members, each is compared with the block's leader first.
+LARGE = 64
 #: Common words (articles, prepositions, conjunctions, auxiliaries) of four languages.
 COMMON = frozenset(
     """a an and are as at be by for from had has have he in is it not of on or that the this to was were which with you
@@ -254,38 +256,43 @@ def _alike(least: float):
     return handle
 
 
-def similar_groups(docs: DataFrame, least: float = 0.8, cell: int = 512) -> DataFrame:
+def similar_groups(docs: DataFrame, least: float = 0.8, cell: int = 512, large: int = LARGE) -> DataFrame:
     """doc_id, node (the signature set), group_id for every row of docs: sets that reach a Jaccard similarity of `least` are linked, and
     group_id is the smallest doc_id of all that are linked.
 
     Distinct sets are partitioned by length: a set meets those of its own length class, and with fewer keys those of the class above
-    (_prefixes). Each set's keys begin with its rarest signatures, so passages that many documents share are seldom keys. Every set is first
-    compared with the leaders of its smallest and its largest block; then the blocks that still hold different roots are dealt into cells, where
+    (_prefixes). Each set's keys begin with its rarest signatures, so passages that many documents share are seldom keys. Members of large
+    blocks are first compared with the leader of their largest; then the blocks that still hold different roots are dealt into cells, where
     pairs of different roots are compared by the pruned Jaccard similarity.
     """
     spark = docs.sparkSession
     folder = subfolder(spark, "spots")
-    own = written(docs.select("doc_id", _signatures("text").alias("s")).withColumn("node", F.xxhash64("s")), "own", folder)
+    early = subfolder(spark, "all", folder)
+    every = written(docs.select("doc_id", _signatures("text").alias("s")).withColumn("node", F.xxhash64("s")), "own", early)
+    own = written(every.select("doc_id", "node"), "own", folder)
+    sets = written(every.select("node", "s").dropDuplicates(["node"]), "sets", folder)
+    removed(spark, early)
     ids = written(own.groupBy("node").agg(F.min("doc_id").alias("id")), "ids", folder)
-    sets = written(own.select("node", "s").dropDuplicates(["node"]), "sets", folder)
     p = written(sets.select("node", _prefixes(_frequency(sets), least).alias("p")).select("node", "p.*"), "prefixes", folder)
     blocks = p.select("node", F.col("place").alias("block"), F.lit(0).alias("low"), F.explode("keys").alias("key")).union(
         p.select("node", F.col("place") + 1, F.lit(1), F.explode(F.slice("keys", F.lit(1), F.col("low"))))
     )
     keys = ["block", "key"]
+    met = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("only")).where("n > 1 AND only = 0").drop("only")
+    rows = written(blocks.join(met.hint("merge"), keys), "met", folder)  # a key's rows lie together, so they are combined before the next shuffle
     alike = [F.bit_xor(F.xxhash64("node", "low")).alias("a"), F.bit_xor(F.xxhash64("low", "node")).alias("b")]
-    met = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("only"), F.min("node").alias("leader"), *alike).where("n > 1 AND only = 0")
+    met = rows.groupBy(*keys, "n").agg(F.min("node").alias("leader"), *alike)
     # blocks of the same members are compared once
-    met = written(met.groupBy("block", "n", "leader", "a", "b").agg(F.min("key").alias("key")).drop("a", "b"), "met", folder)
-    rows = written(blocks.join(met, keys), "blocks", folder)
-    ends = rows.groupBy("node").agg(F.min_by("leader", "n").alias("x"), F.max_by("leader", "n").alias("y"))
-    pairs = ends.select("node", F.explode(F.array_distinct(F.array("x", "y"))).alias("v")).where("node <> v")
-    both = pairs.join(sets.select("node", F.col("s").alias("a")), "node").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    met = written(met.groupBy("block", "n", "leader", "a", "b").agg(F.min("key").alias("key")).drop("a", "b", "n"), "blocks", folder)
+    rows = written(rows.join(met.hint("merge"), keys), "rows", folder)
+    ends = rows.where(F.col("n") > large).groupBy("node").agg(F.max_by("leader", "n").alias("v")).where("node <> v")
+    few = sets.hint("merge")  # sets meet by the same plan at every size
+    both = ends.join(few.select("node", F.col("s").alias("a")), "node").join(few.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     first = written(both.where(_reaches(least)).select(F.col("node").alias("u"), "v"), "first", folder)
     roots = written(components(first, inside=folder), "roots", folder)
     rooted = rows.select(*keys, "node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     dealt = written(_open(dealt_cells(written(_open(rooted, keys), "open", folder), cell, folder=folder), KEYS), "dealt", folder)
-    more = written(filled_cells(dealt, sets).mapInPandas(by_cell(_alike(least)), "u long, v long").distinct(), "more", folder)
+    more = written(filled_cells(dealt, few).mapInPandas(by_cell(_alike(least)), "u long, v long").distinct(), "more", folder)
     roots = written(components(first.union(more), inside=folder), "all-roots", folder)
     names = roots.join(ids, "node").groupBy("root").agg(F.min("id").alias("group_id"))
     linked = written(roots.join(names, "root").select("node", "group_id", F.lit(True).alias("linked")), "named", folder)

@@ -188,9 +188,9 @@ def test_edited_texts_and_likeness(docs):
         assert abs(r.near_edited - len(a & b) / len(a | b)) < 1e-12 and abs(r.near_next - len(a & c) / len(a | c)) < 1e-12
 
 
-@pytest.mark.parametrize("cell", [512, 4])
-def test_similar_groups_against_every_pair(docs, cell):
-    """Whole texts, and texts with the copies and near copies of some: cells of 4 cut every larger block."""
+@pytest.mark.parametrize(("cell", "large"), [(512, 64), (4, 2)])
+def test_similar_groups_against_every_pair(docs, cell, large):
+    """Texts with copies and near copies of some: cells of 4 cut every larger block, and blocks of 3 have a leader."""
     some = docs.where("doc_id < 300").select("doc_id", "text")
     grown = F.expr("concat(text, ' the copy number ', doc_id % 7, ' of this page')")
     some = some.union(some.where("doc_id % 5 = 0").select(F.col("doc_id") + 1000, grown)).union(some.where("doc_id % 9 = 0").selectExpr("doc_id + 2000", "text"))
@@ -206,7 +206,7 @@ def test_similar_groups_against_every_pair(docs, cell):
         for j in sets:
             if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 root[max(top(i), top(j))] = min(top(i), top(j))
-    assert {r.doc_id: r.group_id for r in spotsigs.similar_groups(some, cell=cell).collect()} == {i: top(i) for i in sets}
+    assert {r.doc_id: r.group_id for r in spotsigs.similar_groups(some, cell=cell, large=large).collect()} == {i: top(i) for i in sets}
 
 
 @pytest.mark.parametrize("hot", [False, True])
