@@ -84,7 +84,3 @@ def dedup_new(rows: DataFrame, existing: DataFrame) -> DataFrame:
     new = rows.join(existing.select("external_id"), "external_id", "left_anti")
     first = Window.partitionBy("external_id").orderBy("row_num")
     return new.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-
-
-def append(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    rows.write.mode("append").partitionBy(*partition_by).parquet(path)

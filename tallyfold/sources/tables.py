@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def append_rows(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_rows(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    rows.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def append_alerts(alerts: DataFrame, path: str, existing: DataFrame | None = None) -> None:

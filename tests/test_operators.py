@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.operators import dashboards, detect, evaluate, explain, features, lookups, ranking, retrieval, rules, split
-from tallyfold.sources import imports
+from tallyfold.sources import imports, tables
 
 T0 = datetime.datetime(2025, 6, 15, 10, 30)
 SCHEMA = "id long, timestamp timestamp_ntz, sender_account string, receiver_account string, transaction_type string, amount decimal(18,2), sender_balance_before decimal(18,2), is_fraud boolean"
@@ -131,7 +131,7 @@ def test_import_reasons_in_order(spark, tmp_path):
     assert rows.first().external_id == "PAYSIM-1-C1-M1-100.00" and rows.first().timestamp == datetime.datetime(2025, 1, 1, 1)
     assert imports.dedup_new(rows, rows.limit(0)).count() == 1
     out = str(tmp_path / "tx")
-    imports.append(rows, out)
+    tables.append_rows(rows, out)
     assert spark.read.parquet(out).count() == 2
 
 
