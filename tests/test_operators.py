@@ -159,6 +159,25 @@ def test_any_number_of_queries_is_answered_in_blocks(spark):
     assert sorted(rows) == sorted(whole.collect())
 
 
+def test_usual_vectors_meet_as_matrices_and_odd_ones_keep_their_ranks(spark, monkeypatch):
+    rng = random.Random(3)
+    usual = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(60)]
+    rows = list(enumerate(usual + [usual[7]] * 40))
+    odd = list(enumerate([None, None, [0.0] * 6, [0.0] * 6, [1.0, 2.0], [float("nan")] + [1.0] * 5, [1.0, None, 1.0, 1.0, 1.0, 1.0], []], 200))
+    schema = "doc_id long, embedding array<float>"
+    asked = lambda docs, where: docs.where(where).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    docs, every = spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(rows + odd, schema).repartition(3)
+    shown = lambda df: sorted(map(str, df.collect()))
+    for d, where in ((docs, "doc_id % 3 < 2"), (every, "doc_id % 3 = 1 OR doc_id >= 200"), (every.where("doc_id >= 190"), "true"), (docs.where("doc_id < 3"), "true")):
+        assert shown(retrieval.vector_topk(asked(d, where), d, 4, most_queries=30)) == shown(retrieval._compared(asked(d, where), d, 4))
+    met = []
+    monkeypatch.setattr(retrieval, "_pairs", None)
+    matrices = retrieval._multiplied
+    monkeypatch.setattr(retrieval, "_multiplied", lambda queries, docs, k: met.append(docs.count()) or matrices(queries, docs, k))
+    assert retrieval.vector_topk(asked(docs, "doc_id < 10"), docs, 4).count() == 40
+    assert met == [63]  # of the 41 copies the four that may be found
+
+
 def test_percentile_is_exact_however_it_is_narrowed(spark):
     rng = random.Random(1)
     tx = payments(spark, [(rng.choice([0, 0, rng.randrange(5000), rng.randrange(9)]), "A", "x", 1) for _ in range(400)])
