@@ -205,6 +205,23 @@ def test_features_of_a_sender_with_half_of_all_rows(spark):
     assert all(tied[i] == (m == min(m2 for m2, s2, r2, _ in rows if (s2, r2) == (s, r))) for i, (m, s, r, _) in enumerate(rows))
 
 
+def test_busy_senders_and_the_others_have_the_same_features(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(rng.choice([0, 7, 60, 1440, 10080, rng.randrange(40000)]), rng.choice(["A", "A", "A", "B", "C", None]) if i % 2 else f"S{i % 40}", rng.choice(["x", "y", None]), rng.randrange(5000)) for i in range(300)]
+    tx = payments(spark, rows).withColumn("timestamp", F.when(F.col("id") % 23 != 0, F.col("timestamp"))).withColumn("amount", F.when(F.col("id") % 19 != 0, F.col("amount")))
+    found = []
+    for few in (0, 8, 1000):
+        monkeypatch.setattr(features, "FEW", few)
+        found.append([sorted(map(str, df.collect())) for df in (features.features_full(tx), features.scoring(tx), features.signals(tx))])
+    assert len(found[0][0]) == 300 and found[0] == found[1] == found[2]
+
+
+def test_few_payments_take_one_shuffle(spark):
+    tx = payments(spark, [(i, f"S{i % 5}", f"R{i % 3}", 10 * i) for i in range(40)])
+    plan = features.with_features(tx)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+
+
 def test_running_sums_and_samples_over_many_ranges(spark):
     rows = spark.range(0, 1000, numPartitions=7).select(F.col("id"), (F.col("id") * 37 % 11).alias("x"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("k"))
     got = {r.id: r.s for r in ranking.running(rows, [F.desc("id")], {"s": F.col("x")}, ("k",)).collect()}
