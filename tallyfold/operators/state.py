@@ -23,6 +23,8 @@ from tallyfold.session import made, written
 ROWS = "id long, timestamp timestamp_ntz, sender_account string, receiver_account string, amount decimal(18,2)"
 PAIRS = "sender_account string, receiver_account string, first struct<t:bigint,id:bigint>"
 _PAIR = ["sender_account", "receiver_account"]
+#: Payments of a batch's week that one task stores, about: a large batch's weeks are as many tasks as they need.
+PART = 250_000
 
 
 class FeatureState:
@@ -52,14 +54,14 @@ class FeatureState:
         stored = self.rows(batch).where(F.col("week").isin(self._weeks(new)))
         return new.dropDuplicates(["id"]).join(stored.select("id"), "id", "left_anti").select(*new.columns)
 
-    def features(self, new: DataFrame, batch: int) -> DataFrame:
-        """new with its features, over the state before the batch and the batch itself."""
+    def features(self, new: DataFrame, batch: int, known: DataFrame | None = None) -> DataFrame:
+        """new with its features, over the state before the batch and the batch itself. known: what known() gives, if it is there."""
         weeks = {w - back for w in self._weeks(new) for back in (0, 1)}
         near = self.rows(batch).where(F.col("week").isin(sorted(weeks))).drop("batch", "week")
         near = near.join(new.select("sender_account").distinct(), "sender_account", "left_semi")
         both = new.withColumn("_new", F.lit(True)).unionByName(near.withColumn("_new", F.lit(False)), allowMissingColumns=True)
         found = features.with_features(both).where("_new").drop("_new")
-        known = self.known(new, batch).withColumnRenamed("first", "_first")
+        known = (self.known(new, batch) if known is None else known).withColumnRenamed("first", "_first")
         own = F.struct(features.micros().alias("t"), F.col("id").cast("long").alias("id"))
         first = F.col("is_new_receiver") & (F.col("_first").isNull() | (own < F.col("_first")))
         return found.join(known, _PAIR, "left").withColumn("is_new_receiver", first).drop("_first")
@@ -70,20 +72,23 @@ class FeatureState:
         stored = self.spark.read.schema(f"{PAIRS}, batch long").parquet(self.pairs_path).where(F.col("batch") < batch)
         return stored.join(pairs, _PAIR, "left_semi").groupBy(*_PAIR).agg(F.min("first").alias("first"))
 
-    def add(self, new: DataFrame, batch: int) -> None:
-        """Store a batch's payments and the pairs of which it has the first one."""
+    def add(self, new: DataFrame, batch: int, known: DataFrame | None = None) -> None:
+        """Store a batch's payments and the pairs of which it has the first one. A week's payments are dealt into parts of about PART rows.
+        known: what known() gives, if it is there."""
         slim = new.selectExpr("CAST(id AS bigint) AS id", "timestamp", "sender_account", "receiver_account", "CAST(amount AS decimal(18,2)) AS amount").withColumn("week", _week())
-        slim.repartition("week").write.mode("overwrite").partitionBy("week").parquet(f"{self.path}/batch={batch}")
+        parts = -(-max(1, slim.count()) // PART)
+        slim.repartition(min(4 * parts, 1000), "week", F.pmod(F.xxhash64("id"), F.lit(parts))).write.mode("overwrite").partitionBy("week").parquet(f"{self.path}/batch={batch}")
         own = slim.groupBy(*_PAIR).agg(F.min(F.struct(features.micros().alias("t"), "id")).alias("first"))
-        earlier = self.known(new, batch).withColumnRenamed("first", "_first")
+        earlier = (self.known(new, batch) if known is None else known).withColumnRenamed("first", "_first")
         kept = own.join(earlier, _PAIR, "left").where("_first IS NULL OR first < _first").drop("_first")
         kept.write.mode("overwrite").parquet(f"{self.pairs_path}/batch={batch}")
 
     def advance(self, new: DataFrame, batch: int) -> DataFrame:
         """Take a batch in: its payments that were not stored yet, with their features (written once)."""
         fresh = written(self.fresh(new, batch), "fresh")
-        found = written(self.features(fresh, batch), "increment")
-        self.add(fresh, batch)
+        known = written(self.known(fresh, batch), "known")
+        found = written(self.features(fresh, batch, known), "increment")
+        self.add(fresh, batch, known)
         return found
 
 

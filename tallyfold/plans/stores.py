@@ -61,10 +61,11 @@ query(
 def _from_state(c: Canonical) -> DataFrame:
     """The payments in three increments by time, each from the state that the ones before left."""
     state = FeatureState(c.spark, shared_path(c.spark, "state"))
-    cuts = [split.cutoff(c.tx0, share) for share in (0.4, 0.7)]
+    rows = written(c.tx0, "payments")
+    cuts = [split.cutoff(rows, share) for share in (0.4, 0.7)]
     part = reduce(lambda n, cut: n + F.when(features.micros() >= cut, 1).otherwise(0), [x for x in cuts if x is not None], F.lit(0))
     names = [n for n in features.FEATURE_NAMES if n != "amount"]
-    found = [state.advance(c.tx0.where(part == k), k) for k in range(3)]
+    found = [state.advance(rows.where(part == k), k) for k in range(3)]
     return reduce(DataFrame.unionByName, found).select(F.col("id").alias("transaction_id"), *names)
 
 

@@ -150,6 +150,19 @@ def test_three_increments_equal_a_full_pass(spark):
     assert state.rows().count() == 300
 
 
+def test_a_large_batch_is_stored_in_parts(spark, tmp_path, monkeypatch):
+    from tallyfold.operators import state as states
+
+    monkeypatch.setattr(states, "PART", 100)
+    rows = spark.range(1000).selectExpr("id", "timestamp_ntz '2024-01-04 00:00:00' + make_dt_interval(0, 0, CAST(id AS INT)) AS timestamp", "concat('S', id % 90) AS sender_account", "concat('R', id % 7) AS receiver_account", "CAST(id AS decimal(18,2)) AS amount")
+    kept = FeatureState(spark, f"{tmp_path}/state")
+    asked, known = [], kept.known
+    monkeypatch.setattr(kept, "known", lambda new, batch: asked.append(batch) or known(new, batch))
+    kept.advance(rows.withColumns({"transaction_type": F.lit("TRANSFER"), "sender_balance_before": F.lit(1).cast("decimal(18,2)")}), 0)
+    weeks = list(pathlib.Path(f"{tmp_path}/state/batch=0").glob("week=*"))
+    assert kept.rows().count() == 1000 and max(len(list(w.glob("*.parquet"))) for w in weeks) > 1 and asked == [0]
+
+
 def test_an_increment_reads_its_weeks_only(spark):
     rows = payments(spark)
     state = FeatureState(spark, shared_path(spark, "state"))
