@@ -95,12 +95,13 @@ _BY = {"explanations": "detection_config", "alerts": "detection_config", "featur
 
 def _store_all(c: Canonical) -> str:
     folder, week = shared_path(c.spark, "stored"), F.floor(features.micros() / features.BLOCK).cast("long")
-    base = c.base
+    base = c.base  # alerts and payments are taken from it, too
+    paid = base.select(*c.tx0.columns)
     c.alerts.write.partitionBy("detection_config").parquet(f"{folder}/alerts")
     c.expl.write.partitionBy("detection_config").parquet(f"{folder}/explanations")
     base.withColumn("week", week).select(F.col("id").alias("transaction_id"), "amount_zscore", "week").write.partitionBy("week").parquet(f"{folder}/features")
-    c.tx0.withColumn("week", week).write.partitionBy("week").parquet(f"{folder}/transactions")
-    c.tx0.agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/snapshots")
+    paid.withColumn("week", week).write.partitionBy("week").parquet(f"{folder}/transactions")
+    paid.agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/snapshots")
     return folder
 
 
@@ -118,7 +119,7 @@ def _left(c: Canonical, folder: str) -> DataFrame:
 
 def _deleted(c: Canonical) -> DataFrame:
     folder = _store_all(c)
-    stored.delete_transactions(c.spark, folder, c.tx0.where("id % 3 = 0"), _BY)
+    stored.delete_transactions(c.spark, folder, c.base.where("id % 3 = 0"), _BY)
     return _left(c, folder)
 
 
